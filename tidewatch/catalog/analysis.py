@@ -170,7 +170,7 @@ def _(v):
 
 
 @query("agg_upsert_diagnosis", """with all_rows as (
-  select task_id, instance_id, status, report, error_message, duration_ms, updated_at, created_at, 0 as kind, 0 as seq from diagnosis_record
+  select task_id, instance_id, status, report, error_message, duration_ms, updated_at, created_at, 0 as kind, cast(0 as bigint) as seq from diagnosis_record
   union all select task_id, instance_id, status, report, error_message, duration_ms, updated_at, created_at, 1, seq from diagnosis_changes),
 ranked as (
   select *, row_number() over (partition by task_id order by kind, case when kind = 1 then updated_at end, seq) as up,
@@ -199,10 +199,10 @@ def _(v):
 
 
 @query("quota_flag", """with chain as (
-  select user_id, min(ts) as at from events group by user_id
-  union all select c.user_id, min(e.ts) from chain c join events e on e.user_id = c.user_id and e.ts >= c.at + interval 1 day group by c.user_id),
-placed as (select e.event_id, e.user_id, e.ts, c.at from events e asof join chain c on e.user_id = c.user_id and e.ts >= c.at)
-select event_id, row_number() over (partition by user_id, at order by ts, event_id) > 3 as refused from placed""")
+  select user_id, min(ts) as opened from events group by user_id
+  union all select c.user_id, min(e.ts) from chain c join events e on e.user_id = c.user_id and e.ts >= c.opened + interval 1 day group by c.user_id),
+placed as (select e.event_id, e.user_id, e.ts, c.opened from events e asof join chain c on e.user_id = c.user_id and e.ts >= c.opened)
+select event_id, row_number() over (partition by user_id, opened order by ts, event_id) > 3 as refused from placed""")
 def _(v):
     flagged = cooldown.quota_flag(v.events, key="user_id", ts="ts", tie="event_id", limit=3, period="1 day")
     return flagged.select("event_id", "refused")
@@ -272,8 +272,8 @@ def _(v):
     return top.select("sql_text", "times", F.round("avg_time", 6).alias("avg_time"), F.round("max_time", 6).alias("max_time"), F.round("avg_rows", 4).alias("avg_rows"))
 
 
-@query("capture_stats", """select instance_id, cast(coalesce(sum(collected), 0) as bigint) as total_collected, max(at) as last_collect_at,
-  list(error order by at desc, seq desc)[1] as last_error, greatest(60 - date_sub('second', max(at), timestamp '2024-01-31') % 60, 0) as next_poll_sec from capture_log group by instance_id""")
+@query("capture_stats", """select instance_id, cast(coalesce(sum(collected), 0) as bigint) as total_collected, max(polled_at) as last_collect_at,
+  list(error order by polled_at desc, seq desc)[1] as last_error, greatest(60 - date_sub('second', max(polled_at), timestamp '2024-01-31') % 60, 0) as next_poll_sec from capture_log group by instance_id""")
 def _(v):
     return reports.capture_stats(v.capture_log, as_of=events_as_of())
 
@@ -432,7 +432,7 @@ def _(v):
 
 @query("task_metrics", """select task_id, count(*) filter (kind = 'llm_start') as llm_calls, count(*) filter (kind = 'tool_start') as tool_calls,
   count(*) filter (kind = 'tool_error') as error_count, arg_max(substr(detail, 1, 200), step) filter (kind = 'tool_error') as last_error,
-  date_diff('millisecond', min(at), max(at)) as elapsed_ms from tool_trace group by task_id""")
+  date_diff('millisecond', min(happened_at), max(happened_at)) as elapsed_ms from tool_trace group by task_id""")
 def _(v):
     return tasks.task_metrics(v.tool_trace)
 
@@ -458,7 +458,7 @@ def _(v):
 @query("progress_steps", """select task_id, row_number() over (partition by task_id order by step) as step_no,
   case tool when 'get_table_ddl' then '获取表结构' when 'get_execution_plan' then '执行计划分析' else tool end as tool, status, substr(detail, 1, 200) as detail from tool_trace""")
 def _(v):
-    return tasks.progress_steps(v.tool_trace).drop("at")
+    return tasks.progress_steps(v.tool_trace).drop("happened_at")
 
 
 # --- audits ---

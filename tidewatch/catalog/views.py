@@ -80,7 +80,7 @@ select concat('t-', cast(o_orderkey as string)) as task_id, concat('s-', cast(o_
   o_orderdate as created_at, o_orderdate + interval 1 hour as updated_at
 from $orders""",
     "results_json": """
-select l_orderkey * 10 + l_linenumber as seq, l_shipdate as created_at,
+select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as seq, l_shipdate as created_at,
   case when l_partkey % 50 = 0 then '{"broken"' when l_partkey % 50 = 1 then '{"status":"completed"}'
   else concat('{"taskId":"t-', cast(l_orderkey * 2 as string), '","status":"', case when l_returnflag = 'R' then 'failed' else 'completed' end,
   '"', case when l_returnflag = 'R' then ',"error":"no plan"' else concat(',"report":"r', cast(l_partkey % 11 as string), '"') end,
@@ -109,7 +109,7 @@ select conv_id as task_id, turn as step, role,
   case role when 'user' then 'llm_start' when 'assistant' then 'tool_start' else 'tool_error' end as kind,
   case cast(floor(turn / 3) as int) when 0 then 'get_table_ddl' when 1 then 'get_execution_plan' else 'other_tool' end as tool,
   case when conv_id % 2 = 0 then 'same' else cast(turn as string) end as args, 'done' as status, text as detail,
-  length(text) as total_tokens, cast('2024-01-01 00:00:00' as timestamp) + interval 1 second * cast(turn * turn as int) as at
+  length(text) as total_tokens, cast('2024-01-01 00:00:00' as timestamp) + interval 1 second * cast(turn * turn as int) as happened_at
 from $conversations""",
     "plans": """
 select p_partkey as plan_id, concat('{"query_block":', case p_partkey % 3
@@ -181,11 +181,11 @@ select c_custkey as id, concat('inst-', cast(c_nationkey % 5 as string)) as inst
   case c_mktsegment when 'BUILDING' then 'Sleep' when 'MACHINERY' then null else 'Query' end as command
 from $customer""",
     "capture_log": """
-select event_id as seq, ts as at, concat('inst-', cast(user_id % 50 as string)) as instance_id,
+select event_id as seq, ts as polled_at, concat('inst-', cast(user_id % 50 as string)) as instance_id,
   case when event_type <> 'error' then user_id end as collected, case when event_type = 'error' then concat('error ', cast(user_id as string)) end as error
 from $events""",
     "diagnosis_changes": """
-select l_orderkey * 10 + l_linenumber as seq, concat('t-', cast(l_orderkey * 2 as string)) as task_id, concat('inst-', cast(l_suppkey % 5 as string)) as instance_id,
+select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as seq, concat('t-', cast(l_orderkey * 2 as string)) as task_id, concat('inst-', cast(l_suppkey % 5 as string)) as instance_id,
   case when l_returnflag = 'R' then 'FAILED' else 'COMPLETED' end as status, case when l_returnflag <> 'R' then concat('r', cast(l_partkey as string)) end as report,
   case when l_returnflag = 'R' then 'no plan' end as error_message, cast(l_partkey as bigint) as duration_ms, l_shipdate as updated_at, l_shipdate as created_at
 from $lineitem""",

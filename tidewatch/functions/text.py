@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewatch import constants as K
 
-# One literal or one comment, whichever starts first; possessive, so long literals do not backtrack.
-_LITERAL_OR_COMMENT = (
-    r"(?s)'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
-    r'|"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"'
-    r"|/\*.*?\*/|--[^\n]*+|#[^\n]*+"
-)
+# Possessive, so long literals do not backtrack. Matched as alternatives, whichever starts first counts.
+_LITERAL = r"""'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+\""""
+_COMMENT = r"/\*.*?\*/|--[^\n]*+|#[^\n]*+"
 _NAME = r"[`\w]+(?:\s*\.\s*[`\w]+)*"
 _NOT_ALIAS = (
     "join inner left right full outer cross natural straight_join on using where group order having limit "
@@ -31,6 +28,11 @@ def any_of(words, prefix: str = "", suffix: str = "") -> str:
     return prefix + "(?:" + "|".join(re.escape(w).replace(r"\ ", " ") for w in words) + ")" + suffix
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def normalize_sql(sql: Column) -> Column:
     """Collapse blanks, lower-case, drop blanks around punctuation; literals are kept."""
     text = F.lower(F.trim(F.regexp_replace(F.coalesce(sql, F.lit("")), r"\s+", " ")))
@@ -65,9 +67,16 @@ def strip_comments(sql: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def bare_code(sql: Column) -> Column:
-    """The statement without literals and comments, so that only code is left to match."""
-    return F.regexp_replace(sql, _LITERAL_OR_COMMENT, " ")
+def without_comments(sql: Column) -> Column:
+    """The statement with its literals, but without comments; text inside literals is no comment."""
+    return F.regexp_replace(sql, f"(?s)({_LITERAL})|{_COMMENT}", "$1 ")
+
+
+def bare_code(sql: Column, mark: str = " ") -> Column:
+    """The statement without comments and with `mark` for literals, so that only code is left to match."""
+    if mark == " ":
+        return F.regexp_replace(sql, f"(?s){_LITERAL}|{_COMMENT}", " ")
+    return F.regexp_replace(without_comments(sql), f"(?s){_LITERAL}", mark)
 
 
 def is_noise(sql: Column) -> Column:
@@ -134,7 +143,7 @@ def parameter_list(text: Column) -> Column:
     item = r"(?i)\s*(null|.+?\([^()]*\))\s*(?:,|$)"
     tail = F.trim(F.regexp_replace(text, item, ""))
     raw = F.concat(
-        F.transform(F.regexp_extract_all(text, F.lit(item), F.lit(1)), F.trim),
+        F.transform(F.regexp_extract_all(text, F.lit(item), F.lit(1)), lambda p: F.trim(p)),
         F.when(tail == "", F.array().cast("array<string>")).otherwise(F.array(tail)),
     )
     typed = r"^(.+)\(([^()]*)\)$"
@@ -158,29 +167,32 @@ def parameter_list(text: Column) -> Column:
 
 def bind_sql(template: Column, parameters: Column) -> Column:
     """Fill the question marks of a template in order; surplus marks stay."""
-    pieces = F.split(template, r"\?")
-    values = parameter_list(parameters)
-    marks = F.size(pieces) - 1
-    fillers = F.concat(
-        F.slice(values, F.lit(1), F.least(F.size(values), marks)),
-        F.array_repeat(F.lit("?"), F.greatest(marks - F.size(values), F.lit(0))),
+    def filled(pieces, values):
+        marks = F.size(pieces) - 1
+        fillers = F.concat(
+            F.slice(values, F.lit(1), F.least(F.size(values), marks)),
+            F.array_repeat(F.lit("?"), F.greatest(marks - F.size(values), F.lit(0))),
+        )
+        return interleave(pieces, fillers)
+
+    return F.when(parameters.isNull() | (F.trim(parameters) == ""), template).otherwise(
+        let(F.split(template, r"\?"), lambda p: let(parameter_list(parameters), lambda v: filled(p, v)))
     )
-    return F.when(
-        parameters.isNull() | (F.trim(parameters) == ""), template
-    ).otherwise(interleave(pieces, fillers))
 
 
 def statement_class(sql: Column) -> Column:
     """empty, multi, other or select. Syntax is not judged."""
-    code = F.trim(F.regexp_replace(bare_code(sql), r"\s+", " "))
-    parts = F.filter(F.split(code, ";"), lambda p: F.trim(p) != "")
-    return (
-        F.when(sql.isNull() | sql.rlike(r"^\s*$"), "empty")
-        .when(F.size(parts) > 1, "multi")
-        .when(code.rlike(r"(?i)^[(\s]*with\b") & code.rlike(r"(?i)\)\s*(?:update|delete|insert)\b"), "other")
-        .when(code.rlike(r"(?i)^[(\s]*(?:select|with)\b"), "select")
-        .otherwise("other")
-    )
+    def of(code):
+        parts = F.filter(F.split(code, ";"), lambda p: F.trim(p) != "")
+        return (
+            F.when(F.size(parts) > 1, "multi")
+            .when(code.rlike(r"(?i)^[(\s]*with\b") & code.rlike(r"(?i)\)\s*(?:update|delete|insert)\b"), "other")
+            .when(code.rlike(r"(?i)^[(\s]*(?:select|with)\b"), "select")
+            .otherwise("other")
+        )
+
+    blank = sql.isNull() | sql.rlike(r"^\s*$")
+    return F.when(blank, "empty").otherwise(let(F.trim(F.regexp_replace(bare_code(sql), r"\s+", " ")), of))
 
 
 def refusal(statement_class_: Column) -> Column:
@@ -194,13 +206,19 @@ def refusal(statement_class_: Column) -> Column:
 def table_refs(sql: Column) -> Column:
     """(table, alias) of the physical tables after FROM and JOIN, without quoting, schema and CTE names."""
     code = F.replace(F.regexp_replace(bare_code(F.coalesce(sql, F.lit(""))), _FUNCTION_FROM, "$1($2,"), F.lit("`"), F.lit(""))
-    items = F.flatten(F.transform(F.regexp_extract_all(code, F.lit(_FROM_LIST), F.lit(1)), lambda l: F.split(l, ",")))
     item = r"(?i)^\s*(?:\w+\s*\.\s*)*(\w+)(?:\s+(?:as\s+)?(\w+))?\s*$"
-    refs = F.transform(items, lambda i: F.struct(
-        F.regexp_extract(i, item, 1).alias("table"), F.regexp_extract(i, item, 2).alias("alias")
-    ))
-    ctes = F.regexp_extract_all(code, F.lit(_CTE), F.lit(1))
-    return F.array_distinct(F.filter(refs, lambda r: ~F.array_contains(ctes, r["table"])))
+
+    def of(text):
+        lists = F.regexp_extract_all(text, F.lit(_FROM_LIST), F.lit(1))
+        return F.transform(F.flatten(F.transform(lists, lambda l: F.split(l, ","))), lambda i: F.named_struct(
+            F.lit("table"), F.regexp_extract(i, item, 1), F.lit("alias"), F.regexp_extract(i, item, 2)
+        ))
+
+    def without_ctes(text):
+        names = F.regexp_extract_all(text, F.lit(_CTE), F.lit(1))
+        return let(names, lambda ctes: F.filter(of(text), lambda r: ~F.array_contains(ctes, r["table"])))
+
+    return F.array_distinct(let(code, lambda text: F.when(text.rlike(r"(?i)\bwith\b"), without_ctes(text)).otherwise(of(text))))
 
 
 def table_names(sql: Column) -> Column:
@@ -208,42 +226,57 @@ def table_names(sql: Column) -> Column:
     return F.array_distinct(F.transform(table_refs(sql), lambda r: r["table"]))
 
 
-_OPERAND = r"(?:(\w+)\s*\.\s*)?(\w+)"
-_USED_LEFT = rf"(?i)\b{_OPERAND}\s*(?:<=>|=|<>|!=|<=|>=|<|>|\b(?:not\s+)?(?:in|like|between)\b|\bis\b)"
-_USED_RIGHT = r"(?i)(?:=|<>|!=|<=|>=|<|>)\s*(?:(\w+)\s*\.\s*)?([a-z_]\w*)\b(?!\s*\()"
+_OPERAND = r"(?:(\w++)\s*+\.\s*+)?(\w++)"
+_USED_LEFT = rf"(?i)\b{_OPERAND}\s*+(?:<=>|=|<>|!=|<=|>=|<|>|\b(?:not\s+)?(?:in|like|between)\b|\bis\b)"
+_USED_RIGHT = r"(?i)(?:=|<>|!=|<=|>=|<|>)\s*+(?:(\w++)\s*+\.\s*+)?([a-z_]\w*+)(?!\s*\()"
 _ORDER_LIST = r"(?i)\border\s+by\s+((?:\w+\s*\.\s*)?[a-z_]\w*\b(?!\s*\()(?:\s+(?:asc|desc)\b)?(?:\s*,\s*(?:\w+\s*\.\s*)?[a-z_]\w*\b(?!\s*\()(?:\s+(?:asc|desc)\b)?)*)"
 
 
 def used_columns(sql: Column) -> Column:
     """(qualifier, column) compared in WHERE and ON clauses or sorted by; the qualifier may be empty."""
-    code = F.replace(bare_code(F.coalesce(sql, F.lit(""))), F.lit("`"), F.lit(""))
-
-    def pairs(pattern):
-        return F.zip_with(
-            F.regexp_extract_all(code, F.lit(pattern), F.lit(1)), F.regexp_extract_all(code, F.lit(pattern), F.lit(2)),
-            lambda q, c: F.struct(F.coalesce(q, F.lit("")).alias("qualifier"), c.alias("column")),
-        )
-
     item = r"^\s*(?:(\w+)\s*\.\s*)?(\w+)"
-    sorted_by = F.transform(
-        F.flatten(F.transform(F.regexp_extract_all(code, F.lit(_ORDER_LIST), F.lit(1)), lambda l: F.split(l, ","))),
-        lambda i: F.struct(F.regexp_extract(i, item, 1).alias("qualifier"), F.regexp_extract(i, item, 2).alias("column")),
-    )
-    found = F.concat(pairs(_USED_LEFT), pairs(_USED_RIGHT), sorted_by)
-    return F.array_distinct(F.filter(found, lambda u: u["column"].rlike("^[A-Za-z_]") & ~F.lower(u["column"]).isin("not", "null")))
+
+    def pairs(code, pattern):
+        return F.transform(F.regexp_extract_all(code, F.lit(pattern), F.lit(0)), lambda m: F.named_struct(
+            F.lit("qualifier"), F.regexp_extract(m, pattern, 1), F.lit("column"), F.regexp_extract(m, pattern, 2)
+        ))
+
+    def of(code):
+        lists = F.regexp_extract_all(code, F.lit(_ORDER_LIST), F.lit(1))
+        sorted_by = F.transform(F.flatten(F.transform(lists, lambda l: F.split(l, ","))), lambda i: F.named_struct(
+            F.lit("qualifier"), F.regexp_extract(i, item, 1), F.lit("column"), F.regexp_extract(i, item, 2)
+        ))
+        return F.concat(pairs(code, _USED_LEFT), pairs(code, _USED_RIGHT), sorted_by)
+
+    code = F.replace(bare_code(F.coalesce(sql, F.lit("")), "?"), F.lit("`"), F.lit(""))
+    return F.array_distinct(F.filter(
+        let(code, of), lambda u: u["column"].rlike("^[A-Za-z_]") & ~F.lower(u["column"]).isin("not", "null")
+    ))
 
 
-_LITERAL_TEST = r"(?:(\w+)\s*\.\s*)?\b([A-Za-z_]\w*)\s*(?:=|<>|!=|<=|>=|<|>)\s*('[^']*'|-?\d+(?:\.\d+)?\b)"
+_LITERAL_TEST = r"\b(?:(\w++)\s*+\.\s*+)?([A-Za-z_]\w*+)\s*+(?:=|<>|!=|<=|>=|<|>)\s*('[^']*'|-?\d+(?:\.\d+)?\b)"
 
 
 def literal_tests(sql: Column) -> Column:
     """(qualifier, column, literal) of comparisons with a constant."""
-    code = F.replace(strip_comments(sql), F.lit("`"), F.lit(""))
-    qualifier, column, literal = (F.regexp_extract_all(code, F.lit(_LITERAL_TEST), F.lit(g)) for g in (1, 2, 3))
-    return F.transform(
-        F.arrays_zip(qualifier.alias("q"), column.alias("c"), literal.alias("l")),
-        lambda t: F.struct(t["0"].alias("qualifier"), t["1"].alias("column"), t["2"].alias("literal")),
-    )
+
+    def of(code):
+        tests = F.regexp_extract_all(code, F.lit(_LITERAL_TEST), F.lit(0))
+        return F.transform(tests, lambda t: F.named_struct(
+            F.lit("qualifier"), F.regexp_extract(t, _LITERAL_TEST, 1), F.lit("column"), F.regexp_extract(t, _LITERAL_TEST, 2),
+            F.lit("literal"), F.regexp_extract(t, _LITERAL_TEST, 3),
+        ))
+
+    return let(F.replace(without_comments(sql), F.lit("`"), F.lit("")), of)
+
+
+def unnest(rows, array: str, name: str, *others):
+    """`others` and one row per element of `array`.
+
+    A plain explode lets the optimizer test the array for emptiness below, which computes a derived array
+    a second time; the outer form with a filter above computes it once.
+    """
+    return rows.select(*others, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
 def micros(ts: Column) -> Column:

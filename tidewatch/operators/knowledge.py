@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import constants as K
-from tidewatch.functions.text import contains_text, mask_sql, table_names
+from tidewatch.functions.text import contains_text, mask_sql, table_names, unnest
 
 _GRAM = 3
 
@@ -49,7 +49,7 @@ def _priority() -> Column:
 
 def knowledge_texts(term_sets: DataFrame, documents: DataFrame) -> DataFrame:
     """(term_set, knowledge, documents_found) for distinct term sets."""
-    terms = term_sets.select("term_set", F.explode("term_set").alias("term"))
+    terms = unnest(term_sets, "term_set", "term", "term_set")
     hits = match_terms(terms.select("term").distinct(), documents)
     found = (
         terms.join(hits.select("term", "id", "category", "title", "content"), "term")

@@ -36,10 +36,11 @@ def index_coverage(statements: DataFrame, index_columns: DataFrame, *, key="stat
 
     A column without qualifier counts for every table of its statement.
     """
-    refs = X.table_refs(F.col("sql_text"))
-    per_table = statements.select(
-        key, "instance_id", F.explode(refs).alias("ref"), X.used_columns(F.col("sql_text")).alias("used")
-    ).select(
+    # the text is analysed once per statement, below the explode
+    analysed = statements.select(
+        key, "instance_id", X.table_refs(F.col("sql_text")).alias("refs"), X.used_columns(F.col("sql_text")).alias("used")
+    )
+    per_table = X.unnest(analysed, "refs", "ref", key, "instance_id", "used").select(
         key, "instance_id", F.col("ref.table").alias("table_name"),
         F.transform(
             F.filter("used", lambda u: (u["qualifier"] == "") | (u["qualifier"] == F.col("ref.alias"))
@@ -62,10 +63,11 @@ _NUMBER_TYPE = r"(?i)^\s*(?:(?:tiny|small|medium|big)?int|integer|decimal|numeri
 
 def type_mismatch(statements: DataFrame, columns: DataFrame, *, key="statement_id") -> DataFrame:
     """Comparisons whose constant is of another kind than the column: text with number, or number with text."""
-    tests = statements.select(
-        key, "instance_id", X.table_refs(F.col("sql_text")).alias("refs"),
-        F.explode(X.literal_tests(F.col("sql_text"))).alias("test"),
-    ).select(key, "instance_id", "test.*", F.explode("refs").alias("ref"))
+    analysed = statements.select(
+        key, "instance_id", X.table_refs(F.col("sql_text")).alias("refs"), X.literal_tests(F.col("sql_text")).alias("tests")
+    )
+    tests = X.unnest(analysed, "tests", "test", key, "instance_id", "refs").select(key, "instance_id", "refs", "test.*")
+    tests = X.unnest(tests, "refs", "ref", key, "instance_id", "qualifier", "column", "literal")
     tests = tests.filter(
         (F.col("qualifier") == "") | (F.col("qualifier") == F.col("ref.alias")) | (F.col("qualifier") == F.col("ref.table"))
     ).select(key, "instance_id", F.col("ref.table").alias("table_name"), F.col("column").alias("column_name"), "literal")

@@ -99,11 +99,11 @@ def top_statements(history: DataFrame, *, limit=20, own_schemas=()) -> DataFrame
 def capture_stats(capture_log: DataFrame, *, as_of: Column, interval_sec=60) -> DataFrame:
     """Per instance: rows collected, last activity, its error if it failed, seconds to the next poll.
 
-    The log holds one row per poll: instance_id, at, seq, collected (NULL on failure), error.
+    The log holds one row per poll: instance_id, polled_at, seq, collected (NULL on failure), error.
     """
-    order = F.struct("at", "seq")
+    order = F.struct("polled_at", "seq")
     last = capture_log.groupBy("instance_id").agg(
-        F.coalesce(F.sum("collected"), F.lit(0)).alias("total_collected"), F.max("at").alias("last_collect_at"),
+        F.coalesce(F.sum("collected"), F.lit(0)).alias("total_collected"), F.max("polled_at").alias("last_collect_at"),
         F.max_by("error", order).alias("last_error"),
     )
     elapsed = F.timestamp_diff("SECOND", F.col("last_collect_at"), as_of)

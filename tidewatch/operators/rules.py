@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import constants as K
-from tidewatch.functions.text import severity, strip_comments, preview
+from tidewatch.functions.text import preview, severity, strip_comments, unnest
 
 _COMPARISONS = (
     (">=", lambda a, b: a >= b), ("<=", lambda a, b: a <= b), (">", lambda a, b: a > b), ("<", lambda a, b: a < b),
@@ -51,6 +51,10 @@ def _plan_condition(access: Column, key: str, value: str) -> Column:
     return F.lit(False)  # an unknown condition never holds
 
 
+def _all_on_plan(conditions):
+    return lambda access: reduce(lambda x, y: x & y, [_plan_condition(access, k, v) for k, v in conditions])
+
+
 def matched_rules(upper: Column, rules, accesses: Column | None = None) -> Column:
     """Array of the matching rules in rule order. Plan conditions hold if one table access meets all of them."""
     hits = []
@@ -65,9 +69,7 @@ def matched_rules(upper: Column, rules, accesses: Column | None = None) -> Colum
         if on_plan:
             if accesses is None:
                 continue
-            holds.append(F.exists(accesses, lambda a, on_plan=on_plan: reduce(
-                lambda x, y: x & y, [_plan_condition(a, k, v) for k, v in on_plan]
-            )))
+            holds.append(F.exists(accesses, _all_on_plan(on_plan)))
         rule = F.struct(
             F.lit(number).alias("rule_no"), F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category"),
             F.lit(title).alias("title"), F.lit(suggestion).alias("suggestion"),
@@ -84,15 +86,19 @@ def with_rules(statements: DataFrame, rules=K.RULES, *, accesses: str | None = N
     return upper.withColumn("matched", matched_rules(F.col("_upper"), rules, plan)).drop("_upper")
 
 
+def _per_rule(rows: DataFrame, columns) -> DataFrame:
+    return unnest(rows, "matched", "_rule", *columns).select(*columns, "_rule.*")
+
+
 def join_rules(statements: DataFrame, rules=K.RULES) -> DataFrame:
     """One row per statement and matching rule, without plans."""
-    return with_rules(statements, rules).select(*statements.columns, F.inline("matched"))
+    return _per_rule(with_rules(statements, rules), statements.columns)
 
 
 def join_rules_with_plan(statements: DataFrame, plan_accesses: DataFrame, rules=K.RULES, *, key="plan_id") -> DataFrame:
     """The same with the statement's plan; `plan_accesses` has one row per plan with the array `accesses`."""
     both = statements.join(plan_accesses.select(key, "accesses"), key, "left")
-    return with_rules(both, rules, accesses="accesses").select(*statements.columns, F.inline("matched"))
+    return _per_rule(with_rules(both, rules, accesses="accesses"), statements.columns)
 
 
 def rules_text(matched: Column) -> Column:

@@ -67,7 +67,8 @@ def classify_statements(statements: DataFrame) -> DataFrame:
 
 def referenced_tables(statements: DataFrame, *, key="statement_id") -> DataFrame:
     """One row per statement and table."""
-    return statements.select(key, F.explode(X.table_names(F.col("sql_text"))).alias("table_name"))
+    named = statements.select(key, X.table_names(F.col("sql_text")).alias("_tables"))
+    return X.unnest(named, "_tables", "table_name", key)
 
 
 def audit_rows(statements: DataFrame) -> DataFrame:

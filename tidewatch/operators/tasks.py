@@ -245,14 +245,14 @@ def retry_tasks(diagnoses: DataFrame, *, attempt=1) -> DataFrame:
 # --- traces ---
 
 def task_metrics(trace: DataFrame) -> DataFrame:
-    """Calls, errors and elapsed time per task; a trace row has task_id, step, kind, detail and at."""
+    """Calls, errors and elapsed time per task; a trace row has task_id, step, kind, detail and happened_at."""
     error = F.when(F.col("kind") == "tool_error", F.substring("detail", 1, 200))
     return trace.groupBy("task_id").agg(
         F.count_if(F.col("kind") == "llm_start").alias("llm_calls"),
         F.count_if(F.col("kind") == "tool_start").alias("tool_calls"),
         F.count(error).alias("error_count"),
         F.max_by(error, F.when(error.isNotNull(), F.col("step"))).alias("last_error"),
-        F.timestamp_diff("MILLISECOND", F.min("at"), F.max("at")).alias("elapsed_ms"),
+        F.timestamp_diff("MILLISECOND", F.min("happened_at"), F.max("happened_at")).alias("elapsed_ms"),
     )
 
 
@@ -295,5 +295,5 @@ def progress_steps(trace: DataFrame, *, labels=None) -> DataFrame:
     steps = position(trace, keys=["task_id"], order=["step"], chunk=number_chunk("step"), out="_no")
     return steps.select(
         "task_id", F.col("_no").alias("step_no"), F.coalesce(names[F.col("tool")], "tool").alias("tool"), "status",
-        F.substring(F.coalesce("detail", F.lit("")), 1, 200).alias("detail"), "at",
+        F.substring(F.coalesce("detail", F.lit("")), 1, 200).alias("detail"), "happened_at",
     )

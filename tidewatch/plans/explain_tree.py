@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.functions.text import unnest
+
 TABLE_ACCESS = T.ArrayType(T.StructType([
     T.StructField("step", T.IntegerType()), T.StructField("path", T.StringType()),
     T.StructField("table_name", T.StringType()), T.StructField("access_type", T.StringType()),
@@ -71,7 +73,7 @@ def with_accesses(plans: DataFrame, *, plan="plan", out="accesses") -> DataFrame
 
 def plan_tables(plans: DataFrame, *, id_column="plan_id", plan="plan") -> DataFrame:
     """One row per table access of each plan."""
-    return with_accesses(plans, plan=plan).select(id_column, F.inline("accesses"))
+    return unnest(with_accesses(plans, plan=plan), "accesses", "_access", id_column).select(id_column, "_access.*")
 
 
 def plan_key(plans: DataFrame, *, id_column="plan_id", plan="plan") -> DataFrame:

@@ -38,7 +38,7 @@ def slow_log_blocks(lines: DataFrame) -> DataFrame:
         F.coalesce(metric("Rows_sent", r"\d+").cast("bigint"), F.lit(0)).alias("rows_sent"),
         F.coalesce(metric("Rows_examined", r"\d+").cast("bigint"), F.lit(0)).alias("rows_examined"),
         F.get(F.reverse(used), F.lit(0)).alias("used_db"),
-        F.trim(F.array_join(statement, "\n")).alias("sql_text"),
+        F.btrim(F.array_join(statement, "\n"), F.lit(" \t\r\n")).alias("sql_text"),
     )
 
 
