@@ -8,6 +8,7 @@ from tidewatch.catalog.common import captured, events_as_of, orders_as_of
 from tidewatch.catalog.registry import query
 from tidewatch.operators import cooldown, folds, knowledge, metadata, reports, rules, tasks
 from tidewatch.plans import explain_tree
+from tidewatch.session import spread
 from tidewatch.sources import readers
 
 # --- rules ---
@@ -312,7 +313,7 @@ def _plan_keys(v):
 
 
 def _latest(v):
-    return tasks.latest_results(readers.src_results(v.results_json)[0])
+    return tasks.latest_results(readers.src_results(spread(v.results_json))[0])
 
 
 _LATEST = "latest as (select * from result_rows qualify row_number() over (partition by task_id order by seq desc) = 1)"
@@ -339,7 +340,7 @@ def _(v):
 done as (select r.*, keys.plan_key from result_rows r join keys on r.fingerprint = keys.fingerprint where status = 'COMPLETED' and report <> '' and instance_id <> '')
 select fingerprint, plan_key, list(report order by created_at desc, seq desc)[1] as report, max(created_at) as created_at from done group by fingerprint, plan_key""")
 def _(v):
-    results, _ = readers.src_results(v.results_json)
+    results, _ = readers.src_results(spread(v.results_json))
     return tasks.build_report_cache(results, _plan_keys(v), order=("created_at", "seq"))
 
 
@@ -375,7 +376,7 @@ def _(v):
 latest as (select fingerprint, arg_max(report, seq) as report from result_rows where report is not null and fingerprint <> '' group by fingerprint)
 select k.fingerprint, k.sql_text, coalesce(l.report, k.diagnosis_report) as diagnosis_report from known k left join latest l on k.fingerprint = l.fingerprint""")
 def _(v):
-    results, _ = readers.src_results(v.results_json)
+    results, _ = readers.src_results(spread(v.results_json))
     return tasks.write_back_reports(_known(v), results)
 
 
@@ -405,14 +406,14 @@ def _(v):
 
 @query("task_backlog", "select instance_id, source, count(*) as waiting from waiting_tasks where task_id not in (select task_id from result_rows) group by 1, 2")
 def _(v):
-    return tasks.task_backlog(v.waiting_tasks, readers.src_results(v.results_json)[0])
+    return tasks.task_backlog(v.waiting_tasks, readers.src_results(spread(v.results_json))[0])
 
 
 @query("task_status", f"""with {_LATEST}
 select w.task_id, coalesce(lower(l.status), 'not_found') as status, case when l.status = 'COMPLETED' then l.report end as report,
   case when l.status = 'FAILED' then l.error_message end as error from waiting_tasks w left join latest l on w.task_id = l.task_id""")
 def _(v):
-    return tasks.task_status(v.waiting_tasks, readers.src_results(v.results_json)[0])
+    return tasks.task_status(v.waiting_tasks, readers.src_results(spread(v.results_json))[0])
 
 
 @query("drain_fallback", """with parsed as (select seq, body->>'$.taskId' as task_id, body->>'$.instanceId' as instance_id, body->>'$.enrichedPrompt' as enriched_prompt, body->>'$.source' as source from fallback_queue),
@@ -482,7 +483,7 @@ select n.statement_id, n.instance_id, n.table_name, coalesce(i.cols, '') as inde
   array_to_string(list_filter(n.used, lambda c: not list_contains(coalesce(i.have, []), c)), ',') as missing_columns
 from need n left join idx i on n.instance_id = i.instance_id and n.table_name = i.table_name""")
 def _(v):
-    return metadata.index_coverage(v.table_statements, v.index_columns)
+    return metadata.index_coverage(spread(v.table_statements), v.index_columns)
 
 
 @query("type_mismatch", """with tests as (
@@ -493,7 +494,7 @@ select t.statement_id, t.instance_id, t.table_name, t.column_name, c.data_type,
 from tests t join column_types c on t.instance_id = c.instance_id and t.table_name = c.table_name and t.column_name = c.column_name
 where (t.column_name = 'a') = (not starts_with(t.literal, ''''))""")
 def _(v):
-    return metadata.type_mismatch(v.table_statements, v.column_types)
+    return metadata.type_mismatch(spread(v.table_statements), v.column_types)
 
 
 @query("row_estimate_audit", """with actual as (select l_partkey as statement_id, count(*) as actual_rows from lineitem group by 1)

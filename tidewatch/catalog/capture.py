@@ -8,7 +8,7 @@ from tidewatch.catalog.registry import query
 from tidewatch.catalog.views import NORMAL, SEVERITY
 from tidewatch.operators import filters, folds, search, statements, tasks
 from tidewatch.operators.rules import build_context
-from tidewatch.session import shared_folder
+from tidewatch.session import shared_folder, spread
 from tidewatch.sources import readers, sinks
 
 # --- sources ---
@@ -115,14 +115,14 @@ def _(v):
 
 @query("src_results", """select seq, task_id, status, report, error_message, duration_ms, fingerprint, instance_id from result_rows""")
 def _(v):
-    rows, _ = readers.src_results(v.results_json)
+    rows, _ = readers.src_results(spread(v.results_json))
     return rows.select("seq", "task_id", "status", "report", "error_message", "duration_ms", "fingerprint", "instance_id")
 
 
 @query("src_results_rejects", """select seq, body from results_json where not json_valid(body)
   or (case when json_valid(body) then body->>'$.taskId' end) is null""")
 def _(v):
-    return readers.src_results(v.results_json)[1].select("seq", "body")
+    return readers.src_results(spread(v.results_json))[1].select("seq", "body")
 
 
 @query("dim_instances", """with listed as (

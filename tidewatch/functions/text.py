@@ -43,12 +43,13 @@ def normalize_sql(sql: Column) -> Column:
 
 def fingerprint(instance: Column, sql: Column) -> Column:
     """Identity of a statement on one instance."""
-    return F.md5(F.concat(F.coalesce(instance, F.lit("null")), F.lit(":"), normalize_sql(sql)))
+    # never NULL, and said so: a join on it needs no NULL test, which would compute the text again in the scan
+    return F.coalesce(F.md5(F.concat(F.coalesce(instance, F.lit("null")), F.lit(":"), normalize_sql(sql))), F.lit(""))
 
 
 def fingerprint_global(sql: Column) -> Column:
     """Identity of a statement over all instances."""
-    return F.md5(normalize_sql(sql))
+    return F.coalesce(F.md5(normalize_sql(sql)), F.lit(""))
 
 
 def severity(seconds: Column, rows: Column) -> Column:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,11 @@ from tidewatch.operators.ordered import carry, position, time_chunk
 _PERIODS_PER_STRETCH = 32
 
 
+def key_text(keys) -> Column:
+    """All key columns as one text that is never NULL."""
+    return F.coalesce(F.to_json(F.struct(*keys)), F.lit(""))
+
+
 def period_micros(period: str) -> int:
     """`30 minutes` -> microseconds."""
     return int(pd.Timedelta(period).total_seconds() * 1_000_000)
@@ -131,7 +136,7 @@ def accepted_times(events: DataFrame, *, keys, ts: str, tie: str, period: str) -
     """(_part, _us, _tie) of the accepted events; ties of one microsecond go to the smallest `tie`."""
     step = period_micros(period)
     firsts = (
-        events.select(F.to_json(F.struct(*keys)).alias("_part"), micros(F.col(ts)).alias("_us"), F.col(tie).alias("_tie"))
+        events.select(key_text(keys).alias("_part"), micros(F.col(ts)).alias("_us"), F.col(tie).alias("_tie"))
         .filter(F.col("_us").isNotNull())
         .groupBy("_part", "_us").agg(F.min("_tie").alias("_tie"))
         .withColumn("_stretch", F.floor(F.col("_us") / F.lit(step * _PERIODS_PER_STRETCH)))
@@ -159,7 +164,7 @@ def mark_accepted(events: DataFrame, *, keys, ts: str, tie: str, period: str, ou
     """All events with a flag; rows without a time are never accepted."""
     hits = accepted_times(events, keys=keys, ts=ts, tie=tie, period=period).withColumn(out, F.lit(True))
     return (
-        events.withColumn("_part", F.to_json(F.struct(*keys))).withColumn("_us", micros(F.col(ts)))
+        events.withColumn("_part", key_text(keys)).withColumn("_us", micros(F.col(ts)))
         .withColumn("_tie", F.col(tie))
         .join(hits, ["_part", "_us", "_tie"], "left")
         .withColumn(out, F.coalesce(F.col(out), F.lit(False)))
@@ -172,7 +177,7 @@ def cooldown_dedup(events: DataFrame, *, keys=("fingerprint",), ts="captured_at"
     """Events that are not within `period` after an accepted event of the same key."""
     hits = accepted_times(events, keys=keys, ts=ts, tie=tie, period=period)
     return (
-        events.withColumn("_part", F.to_json(F.struct(*keys))).withColumn("_us", micros(F.col(ts)))
+        events.withColumn("_part", key_text(keys)).withColumn("_us", micros(F.col(ts)))
         .withColumn("_tie", F.col(tie))
         .join(hits, ["_part", "_us", "_tie"], "left_semi")
         .drop("_part", "_us", "_tie")

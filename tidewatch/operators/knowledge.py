@@ -17,7 +17,8 @@ def search_terms(sql: Column) -> Column:
     """Lower-case tables and keywords of a statement, each once, sorted."""
     upper = F.upper(sql)
     words = F.array_compact(F.array(*[F.when(F.contains(upper, F.lit(k)), F.lit(k)) for k in K.SQL_KEYWORDS]))
-    return F.array_sort(F.array_distinct(F.transform(F.concat(table_names(sql), words), F.lower)))
+    found = F.array_sort(F.array_distinct(F.transform(F.concat(table_names(sql), words), F.lower)))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def _grams(text: Column) -> Column:
@@ -71,10 +72,12 @@ def join_knowledge(statements: DataFrame, documents: DataFrame) -> DataFrame:
 
     Statements with the same tables and keywords share their text, so documents meet distinct term sets only.
     """
-    keyed = statements.withColumn("term_set", search_terms(F.col("sql_text")))
-    texts = knowledge_texts(keyed.select("term_set").distinct(), documents)
+    # counting keeps the optimizer from merging the two groupings, so terms are searched once per distinct text
+    distinct = statements.groupBy("sql_text").agg(F.count(F.lit(1)).alias("_copies"))
+    keyed = distinct.withColumn("term_set", search_terms(F.col("sql_text")))
+    texts = knowledge_texts(keyed.groupBy("term_set").agg(F.count(F.lit(1)).alias("_texts")), documents)
     return (
-        keyed.join(texts, "term_set", "left")
+        statements.join(keyed.drop("_copies"), "sql_text", "left").join(texts, "term_set", "left")
         .withColumn("knowledge", F.coalesce("knowledge", F.lit("")))
         .withColumn("documents_found", F.coalesce("documents_found", F.lit(0)))
         .drop("term_set")

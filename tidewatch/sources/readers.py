@@ -129,9 +129,15 @@ def history_from_jdbc(spark: SparkSession, *, url: str, table: str, properties:
     return spark.read.jdbc(url, table, predicates=ranges, properties=properties)
 
 
+def _parsed(messages: DataFrame, message: Column) -> DataFrame:
+    """Add the parsed message as `m`. As a generated row it is parsed once; a plain column would be parsed again
+    for every filter and field that uses it."""
+    return messages.select("*", F.explode_outer(F.array(message)).alias("m"))
+
+
 def src_http_events(messages: DataFrame, *, body="body", received_at: Column | None = None) -> DataFrame:
     """JSON reports: milliseconds become seconds, the default database is `unknown`."""
-    parsed = messages.withColumn("m", F.from_json(body, schemas.HTTP_BODY))
+    parsed = _parsed(messages, F.from_json(body, schemas.HTTP_BODY))
     return parsed.select(
         *[c for c in ("event_id",) if c in messages.columns], F.lit("http_endpoint").alias("source"),
         *([received_at.alias("captured_at")] if received_at is not None else []),
@@ -146,7 +152,7 @@ def src_http_events_v2(messages: DataFrame, *, body="body", received_at: Column
     """The second JSON layout, with the sending application."""
     m = F.from_json(body, schemas.HTTP_BODY_V2)
     zero = F.lit(0).cast("bigint")
-    return messages.withColumn("m", m).select(
+    return _parsed(messages, m).select(
         *[c for c in ("event_id", "instance_id", "project_code") if c in messages.columns],
         F.lit("http_capture").alias("source"),
         F.concat(F.lit("HTTP:"), F.coalesce("m.applicationName", F.lit("unknown"))).alias("source_detail"),
@@ -196,9 +202,8 @@ def src_manual(statements: DataFrame) -> DataFrame:
 
 def src_results(messages: DataFrame, *, body="body") -> tuple[DataFrame, DataFrame]:
     """(results, rejected messages): broken JSON and messages without a task id are rejected."""
-    parsed = messages.withColumn("m", F.from_json(
-        body, schemas.RESULT_BODY + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}
-    ))
+    message = F.from_json(body, schemas.RESULT_BODY + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    parsed = _parsed(messages, message)
     good = F.col("m._corrupt").isNull() & F.col("m.taskId").isNotNull()
     rows = parsed.filter(good).select(
         *[c for c in messages.columns if c != body], F.col("m.taskId").alias("task_id"), F.upper("m.status").alias("status"),

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch import constants as K
 from tidewatch.functions.text import fingerprint, is_noise, micros, severity
-from tidewatch.operators.cooldown import cooldown_dedup, period_micros
+from tidewatch.operators.cooldown import cooldown_dedup, key_text, period_micros
 from tidewatch.operators.folds import agg_upsert_captured
 from tidewatch.operators.rules import alert_text, build_context
 from tidewatch.operators.tasks import join_project, new_tasks
@@ -75,7 +75,7 @@ def cooldown_batch(batch: DataFrame, batch_id: int, *, state: str, keys, ts: str
     the rest of the batch no longer depends on earlier batches. Keys whose period is over leave the state.
     """
     spark, step = batch.sparkSession, period_micros(period)
-    keyed = batch.withColumn("_part", F.to_json(F.struct(*keys))).withColumn("_us", micros(F.col(ts)))
+    keyed = batch.withColumn("_part", key_text(keys)).withColumn("_us", micros(F.col(ts)))
     known = sinks.read_version(spark, f"{state}/last", batch_id - 1) if batch_id else spark.createDataFrame(
         [], "_part string, _last bigint"
     )
@@ -86,7 +86,7 @@ def cooldown_batch(batch: DataFrame, batch_id: int, *, state: str, keys, ts: str
         cooldown_dedup(free, keys=keys, ts=ts, tie=tie, period=period), f"{state}/accepted", batch_id
     )
     newest = keyed.agg(F.max("_us")).first()[0]
-    times = accepted.select(F.to_json(F.struct(*keys)).alias("_part"), micros(F.col(ts)).alias("_last")).unionByName(known)
+    times = accepted.select(key_text(keys).alias("_part"), micros(F.col(ts)).alias("_last")).unionByName(known)
     last = times.groupBy("_part").agg(F.max("_last").alias("_last"))
     if newest is not None:
         last = last.filter(F.col("_last") > newest - step)
