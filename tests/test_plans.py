@@ -44,7 +44,7 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
 
 
 def test_round_cap_limits_before_the_shuffle(spark):
-    events = spark.range(100).select(F.col("id").alias("event_id"), F.lit("i").alias("instance_id"), F.lit(1).alias("round"), F.col("id").alias("captured_at"))
+    events = spark.range(100).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("instance_id"), (F.col("id") % 2).alias("round"), F.col("id").alias("captured_at"))
     plan = plan_of(tasks.round_cap(events)[0])
     assert plan.index("WindowGroupLimit") < plan.rindex("WindowGroupLimit") and "Exchange" in plan[:plan.rindex("WindowGroupLimit")]
 

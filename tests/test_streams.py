@@ -55,6 +55,7 @@ def test_repeated_batch_changes_nothing(spark, batches):
     first = jobs.cooldown_batch(whole, 0, state=f"{tmp}/s", keys=["fingerprint"], ts="captured_at", tie="event_id", period="30 minutes").count()
     again = jobs.cooldown_batch(whole, 0, state=f"{tmp}/s", keys=["fingerprint"], ts="captured_at", tie="event_id", period="30 minutes").count()
     assert first == again
+    # all rows once more: those of the last half hour are suppressed, older ones are late and kept apart
     assert jobs.cooldown_batch(whole, 1, state=f"{tmp}/s", keys=["fingerprint"], ts="captured_at", tie="event_id", period="30 minutes").count() == 0
 
 
@@ -69,3 +70,14 @@ def test_history_cap_defers_and_never_loses(spark):
         seen.append(sorted(r["event_id"] for r in taken.collect()))
         anchors = spark.createDataFrame(anchors.collect(), "instance_id string, anchor bigint")
     assert seen == [list(range(10)), list(range(10, 20)), list(range(20, 25)), []]
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    early, now = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    schema = "event_id bigint, fingerprint string, captured_at timestamp_ntz"
+    args = dict(state=str(tmp_path), keys=["fingerprint"], ts="captured_at", tie="event_id", period="30 minutes")
+    jobs.cooldown_batch(spark.createDataFrame([(1, "a", now)], schema), 0, **args)
+    rows = [(2, "b", early), (3, "b", now - timedelta(minutes=20)), (4, "a", now - timedelta(minutes=5)), (5, "a", now + timedelta(minutes=30))]
+    accepted = jobs.cooldown_batch(spark.createDataFrame(rows, schema), 1, **args)
+    assert sorted(r["event_id"] for r in accepted.collect()) == [3, 5]
+    assert [r["event_id"] for r in sinks.read_version(spark, f"{tmp_path}/late", 1).collect()] == [2]

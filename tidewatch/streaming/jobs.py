@@ -71,32 +71,40 @@ def stream_history_anchor(snapshots: DataFrame, *, out: str, anchors: str, check
 def cooldown_batch(batch: DataFrame, batch_id: int, *, state: str, keys, ts: str, tie: str, period: str) -> DataFrame:
     """Accepted events of one micro-batch, read back from where they were written.
 
-    The state holds the last accepted time per key. Rows within its period are suppressed first, after which
-    the rest of the batch no longer depends on earlier batches. Keys whose period is over leave the state.
+    The state holds the last accepted time per key and the newest time seen. Rows within the period of their key's last
+    accepted event are suppressed first, after which the rest no longer depends on earlier batches. Rows more than
+    a period older than the newest time of earlier batches are late: they are kept in `state`/late for a batch run.
+    Keys that no row in time can meet any more leave the state.
     """
     spark, step = batch.sparkSession, period_micros(period)
     keyed = batch.withColumn("_part", key_text(keys)).withColumn("_us", micros(F.col(ts)))
-    known = sinks.read_version(spark, f"{state}/last", batch_id - 1) if batch_id else spark.createDataFrame(
-        [], "_part string, _last bigint"
-    )
-    free = keyed.join(known, "_part", "left").filter(
+    if batch_id:
+        known = sinks.read_version(spark, f"{state}/last", batch_id - 1)
+        seen = sinks.read_version(spark, f"{state}/newest", batch_id - 1).first()["newest"]
+    else:
+        known, seen = spark.createDataFrame([], "_part string, _last bigint"), None
+    late = F.lit(False) if seen is None else F.col("_us") < seen - step
+    sinks.write_version(keyed.filter(late).drop("_part", "_us"), f"{state}/late", batch_id)
+    in_time = keyed.filter(~late)
+    free = in_time.join(known, "_part", "left").filter(
         F.col("_last").isNull() | (F.col("_us") >= F.col("_last") + F.lit(step))
     ).drop("_last", "_part", "_us")
     accepted = sinks.write_version(
         cooldown_dedup(free, keys=keys, ts=ts, tie=tie, period=period), f"{state}/accepted", batch_id
     )
-    newest = keyed.agg(F.max("_us")).first()[0]
+    newest = keyed.agg(F.greatest(F.max("_us"), F.lit(seen).cast("bigint")).alias("newest"))
+    newest = sinks.write_version(newest, f"{state}/newest", batch_id).first()["newest"]
     times = accepted.select(key_text(keys).alias("_part"), micros(F.col(ts)).alias("_last")).unionByName(known)
     last = times.groupBy("_part").agg(F.max("_last").alias("_last"))
     if newest is not None:
-        last = last.filter(F.col("_last") > newest - step)
+        last = last.filter(F.col("_last") > newest - 2 * step)
     sinks.write_version(last, f"{state}/last", batch_id)
     return accepted
 
 
 def stream_cooldown(events: DataFrame, *, keys=("fingerprint",), ts="captured_at", tie="event_id", period="30 minutes",
                     out: str, state: str, checkpoint: str) -> StreamingQuery:
-    """The cool-down over a stream in event time; a row earlier than its key's last accepted one is suppressed."""
+    """The cool-down over a stream in event time; a row in time but before its key's last accepted one is suppressed."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
         accepted = cooldown_batch(batch, batch_id, state=state, keys=keys, ts=ts, tie=tie, period=period)
