@@ -46,7 +46,12 @@ def test_stretch_exits_is_the_chain_from_every_entry():
     for _ in range(200):
         period, start = int(rng.integers(1, 40)), 1000
         times = np.unique(start + rng.integers(0, period * 32, size=int(rng.integers(1, 120))))
-        opens, leaves = cooldown.stretch_exits(times, start, period)
+        exits = cooldown.StretchExits(start, period)
+        for piece in np.array_split(times, int(rng.integers(1, 5))):
+            if len(piece):
+                exits.add(piece)
+        opens, leaves = exits.table()
+        assert list(cooldown.small_stretch(times.tolist(), start + period, period)) == list(zip(opens.tolist(), leaves.tolist()))
         for entry in range(start - 3, start + period):
             free, hit = entry, False
             for t in times:

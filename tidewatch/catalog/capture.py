@@ -125,18 +125,12 @@ def _(v):
     return readers.src_results(spread(v.results_json))[1].select("seq", "body")
 
 
-@query("dim_instances", """with listed as (
-  select r_regionkey as position, concat('proj-', r_name) as project_code, concat('inst-', cast(n.n_nationkey as varchar)) as instance_id
-  from region join nation n on n.n_regionkey = r_regionkey or n.n_regionkey = r_regionkey + 1)
-select instance_id, arg_min(project_code, position) as project_code from listed group by instance_id""")
-def _(v):
-    nations = v.nation.select(F.concat(F.lit("inst-"), F.col("n_nationkey").cast("string")).alias("instance_id"), "n_regionkey")
-    near = F.explode(F.array(F.col("n_regionkey"), F.col("n_regionkey") - 1)).alias("r_regionkey")
-    listed = nations.select("instance_id", near).groupBy("r_regionkey").agg(F.collect_list("instance_id").alias("instance_ids"))
-    projects = v.region.join(listed, "r_regionkey").select(
-        F.col("r_regionkey").alias("position"), F.concat(F.lit("proj-"), "r_name").alias("project_code"), "instance_ids"
-    )
-    return readers.dim_instances(projects)
+@query("dim_instances", """select concat('inst-', cast(l_suppkey as varchar)) as instance_id, concat('proj-', cast(min(l_orderkey) as varchar)) as project_code
+from lineitem group by l_suppkey""")
+def _(v):
+    instance = F.concat(F.lit("inst-"), F.col("l_suppkey").cast("string"))
+    projects = v.lineitem.groupBy(F.col("l_orderkey").alias("position")).agg(F.collect_set(instance).alias("instance_ids"))
+    return readers.dim_instances(projects.withColumn("project_code", F.concat(F.lit("proj-"), F.col("position").cast("string"))))
 
 
 # --- sinks ---

@@ -37,28 +37,54 @@ def period_micros(period: str) -> int:
     return int(pd.Timedelta(period).total_seconds() * 1_000_000)
 
 
-def stretch_exits(times: np.ndarray, start: int, period: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted distinct `times` of one stretch: entry bounds and the time the chain is free again.
+class StretchExits:
+    """Where a chain leaves one stretch, for every point it could enter at; fed with the sorted distinct times.
 
-    A chain that may accept from `x` on leaves with the second value of the first row whose bound is >= x.
+    A chain enters within the first period, so it accepts one of the times there or the first one after. For
+    each of these candidates only the time the chain is free again is kept and moved on, so memory grows with the events
+    of one period, not of the stretch.
     """
-    n = len(times)
-    after = np.searchsorted(times, times + period, side="left")
-    last = np.where(after == n, np.arange(n), np.minimum(after, n - 1))
-    while True:  # pointer jumping: at most log2(periods per stretch) rounds
-        jumped = last[last]
-        if np.array_equal(jumped, last):
-            break
-        last = jumped
-    entries = min(int(np.searchsorted(times, start + period, side="left")) + 1, n)
-    exits = times[last[:entries]] + period
-    keep = np.append(exits[1:] != exits[:-1], True)
-    return times[:entries][keep], exits[keep]
-
-
-def _stretches(batches: Iterator[pd.DataFrame]):
-    """Split sorted batches into (part, stretch, times), carrying an unfinished stretch into the next batch."""
-    head, pending = None, []
+
+    def __init__(self, start: int, period: int):
+        self.edge, self.period = start + period, period
+        self.opens, self.free = [], []
+        self.open = True
+
+    def add(self, times: np.ndarray) -> None:
+        if self.open:
+            inside = int(np.searchsorted(times, self.edge))
+            self.opens.append(times[: inside + 1])
+            self.free.append(times[: inside + 1] + self.period)
+            if inside == len(times):
+                return
+            self.opens, self.free, self.open = np.concatenate(self.opens), np.concatenate(self.free), False
+            times = times[inside:]
+        while True:
+            hit = np.searchsorted(times, self.free)
+            moved = hit < len(times)
+            if not moved.any():
+                break
+            self.free[moved] = times[hit[moved]] + self.period
+        self._merge()
+
+    def _merge(self) -> None:
+        """Candidates that leave at the same time need one row: the last of them."""
+        keep = np.append(self.free[1:] != self.free[:-1], True)
+        self.opens, self.free = self.opens[keep], self.free[keep]
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """A chain that may accept from `x` on leaves with the second value of the first row whose bound is >= x."""
+        if self.open:
+            self.opens, self.free, self.open = np.concatenate(self.opens), np.concatenate(self.free), False
+        return self.opens, self.free
+
+
+_PIECE_ROWS = 250_000
+
+
+def _pieces(batches: Iterator[pd.DataFrame]):
+    """Split sorted batches into (part, stretch, times) pieces of bounded size; a stretch may take several."""
+    head, pending, size = None, [], 0
     for pdf in batches:
         if pdf.empty:
             continue
@@ -66,39 +92,70 @@ def _stretches(batches: Iterator[pd.DataFrame]):
         cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (stretches[1:] != stretches[:-1])) + 1
         bounds = [0, *cuts.tolist(), len(pdf)]
         for low, high in zip(bounds, bounds[1:]):
-            if head != (parts[low], stretches[low]):
-                if head is not None:
-                    yield *head, np.concatenate(pending)
-                head, pending = (parts[low], stretches[low]), []
+            key = (parts[low], stretches[low])
+            if pending and (key != head or size >= _PIECE_ROWS):
+                yield *head, pending[0] if len(pending) == 1 else np.concatenate(pending)
+                pending, size = [], 0
+            head = key
             pending.append(times[low:high])
-    if head is not None:
+            size += high - low
+    if pending:
         yield *head, np.concatenate(pending)
 
 
+_SMALL = 64
+
+
+def small_stretch(times: list[int], edge: int, period: int):
+    """The table of `StretchExits` for a few times, which plain loops build faster: (bound, free again) pairs."""
+    n = after = len(times)
+    free = [0] * n
+    for i in range(n - 1, -1, -1):
+        again = times[i] + period
+        while after and times[after - 1] >= again:
+            after -= 1
+        free[i] = free[after] if after < n else again
+    for i in range(n):
+        last = i == n - 1 or times[i] >= edge
+        if last or free[i] != free[i + 1]:
+            yield times[i], free[i]
+        if last:
+            return
+
+
 def _exit_tables(period: int):
+    width = period * _PERIODS_PER_STRETCH
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, size = [], 0
-        for part, stretch, times in _stretches(batches):
-            opens, leaves = stretch_exits(times, stretch * period * _PERIODS_PER_STRETCH, period)
-            out.append((part, stretch, opens, leaves))
-            size += len(opens)
-            if size >= 20_000:
-                yield _exit_frame(out)
-                out, size = [], 0
-        if out:
-            yield _exit_frame(out)
+        rows, head, exits = [], None, None
+        for part, stretch, times in _pieces(batches):
+            if exits is not None and head != (part, stretch):
+                yield _table_frame(head, exits)
+                exits = None
+            if exits is None and len(times) <= _SMALL:
+                # a piece this short is a whole stretch: only full pieces are cut
+                rows.extend([(part, stretch, o, f) for o, f in small_stretch(times.tolist(), stretch * width + period, period)])
+            else:
+                if exits is None:
+                    head, exits = (part, stretch), StretchExits(stretch * width, period)
+                exits.add(times)
+            if len(rows) >= 20_000:
+                yield _exit_frame(rows)
+                rows = []
+        if exits is not None:
+            yield _table_frame(head, exits)
+        yield _exit_frame(rows)
 
     return run
 
 
-def _exit_frame(tables) -> pd.DataFrame:
-    lengths = [len(t[2]) for t in tables]
-    return pd.DataFrame({
-        "_part": np.repeat(np.array([t[0] for t in tables], dtype=object), lengths),
-        "_stretch": np.repeat(np.array([t[1] for t in tables], dtype=np.int64), lengths),
-        "_opens": np.concatenate([t[2] for t in tables]),
-        "_leaves": np.concatenate([t[3] for t in tables]),
-    })
+def _exit_frame(rows) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["_part", "_stretch", "_opens", "_leaves"])
+
+
+def _table_frame(head, exits: StretchExits) -> pd.DataFrame:
+    opens, free = exits.table()
+    return pd.DataFrame({"_part": head[0], "_stretch": head[1], "_opens": opens, "_leaves": free})
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,10 +91,11 @@ def src_slow_log(spark: SparkSession, path: str, *, instance_id: str | None, min
 
 
 def history_filter(history: DataFrame, *, min_sec=0.5, own_schemas=()) -> DataFrame:
-    """Statement-history rows worth keeping; times come in picoseconds. All filters are plain comparisons that push down."""
+    """Statement-history rows worth keeping. Times come in picoseconds and are compared as they are, so that the bound
+    reaches the scan."""
     wanted = (
         ~F.col("current_schema").isin(*K.SYSTEM_SCHEMAS, *own_schemas) & F.col("sql_text").isNotNull()
-        & F.col("digest_text").isNotNull() & (F.col("timer_wait") / 1e12 > min_sec)
+        & F.col("digest_text").isNotNull() & (F.col("timer_wait") > F.lit(math.floor(min_sec * 1e12)).cast("bigint"))
     )
     for pattern in K.HISTORY_EXCLUDED_LIKE:
         wanted = wanted & ~F.col("sql_text").ilike(pattern)

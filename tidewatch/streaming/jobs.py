@@ -73,7 +73,7 @@ def cooldown_batch(batch: DataFrame, batch_id: int, *, state: str, keys, ts: str
 
     The state holds the last accepted time per key and the newest time seen. Rows within the period of their key's last
     accepted event are suppressed first, after which the rest no longer depends on earlier batches. Rows more than
-    a period older than the newest time of earlier batches are late: they are kept in `state`/late for a batch run.
+    a period older than the newest time of earlier batches are late, and so are rows without a time: they are kept in `state`/late for a batch run.
     Keys that no row in time can meet any more leave the state.
     """
     spark, step = batch.sparkSession, period_micros(period)
@@ -83,7 +83,7 @@ def cooldown_batch(batch: DataFrame, batch_id: int, *, state: str, keys, ts: str
         seen = sinks.read_version(spark, f"{state}/newest", batch_id - 1).first()["newest"]
     else:
         known, seen = spark.createDataFrame([], "_part string, _last bigint"), None
-    late = F.lit(False) if seen is None else F.col("_us") < seen - step
+    late = F.col("_us").isNull() if seen is None else F.coalesce(F.col("_us") < seen - step, F.lit(True))
     sinks.write_version(keyed.filter(late).drop("_part", "_us"), f"{state}/late", batch_id)
     in_time = keyed.filter(~late)
     free = in_time.join(known, "_part", "left").filter(
