@@ -8,8 +8,8 @@ from tidewatch.catalog.common import captured, events_as_of, orders_as_of
 from tidewatch.catalog.registry import query
 from tidewatch.operators import cooldown, folds, knowledge, metadata, reports, rules, tasks
 from tidewatch.plans import explain_tree
-from tidewatch.session import spread
-from tidewatch.sources import readers
+from tidewatch.session import shared_folder, spread
+from tidewatch.sources import readers, sinks
 
 # --- rules ---
 
@@ -54,9 +54,12 @@ def _(v):
     return rules.build_context(v.stmt_events).select("event_id", "context")
 
 
-@query("alert_text", f"""select event_id, severity || ' 慢查询告警' || chr(10) || '库: ' || coalesce(database_name, 'unknown') || chr(10) || '耗时: ' || {_FIXED.format(1)}
+_MARK = "case severity when 'P0' then '🔴' when 'P1' then '🟡' else '🟢' end"
+
+
+@query("alert_text", f"""select event_id, {_MARK} || ' 慢查询告警' || chr(10) || '库: ' || coalesce(database_name, 'unknown') || chr(10) || '耗时: ' || {_FIXED.format(1)}
   || 's | 扫描: ' || rows_examined || '行' || chr(10) || 'SQL: ' || case when length(sql_text) > 100 then substr(sql_text, 1, 100) || '...' else sql_text end
-  || chr(10) || chr(10) || '新发现慢查询' as alert from captured""")
+  || chr(10) || chr(10) || {_MARK} || ' [' || case severity when 'P0' then '严重' when 'P1' then '警告' else '关注' end || '] 新发现慢查询' as alert from captured""")
 def _(v):
     return rules.alert_text(captured(v)).select("event_id", "alert")
 
@@ -257,7 +260,7 @@ select metric, item, cast(value as bigint) as value from (
   union all select 'diagnoses', '', count(*) from diagnosis_record union all select 'pending', '', count(*) from diagnosis_record where status = 'RUNNING'
   union all select 'source', source, count(*) from f group by source union all select 'top', fingerprint, occurrence_count from frequent)""")
 def _(v):
-    folded = folds.agg_upsert_captured(None, captured(v))
+    folded = sinks.sink_captured(folds.agg_upsert_captured(None, captured(v)), path=shared_folder(v.spark, "captured"), version=0)
     return reports.dash_stats(folded, v.diagnosis_record, as_of=F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
 
 

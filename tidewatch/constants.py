@@ -6,6 +6,10 @@ P0_ROWS = 1_000_000
 P1_SECONDS = 2.0
 P1_ROWS = 100_000
 
+# --- fixed values: label and mark of each grade ---
+SEVERITY_LABELS = {"P0": "严重", "P1": "警告", "P2": "关注"}
+SEVERITY_MARKS = {"P0": "🔴", "P1": "🟡", "P2": "🟢"}
+
 # --- fixed values: schemas whose statements are never analysed ---
 SYSTEM_SCHEMAS = ("information_schema", "mysql", "performance_schema", "sys")
 
@@ -62,7 +66,7 @@ RETRY_HEADER = "【重试诊断】\n【原始SQL】\n"
 STALE_MESSAGE = "诊断超时（Agent可能异常退出）"
 FAILED_PREFIX = "诊断失败: "
 UNKNOWN_ERROR = "未知错误"
-P0_ALERT_CONTENT = "新发现慢查询"
+NEW_STATEMENT = "新发现慢查询"
 ALERT_TITLE = "慢查询告警"
 MULTI_STATEMENT = "安全拦截：禁止执行多条拼接的 SQL 语句"
 NOT_A_SELECT = "安全拦截：系统仅支持 SELECT 查询语句的分析，禁止包含 DML/DDL 等写操作"

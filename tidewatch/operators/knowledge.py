@@ -31,12 +31,12 @@ def _grams(text: Column) -> Column:
 
 
 def match_terms(terms: DataFrame, documents: DataFrame) -> DataFrame:
-    """(term, document columns) where the tags of an enabled document contain the term.
+    """(term, id) where the tags of an enabled document contain the term.
 
     "Contains" is no equality, and comparing every term with every tag would be a cross join. A tag that contains a term
     also contains its first three characters, so terms and tags meet in an equality join on those and are compared then.
     """
-    tagged = documents.filter(F.col("enabled")).withColumn("_tags", F.lower("tags"))
+    tagged = documents.filter(F.col("enabled")).select("id", F.lower("tags").alias("_tags"))
     tags = tagged.select("_tags").distinct().select("_tags", F.explode(_grams(F.col("_tags"))).alias("_gram"))
     keyed = terms.withColumn("_gram", F.substring("term", 1, _GRAM))
     hits = keyed.join(tags, "_gram").filter(F.contains("_tags", "term")).select("term", "_tags")
@@ -52,10 +52,9 @@ def knowledge_texts(term_sets: DataFrame, documents: DataFrame) -> DataFrame:
     """(term_set, knowledge, documents_found) for distinct term sets."""
     terms = unnest(term_sets, "term_set", "term", "term_set")
     hits = match_terms(terms.select("term").distinct(), documents)
-    found = (
-        terms.join(hits.select("term", "id", "category", "title", "content"), "term")
-        .select("term_set", F.struct(_priority().alias("priority"), "id", "category", "title", "content").alias("doc"))
-        .distinct()
+    pairs = terms.join(hits, "term").select("term_set", "id").distinct()
+    found = pairs.join(documents, "id").select(
+        "term_set", F.struct(_priority().alias("priority"), "id", "category", "title", "content").alias("doc")
     )
     blocks = F.transform(F.array_sort(F.collect_list("doc")), lambda d, i: F.concat(
         F.lit("**规则"), (i + 1).cast("string"), F.lit("** ["), d["category"], F.lit("]: "), d["title"],

@@ -34,12 +34,16 @@ def _today(as_of: Column) -> Column:
     return F.col("captured_at") >= F.date_trunc("DAY", as_of)
 
 
-def count_today_total_p0(captured: DataFrame, *, as_of: Column, project=None) -> DataFrame:
-    """One pass for three counters."""
-    return match_captured(captured, project=project).agg(
+def _counters(as_of: Column) -> list[Column]:
+    return [
         F.count_if(_today(as_of)).alias("today_count"), F.count(F.lit(1)).alias("total_count"),
         F.count_if(F.col("severity") == "P0").alias("p0_count"),
-    )
+    ]
+
+
+def count_today_total_p0(captured: DataFrame, *, as_of: Column, project=None) -> DataFrame:
+    """One pass for three counters."""
+    return match_captured(captured, project=project).agg(*_counters(as_of))
 
 
 def count_diagnoses(diagnoses: DataFrame, *, project=None) -> DataFrame:
@@ -52,7 +56,10 @@ def count_diagnoses(diagnoses: DataFrame, *, project=None) -> DataFrame:
 
 
 def dash_stats(captured: DataFrame, diagnoses: DataFrame, *, as_of: Column, project=None, top=5) -> DataFrame:
-    """The dashboard in long form: (metric, item, value)."""
+    """The dashboard in long form: (metric, item, value).
+
+    The counters are summed from the counts per source, so both come from one pass over the statements.
+    """
 
     def rows(frame, metric, item, value):
         return frame.select(F.lit(metric).alias("metric"), item.alias("item"), value.cast("bigint").alias("value"))
@@ -63,14 +70,15 @@ def dash_stats(captured: DataFrame, diagnoses: DataFrame, *, as_of: Column, proj
         ])
         return frame.select(F.inline(cells))
 
+    per_source = match_captured(captured, project=project).groupBy("source").agg(*_counters(as_of))
+    names = ("today_count", "total_count", "p0_count")
     counts = unpivot(
-        count_today_total_p0(captured, as_of=as_of, project=project),
-        (("today", "today_count"), ("total", "total_count"), ("p0", "p0_count")),
+        per_source.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]), tuple(zip(("today", "total", "p0"), names))
     )
     tasks = unpivot(
         count_diagnoses(diagnoses, project=project), (("diagnoses", "diagnosis_count"), ("pending", "pending_count"))
     )
-    sources = rows(count_by_source(captured, project=project), "source", F.col("source"), F.col("cnt"))
+    sources = rows(per_source, "source", F.col("source"), F.col("total_count"))
     frequent = rows(
         top_frequent(captured, n=top, project=project), "top", F.col("fingerprint"), F.col("occurrence_count")
     )

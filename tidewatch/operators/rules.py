@@ -7,6 +7,7 @@ one array expression per statement, so matching is a projection without a join o
 from __future__ import annotations
 
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,13 +135,21 @@ def build_context(events: DataFrame, rules=K.RULES) -> DataFrame:
     )
 
 
-def alert_text(events: DataFrame, *, content=K.P0_ALERT_CONTENT) -> DataFrame:
-    """Add the alert line: the statement is cut to 100 characters, the content to 300."""
+def _by_grade(grade: Column, values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])[grade]
+
+
+def alert_text(events: DataFrame, *, content: Column | None = None) -> DataFrame:
+    """Add the alert line: the statement is cut to 100 characters, the content to 300. The content says by default that
+    the statement is new; a report may be given instead."""
     seconds = F.coalesce("query_time_sec", F.lit(0.0))
     rows = F.coalesce("rows_examined", F.lit(0).cast("bigint"))
-    body = content if isinstance(content, Column) else F.lit(content)
+    grade = severity(seconds, rows)
+    mark = _by_grade(grade, K.SEVERITY_MARKS)
+    new = F.concat(mark, F.lit(" ["), _by_grade(grade, K.SEVERITY_LABELS), F.lit(f"] {K.NEW_STATEMENT}"))
+    body = new if content is None else content
     return events.withColumn("alert", F.concat(
-        severity(seconds, rows), F.lit(f" {K.ALERT_TITLE}\n库: "), F.coalesce("database_name", F.lit("unknown")),
+        mark, F.lit(f" {K.ALERT_TITLE}\n库: "), F.coalesce("database_name", F.lit("unknown")),
         F.format_string("\n耗时: %.1fs | 扫描: %d行\nSQL: ", seconds, rows),
         preview(F.col("sql_text"), 100), F.lit("\n\n"), preview(body, 300),
     ))

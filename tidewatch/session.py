@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_root: tempfile.TemporaryDirectory | None = None
+
+
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks; on a cluster the caller brings its own."""
     return (
@@ -38,7 +41,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        global _local_root
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tidewatch-")
+        _local_root = _local_root or tempfile.TemporaryDirectory(prefix="tidewatch-")
+        root = _local_root.name
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
