@@ -90,7 +90,7 @@ def test_quota(spark):
 
 def test_running_total_carry_and_neighbours(spark):
     rng = random.Random(5)
-    rows = [(i, rng.choice(["a", None, "b", "a", "a"]), rng.randrange(10**6), rng.choice([None, 1, 2, 3])) for i in range(2000)]
+    rows = [(i, rng.choice(["a", None, "b", "a", "a"]), rng.choice([None, *[rng.randrange(10**6)] * 9]), rng.choice([None, 1, 2, 3])) for i in range(2000)]
     df = spark.createDataFrame(rows, "id bigint, k string, at bigint, v bigint")
     args = dict(keys=["k"], order=["at", "id"], chunk=ordered.number_chunk("at", 50_000))
     out = ordered.running_total(df, value=F.col("v"), out="total", **args)
@@ -100,7 +100,7 @@ def test_running_total_carry_and_neighbours(spark):
     out = ordered.following(out, columns=["id", "v"], out="after", **args)
     got = {r["id"]: (r["total"], r["pos"], r["latest"], r["before"] and tuple(r["before"]), r["after"] and tuple(r["after"])) for r in out.collect()}
     for key in ("a", "b", None):
-        mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
+        mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is not None, r[2], r[0]))
         total, latest = 0, None
         for n, (i, _, _, v) in enumerate(mine):
             total += v or 0

@@ -43,11 +43,15 @@ def test_cooldown(spark, batches):
 def test_upsert(spark, batches):
     whole, run, tmp = batches
     run(lambda s: jobs.stream_upsert(s, path=f"{tmp}/snap", checkpoint=f"{tmp}/cp"))
-    got = {r["fingerprint"]: r for r in sinks.read_version(spark, f"{tmp}/snap", 2).collect()}
-    for want in folds.agg_upsert_captured(None, whole).collect():
-        r = got[want["fingerprint"]]
-        assert (r["occurrence_count"], r["sql_text"]) == (want["occurrence_count"], want["sql_text"])
-        assert r["query_time_sec"] == pytest.approx(want["query_time_sec"], rel=1e-12)
+    jobs.compact_captured(spark, f"{tmp}/snap", version=0)
+    jobs.compact_captured(spark, f"{tmp}/snap", version=1, compacted=0)
+    wanted = folds.agg_upsert_captured(None, whole).collect()
+    for compacted in (None, 0, 1):
+        got = {r["fingerprint"]: r for r in jobs.read_captured(spark, f"{tmp}/snap", compacted=compacted).collect()}
+        for want in wanted:
+            r = got[want["fingerprint"]]
+            assert (r["occurrence_count"], r["sql_text"]) == (want["occurrence_count"], want["sql_text"])
+            assert r["query_time_sec"] == pytest.approx(want["query_time_sec"], rel=1e-12)
 
 
 def test_repeated_batch_changes_nothing(spark, batches):

@@ -7,7 +7,6 @@ from tidewatch.catalog.capture import _HISTORY_WHERE, _LOG_ORACLE, FOLD, fold_co
 from tidewatch.catalog.common import captured
 from tidewatch.catalog.registry import query
 from tidewatch.session import shared_folder
-from tidewatch.sources import sinks
 from tidewatch.streaming import jobs
 
 
@@ -77,7 +76,7 @@ def _(v):
 def _(v):
     paths = _outputs(v.spark, "stream-upsert")
     jobs.stream_upsert(_stream_of(captured(v), "captured-events"), path=paths["snapshot"], checkpoint=paths["checkpoint"]).awaitTermination()
-    return fold_columns(sinks.read_version(v.spark, paths["snapshot"], 0))
+    return fold_columns(jobs.read_captured(v.spark, paths["snapshot"]))
 
 
 @query("stream_capture", _CHAIN.format(where="""length(sql_text) >= 10 and not starts_with(sql_text, 'SHOW ')""", period="30 minute").replace(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ordered import time_chunk
@@ -10,92 +10,114 @@ from tidewatch.operators.ordered import time_chunk
 _CHUNK_SECONDS = 3600
 
 
-def agg_upsert_captured(state: DataFrame | None, events: DataFrame, *, on_duplicate="fold", tie="event_id") -> DataFrame:
-    """One row per fingerprint after applying `events` to `state` in order of (captured_at, tie).
+_STATE_BATCH = -1
+_FIRST = ("sql_text", "database_name", "instance_id", "project_code", "rows_sent", "source", "captured_at",
+          "query_time_sec", "lock_time_sec")
+_LATEST = ("diagnosis_report", "severity")
 
-    Times are averaged pairwise in order, m <- (m + v) / 2, so event i of n weighs 2^-(n-i+1) and the first one
-    2^-(n-1). That sum is associative: each hour of a fingerprint is summed on its own and then shifted by the number
-    of later events, so a hot fingerprint is spread over its hours.
 
-    Events may carry a flag `duplicate` (within the cool-down). `on_duplicate` says what it does: "fold" treats
-    it like any event, "count" only adds to the counter, "skip" ignores it.
+def _order(batch: int, at: Column, tie: Column) -> Column:
+    return F.struct(F.lit(batch).alias("batch"), at.alias("at"), tie.alias("tie"))
+
+
+def capture_partials(events: DataFrame, *, on_duplicate="fold", tie="event_id", batch=0) -> DataFrame:
+    """Partial folds of `events`: one row per fingerprint and hour, which `merge_partials` and `compact_partials` combine.
+
+    Times are averaged pairwise in order, m <- (m + v) / 2, so event i of n weighs 2^-(n-i+1) and the first one twice
+    that. The sum is associative: each hour is summed on its own and shifted later by the number of events after
+    it, so a hot fingerprint is spread over its hours and batches can be folded apart.
     """
     rows = events.select(
-        "fingerprint", "sql_text", "database_name", "instance_id", "project_code", "query_time_sec", "lock_time_sec",
-        "rows_examined", "rows_sent", "source", "diagnosis_report", "severity", "captured_at",
-        F.lit(1).cast("bigint").alias("occurrence_count"),
-        F.struct(F.lit(1).alias("kind"), F.col("captured_at").alias("at"), F.col(tie).alias("tie")).alias("_order"),
+        "fingerprint", *_FIRST, "rows_examined", *_LATEST,
+        _order(batch, F.col("captured_at"), F.col(tie)).alias("_order"),
         time_chunk("captured_at", _CHUNK_SECONDS).alias("_chunk"),
         (F.coalesce("duplicate", F.lit(False)) if "duplicate" in events.columns else F.lit(False)).alias("_dup"),
     )
     if on_duplicate == "skip":
         rows = rows.filter(~F.col("_dup"))
-    if on_duplicate != "count":
-        rows = rows.withColumn("_dup", F.lit(False))
-    if state is not None:
-        kind = events.schema["captured_at"].dataType
-        stored = state.select(
-            *[c for c in rows.columns if not c.startswith("_") and c != "captured_at"],
-            F.col("captured_at").cast(kind).alias("captured_at"),
-            F.struct(
-                F.lit(0).alias("kind"), F.col("captured_at").cast(kind).alias("at"),
-                F.lit(None).cast(events.schema[tie].dataType).alias("tie"),
-            ).alias("_order"),
-            F.lit(-(2**62)).cast("bigint").alias("_chunk"), F.lit(False).alias("_dup"),
-        )
-        rows = stored.unionByName(rows)
-
-    folded = ~F.col("_dup")
+    folded = ~F.col("_dup") if on_duplicate == "count" else F.lit(True)
     late_first = Window.partitionBy("fingerprint", "_chunk").orderBy(F.desc("_folded"), F.desc("_order"))
-    per_chunk = (
+    when = F.when(F.col("_folded"), F.col("_order"))
+
+    def total(column):
+        return F.sum(F.coalesce(column, F.lit(0.0)) * F.col("_weight")).alias(f"_{column}")
+
+    return (
         rows.withColumn("_folded", folded)
         .withColumn("_weight", F.when(F.col("_folded"), F.pow(F.lit(2.0), -F.row_number().over(late_first))))
-        .groupBy("fingerprint", "_chunk").agg(
-            F.count_if("_folded").alias("_n"),
-            F.sum("occurrence_count").alias("_count"),
-            F.sum(F.coalesce("query_time_sec", F.lit(0.0)) * F.col("_weight")).alias("_query"),
-            F.sum(F.coalesce("lock_time_sec", F.lit(0.0)) * F.col("_weight")).alias("_lock"),
+        .groupBy(F.lit(batch).alias("_batch"), "fingerprint", "_chunk").agg(
+            F.count_if("_folded").alias("_n"), F.count(F.lit(1)).alias("_count"),
+            total("query_time_sec"), total("lock_time_sec"),
             F.max(F.when(F.col("_folded"), F.col("rows_examined"))).alias("_rows"),
-            F.min_by(
-                F.struct(
-                    "sql_text", "database_name", "instance_id", "project_code", "rows_sent", "source", "captured_at",
-                    "query_time_sec", "lock_time_sec",
-                ),
-                F.when(F.col("_folded"), F.col("_order")),
-            ).alias("_first"),
-            F.min(F.when(F.col("_folded"), F.col("_order"))).alias("_first_order"),
-            *[
-                F.max_by(F.struct(c, "_order"), F.when(F.col("_folded") & F.col(c).isNotNull(), F.col("_order"))).alias(f"_{c}")
-                for c in ("diagnosis_report", "severity")
-            ],
+            F.min_by(F.struct(*_FIRST), when).alias("_first"), F.min(when).alias("_first_order"),
+            *[F.max_by(F.struct(c, "_order"), F.when(F.col(c).isNotNull(), when)).alias(f"_{c}") for c in _LATEST],
         )
     )
-    later = Window.partitionBy("fingerprint").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _state_partials(state: DataFrame, events: DataFrame, tie: str) -> DataFrame:
+    """A snapshot as partials that come before all events."""
+    at = F.col("captured_at").cast(events.schema["captured_at"].dataType)
+    order = _order(_STATE_BATCH, at, F.lit(None).cast(events.schema[tie].dataType))
+    half = F.lit(0.5)
+    return state.withColumn("captured_at", at).select(
+        F.lit(_STATE_BATCH).alias("_batch"), "fingerprint", F.lit(0).cast("bigint").alias("_chunk"),
+        F.lit(1).cast("bigint").alias("_n"), F.col("occurrence_count").alias("_count"),
+        *[(F.coalesce(c, F.lit(0.0)) * half).alias(f"_{c}") for c in ("query_time_sec", "lock_time_sec")],
+        F.col("rows_examined").alias("_rows"), F.struct(*_FIRST).alias("_first"), order.alias("_first_order"),
+        *[F.when(F.col(c).isNotNull(), F.struct(c, order.alias("_order"))).alias(f"_{c}") for c in _LATEST],
+    )
+
+
+def compact_partials(partials: DataFrame) -> DataFrame:
+    """One partial per fingerprint instead of one per batch and hour; it may be combined with later ones again."""
+    later = (
+        Window.partitionBy("fingerprint").orderBy(F.desc("_batch"), F.desc("_chunk"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     shift = F.pow(F.lit(2.0), -F.col("_later"))
-    total = (
-        per_chunk.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    return (
+        partials.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
         .groupBy("fingerprint").agg(
-            F.sum("_n").alias("_n"), F.sum("_count").alias("occurrence_count"),
-            F.sum(F.col("_query") * shift).alias("_query"), F.sum(F.col("_lock") * shift).alias("_lock"),
-            F.max("_rows").alias("rows_examined"), F.min_by("_first", "_first_order").alias("_first"),
-            *[
-                F.max_by(f"_{c}.{c}", f"_{c}._order").alias(c) for c in ("diagnosis_report", "severity")
-            ],
+            F.max("_batch").alias("_batch"), F.max("_chunk").alias("_chunk"), F.sum("_n").alias("_n"),
+            F.sum("_count").alias("_count"),
+            *[F.sum(F.col(f"_{c}") * shift).alias(f"_{c}") for c in ("query_time_sec", "lock_time_sec")],
+            F.max("_rows").alias("_rows"), F.min_by("_first", "_first_order").alias("_first"),
+            F.min("_first_order").alias("_first_order"),
+            *[F.max_by(f"_{c}", f"_{c}._order").alias(f"_{c}") for c in _LATEST],
         )
-        .filter(F.col("_n") > 0)
+        .select(partials.columns)
     )
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """The snapshot: one row per fingerprint that has at least one folded event."""
+    total = compact_partials(partials).filter(F.col("_n") > 0)
     first_again = F.pow(F.lit(2.0), -F.col("_n"))
 
-    def mean(name, column):
-        return (F.col(name) + F.coalesce(F.col(f"_first.{column}"), F.lit(0.0)) * first_again).alias(column)
+    def mean(column):
+        return (F.col(f"_{column}") + F.coalesce(F.col(f"_first.{column}"), F.lit(0.0)) * first_again).alias(column)
 
     return total.select(
         "fingerprint", "_first.sql_text", "_first.database_name", "_first.instance_id", "_first.project_code",
-        mean("_query", "query_time_sec"), mean("_lock", "lock_time_sec"), "rows_examined", "_first.rows_sent",
-        "_first.source", "occurrence_count", "diagnosis_report", "severity", "_first.captured_at",
+        mean("query_time_sec"), mean("lock_time_sec"), F.col("_rows").alias("rows_examined"), "_first.rows_sent",
+        "_first.source", F.col("_count").alias("occurrence_count"),
+        *[F.col(f"_{c}.{c}").alias(c) for c in _LATEST], "_first.captured_at",
     )
 
 
+def agg_upsert_captured(state: DataFrame | None, events: DataFrame, *, on_duplicate="fold", tie="event_id") -> DataFrame:
+    """One row per fingerprint after applying `events` to `state` in order of (captured_at, tie).
+
+    Events may carry a flag `duplicate` (within the cool-down). `on_duplicate` says what it does: "fold" treats
+    it like any event, "count" only adds to the counter, "skip" ignores it.
+    """
+    partials = capture_partials(events, on_duplicate=on_duplicate, tie=tie)
+    if state is not None:
+        partials = _state_partials(state, events, tie).unionByName(partials)
+    return merge_partials(partials)
+
+
 _UPDATED = ("status", "report", "error_message", "duration_ms", "tool_call_count", "updated_at")
 
 

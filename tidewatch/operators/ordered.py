@@ -27,7 +27,8 @@ def number_chunk(column: str, width: int = 4096) -> Column:
 
 def _chunked(rows: DataFrame, keys, chunk: Column) -> DataFrame:
     # a struct is never NULL itself, so keys that are NULL meet in an ordinary equality join
-    return rows.withColumn(_PART, F.struct(*keys)).withColumn(_CHUNK, chunk)
+    # rows without an order value sort first and get a chunk of their own
+    return rows.withColumn(_PART, F.struct(*keys)).withColumn(_CHUNK, F.coalesce(chunk, F.lit(-(2**62)).cast("bigint")))
 
 
 def running_total(rows: DataFrame, *, keys, order, chunk: Column, value: Column, out: str) -> DataFrame:

@@ -126,9 +126,13 @@ def src_statement_history(history: DataFrame, anchors: DataFrame, *, min_sec=0.5
     return events, following
 
 
-def history_from_jdbc(spark: SparkSession, *, url: str, table: str, properties: dict, bounds: list[int]) -> DataFrame:
-    """A statement-history table over JDBC, read in one partition per range between neighbouring `bounds` of timer_start."""
-    ranges = [f"timer_start >= {a} AND timer_start < {b}" for a, b in zip(bounds, bounds[1:])]
+def history_from_jdbc(spark: SparkSession, *, url: str, table: str, properties: dict, cuts: list[int]) -> DataFrame:
+    """A statement-history table over JDBC, read in one partition per range of timer_start between the sorted `cuts`."""
+    ranges = [
+        f"timer_start < {cuts[0]} OR timer_start IS NULL",
+        *[f"timer_start >= {a} AND timer_start < {b}" for a, b in zip(cuts, cuts[1:])],
+        f"timer_start >= {cuts[-1]}",
+    ]
     return spark.read.jdbc(url, table, predicates=ranges, properties=properties)
 
 

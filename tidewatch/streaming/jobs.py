@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch import constants as K
 from tidewatch.functions.text import fingerprint, is_noise, micros, severity
 from tidewatch.operators.cooldown import cooldown_dedup, key_text, period_micros
-from tidewatch.operators.folds import agg_upsert_captured
+from tidewatch.operators.folds import capture_partials, compact_partials, merge_partials
 from tidewatch.operators.rules import alert_text, build_context
 from tidewatch.operators.tasks import join_project, new_tasks
 from tidewatch.sources import readers, sinks
@@ -130,16 +130,34 @@ def stream_alerts(events: DataFrame, *, period="24 hours", tie="event_id", out:
 
 
 def stream_upsert(events: DataFrame, *, path: str, checkpoint: str) -> StreamingQuery:
-    """Fold graded, fingerprinted events into the snapshot of version = batch number."""
-    spark = events.sparkSession
+    """Fold graded, fingerprinted events batch by batch. A batch writes its own partial folds only, so its cost
+    does not grow with the history; `read_captured` gives the snapshot."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        state = sinks.read_version(spark, path, batch_id - 1) if batch_id else None
-        sinks.sink_captured(agg_upsert_captured(state, batch), path=path, version=batch_id)
+        sinks.write_version(capture_partials(batch, batch=batch_id), f"{path}/partials", batch_id)
 
     return _start(events, work, checkpoint)
 
 
+def _partials(spark: SparkSession, path: str, compacted: int | None) -> DataFrame:
+    parts = spark.read.parquet(f"{path}/partials")
+    if compacted is None:
+        return parts.drop("version")
+    newer = parts.filter(F.col("version") > compacted).drop("version")
+    return sinks.read_version(spark, f"{path}/compacted", compacted).unionByName(newer)
+
+
+def read_captured(spark: SparkSession, path: str, *, compacted: int | None = None) -> DataFrame:
+    """The snapshot of everything folded so far; with `compacted`, on top of that compaction."""
+    return merge_partials(_partials(spark, path, compacted))
+
+
+def compact_captured(spark: SparkSession, path: str, *, version: int, compacted: int | None = None) -> None:
+    """Merge the partial folds up to batch `version` into one per fingerprint; run it now and then between batches."""
+    parts = _partials(spark, path, compacted).filter(F.col("_batch") <= version)
+    sinks.write_version(compact_partials(parts), f"{path}/compacted", version)
+
+
 def capture_events(events: DataFrame, instances: DataFrame) -> DataFrame:
     """The stateless part of the capture chain: project, noise filter, fingerprint, grade."""
     kept = join_project(events, instances).filter(F.col("sql_text").isNotNull()).filter(~is_noise(F.col("sql_text")))
@@ -151,16 +169,14 @@ def capture_events(events: DataFrame, instances: DataFrame) -> DataFrame:
 
 def stream_capture(events: DataFrame, instances: DataFrame, *, out: str, state: str, snapshot: str, checkpoint: str,
                    period="30 minutes", rules=K.RULES) -> StreamingQuery:
-    """The whole chain: filter, grade, cool down, fold accepted events into the snapshot, emit their tasks."""
-    spark = events.sparkSession
+    """The whole chain: filter, grade, cool down, fold accepted events, emit their tasks."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
         graded = capture_events(batch, instances)
         accepted = cooldown_batch(
             graded, batch_id, state=state, keys=["fingerprint"], ts="captured_at", tie="event_id", period=period
         )
-        old = sinks.read_version(spark, snapshot, batch_id - 1) if batch_id else None
-        sinks.sink_captured(agg_upsert_captured(old, accepted), path=snapshot, version=batch_id)
+        sinks.write_version(capture_partials(accepted, batch=batch_id), f"{snapshot}/partials", batch_id)
         sinks.sink_tasks(new_tasks(build_context(accepted, rules)), path=out, version=batch_id)
 
     return _start(capture_source(events), work, checkpoint)
