@@ -1,0 +1,50 @@
+"""All operators under one roof: `from tidewatch import api`."""
+
+from tidewatch.operators.cooldown import alert_dedup, cooldown_dedup, mark_accepted, quota_flag
+from tidewatch.operators.filters import (
+    del_project, del_retention, del_rows, flt_enabled_source, flt_http_valid, flt_known_variables, flt_lock_waits,
+    flt_noise, flt_safe_identifier, flt_stale_tasks, flt_system_schema, flt_threshold, flt_write_guard, lookup_by_key,
+    lookup_session,
+)
+from tidewatch.operators.folds import (
+    agg_upsert_captured, agg_upsert_diagnosis, capture_partials, compact_partials, merge_partials,
+)
+from tidewatch.operators.knowledge import (
+    build_manual_context, join_knowledge, list_documents, upsert_documents,
+)
+from tidewatch.operators.metadata import (
+    index_coverage, redundant_indexes, row_estimate_audit, table_statistics, type_mismatch,
+)
+from tidewatch.operators.ordered import carry, following, position, previous, running_total
+from tidewatch.operators.reports import (
+    agg_fingerprint, buffer_hit_rate, capture_stats, connections_by_command, count_by_source, count_diagnoses,
+    count_today_total_p0, daily_trend, dash_stats, top_statements,
+)
+from tidewatch.operators.rules import alert_text, build_context, join_rules, join_rules_with_plan, rules_report
+from tidewatch.operators.search import (
+    history_status_filter, match_captured, match_history, page_of, prj_history_summary, prj_record_view, recent_n,
+    search_captured, search_history, top_frequent,
+)
+from tidewatch.operators.statements import (
+    audit_rows, bind_parameters, classify_statements, fn_fingerprint, fn_fingerprint_global, fn_normalize_sql,
+    fn_severity, fn_strip_comments, mask_statements, referenced_tables, tables_array, tables_text,
+)
+from tidewatch.operators.tasks import (
+    anti_finished_tasks, budget_guard, build_report_cache, drain_fallback, join_project, join_report_cache, join_results,
+    latest_diagnosis, latest_results, new_tasks, progress_steps, rebuild_fp_reports, reconcile_missing, repeat_guard,
+    retry_tasks, round_cap, task_backlog, task_errors, task_metrics, task_status, union_sources, write_back_reports,
+)
+from tidewatch.plans.explain_tree import compare_plans, plan_key, plan_tables, with_accesses
+from tidewatch.sources.readers import (
+    dim_instances, history_from_jdbc, src_http_events, src_http_events_v2, src_manual, src_results, src_slow_log,
+    src_slow_log_rows, src_statement_history, win_sticky_db,
+)
+from tidewatch.sources.sinks import (
+    read_version, schema_align, sink_audit, sink_captured, sink_diagnosis, sink_tasks, write_version,
+)
+from tidewatch.streaming.jobs import (
+    compact_captured, read_captured, stream_alerts, stream_capture, stream_cooldown, stream_history_anchor, stream_http,
+    stream_slow_log, stream_upsert,
+)
+
+__all__ = [name for name in dir() if not name.startswith("_")]

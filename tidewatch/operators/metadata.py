@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as X
@@ -22,9 +22,8 @@ def index_definitions(index_columns: DataFrame) -> DataFrame:
 def redundant_indexes(index_columns: DataFrame, *, min_indexes=3) -> DataFrame:
     """Single-column indexes whose column leads a longer index, in tables with at least `min_indexes` indexes."""
     indexes = index_definitions(index_columns)
-    per_table = Window.partitionBy(*_TABLE)
-    indexes = indexes.withColumn("index_count", F.count(F.lit(1)).over(per_table)).filter(F.col("index_count") >= min_indexes)
-    single = indexes.filter(F.col("width") == 1).select(*_TABLE, "first_column", "index_name", "cols", "index_count")
+    counts = indexes.groupBy(*_TABLE).agg(F.count(F.lit(1)).alias("index_count")).filter(F.col("index_count") >= min_indexes)
+    single = indexes.filter(F.col("width") == 1).select(*_TABLE, "first_column", "index_name", "cols").join(counts, _TABLE)
     longer = indexes.filter(F.col("width") > 1).select(
         *_TABLE, "first_column", F.col("index_name").alias("covered_by"), F.col("cols").alias("covering_cols")
     )
