@@ -18,7 +18,7 @@ _NOT_ALIAS = (
     "union window for force use ignore procedure into lock as"
 )
 _ALIAS = rf"(?:\s+(?:as\s+)?(?!(?:{'|'.join(_NOT_ALIAS.split())})\b)`?\w+`?)?"
-_FROM_LIST = rf"(?i)\b(?:from|join)\s+({_NAME}{_ALIAS}(?:\s*,\s*{_NAME}{_ALIAS})*)"
+_FROM_LIST = rf"(?i)\b(?:from|join|straight_join)\s+({_NAME}{_ALIAS}(?:\s*,\s*{_NAME}{_ALIAS})*)"
 _CTE = r"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)(`?\w+`?)\s*(?:\([^()]*\)\s*)?as\s*\("
 _FUNCTION_FROM = r"(?i)\b(extract|trim|substring|substr)\s*\(([^()]*?)\bfrom\b"
 
