@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,14 +83,16 @@ def bare_code(sql: Column, mark: str = " ") -> Column:
 
 def is_noise(sql: Column) -> Column:
     """Housekeeping and metadata statements, and everything that does not read."""
-    upper = F.upper(sql)
     start = r"^[\x00-\x20]*"
-    return (
-        (F.length(sql) < K.NOISE_MIN_LENGTH)
-        | upper.rlike(any_of(K.NOISE_PREFIXES, start))
-        | upper.rlike(any_of(K.NOISE_FRAGMENTS))
-        | ~upper.rlike(any_of(K.KEPT_PREFIXES, start))
-    )
+
+    def of(upper):
+        fragments = [F.contains(upper, F.lit(f)) for f in K.NOISE_FRAGMENTS]
+        return (
+            upper.rlike(any_of(K.NOISE_PREFIXES, start)) | ~upper.rlike(any_of(K.KEPT_PREFIXES, start))
+            | reduce(lambda x, y: x | y, fragments)
+        )
+
+    return (F.length(sql) < K.NOISE_MIN_LENGTH) | let(F.upper(sql), of)
 
 
 def has_write_word(sql: Column) -> Column:

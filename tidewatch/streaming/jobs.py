@@ -77,7 +77,8 @@ def cooldown_batch(batch: DataFrame, batch_id: int, *, state: str, keys, ts: str
     Keys that no row in time can meet any more leave the state.
     """
     spark, step = batch.sparkSession, period_micros(period)
-    keyed = batch.withColumn("_part", key_text(keys)).withColumn("_us", micros(F.col(ts)))
+    # three passes follow; a lost executor recomputes its part of the batch from the source
+    keyed = batch.withColumn("_part", key_text(keys)).withColumn("_us", micros(F.col(ts))).persist()
     if batch_id:
         known = sinks.read_version(spark, f"{state}/last", batch_id - 1)
         seen = sinks.read_version(spark, f"{state}/newest", batch_id - 1).first()["newest"]
@@ -99,6 +100,7 @@ def cooldown_batch(batch: DataFrame, batch_id: int, *, state: str, keys, ts: str
     if newest is not None:
         last = last.filter(F.col("_last") > newest - 2 * step)
     sinks.write_version(last, f"{state}/last", batch_id)
+    keyed.unpersist()
     return accepted
 
 
