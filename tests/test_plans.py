@@ -1,12 +1,16 @@
 """Shapes of the plans that matter at scale."""
 
 import json
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, queries
 from tidewatch.operators import cooldown, search, tasks
+from tidewatch.plans import explain_tree
 from tidewatch.plans.explain_tree import plan_key, plan_tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -70,3 +74,9 @@ def test_plan_documents(spark):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("function", [cooldown._exit_tables(1000), cooldown._walk, cooldown._accept(1000), explain_tree.table_accesses])
+def test_task_functions_travel_without_the_package(function):
+    load = "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"
+    subprocess.run([sys.executable, "-c", load], input=cloudpickle.dumps(function), cwd="/", check=True, timeout=60)
