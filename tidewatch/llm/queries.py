@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import toxicity
+from tidewatch.llm import decontaminate, lines, mixing, simhash, toxicity
 from tidewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,23 @@ def query(name: str, oracle: str | None = None):
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash(table(spark, folder, "documents"), words=3, radius=3)
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_dedup(table(spark, folder, "documents"))
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_mixing")
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_documents(table(spark, folder, "documents"))
