@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, lines, mixing, simhash, toxicity
+from tidewatch.llm import decontaminate, htmltext, languages, lines, mixing, simhash, topk, toxicity, warc
 from tidewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,55 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_mixing")
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, folder, "documents"))
+
+
+@query("op1_warc", """
+with p as (
+  select page_id, coalesce(url, '') as url, octet_length(encode(coalesce(html, ''))) as payload_bytes,
+    sha1(encode(coalesce(html, ''))) as payload_digest,
+    strftime(to_timestamp(1704067200 + page_id % 31536000) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as captured_at
+  from pages
+), k as (
+  select *, max(page_id) over (partition by payload_digest) as response,
+    array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www[0-9]*\\.', ''), '.')), ',')
+      || ')' || lower(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '#.*$', '', 's')) as url_key
+  from p
+), r as (
+  select *, case when payload_bytes >= 1000 and response <> page_id then response end as refers_to from k
+)
+select page_id, payload_bytes, payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to,
+  url_key, captured_at, row_number() over (order by url_key, captured_at, page_id) as position
+from r
+""")
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    index = warc.capture_index(table(spark, folder, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position")
+
+
+@query("op2_topk", """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id
+  where q.vec_id % 20 = 0
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s
+qualify rank <= 20
+""")
+def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, folder, "embeddings"))
+    return topk.top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
+
+
+@query("op4_languages")
+def op4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.language_id(table(spark, folder, "documents"))
+
+
+@query("op6_htmltext")
+def op6_htmltext(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.extract(table(spark, folder, "pages"))
