@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, htmltext, languages, lines, mixing, simhash, topk, toxicity, warc
+from tidewatch.llm import decontaminate, htmltext, languages, lines, mixing, passages, simhash, topk, toxicity, warc
 from tidewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op4_languages(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_htmltext")
 def op6_htmltext(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.extract(table(spark, folder, "pages"))
+
+
+@query("op8_passages")
+def op8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
