@@ -31,43 +31,43 @@ def edit_distance(longer: Column, shorter: Column, edits: int = EDITS) -> Column
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    p, t = F.split(longer, ""), F.split(shorter, "")
-    off = F.length(longer) - F.length(shorter)
     above = (1 << edits) - 1
     long = lambda v: F.lit(v).cast("long")
-    start = F.struct(long(mask ^ above).alias("vp"), long(above).alias("vn"), off.cast("long").alias("d"))
-
-    def diagonal(word: Column) -> Column:
-        """The bit of the diagonal the last cell lies on."""
-        choices = F.when(off == 0, F.shiftright(word, edits))
-        for k in range(1, edits + 1):
-            choices = choices.when(off == k, F.shiftright(word, edits + k))
-        return choices.otherwise(long(0)).bitwiseAND(long(1))
-
-    def eq(s: Column, j: Column) -> Column:
-        char = F.get(t, j)
-        bits = [F.when(F.get(p, j + (b - edits)) == char, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(width)]
-        return reduce(lambda x, y: x + y, bits).cast("long")
-
-    def step(s: Column, j: Column) -> Column:
-        # Structs carry each intermediate word once; an inlined expression would be evaluated again at every use.
-        withs = F.transform(F.array(eq(s, j)), lambda e: F.struct(
-            ((((e.bitwiseAND(s.vp)) + s.vp).bitwiseXOR(s.vp)).bitwiseOR(e).bitwiseOR(s.vn)).bitwiseAND(long(mask)).alias("d0")
-        ))
-        moved = F.transform(withs, lambda w: F.struct(
-            w.d0.alias("d0"),
-            s.vn.bitwiseOR(F.bitwise_not(w.d0.bitwiseOR(s.vp)).bitwiseAND(long(mask))).alias("hp"),
-            w.d0.bitwiseAND(s.vp).alias("hn"), F.shiftright(w.d0, 1).alias("x"),
-        ))
-        following = F.transform(moved, lambda w: F.struct(
-            w.hn.bitwiseOR(F.bitwise_not(w.x.bitwiseOR(w.hp)).bitwiseAND(long(mask))).alias("vp"),
-            w.x.bitwiseAND(w.hp).alias("vn"),
-            (s.d + 1 - diagonal(w.d0)).alias("d"),
-        ))
-        return F.when(s.d > edits, s).otherwise(F.get(following, F.lit(0)))
-
-    columns = F.when(F.length(shorter) > 0, F.sequence(F.lit(0), F.length(shorter) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(off > edits, F.lit(edits + 1).cast("long")).otherwise(F.aggregate(columns, start, step, lambda s: s.d))
+
+    def of(pair: Column) -> Column:
+        p, t, off = pair.p, pair.t, pair.off
+
+        def diagonal(word: Column) -> Column:
+            """The bit of the diagonal the last cell lies on."""
+            return F.call_function("shiftright", word, off + edits).bitwiseAND(long(1))
+
+        def step(s: Column, j: Column) -> Column:
+            bits = [F.when(F.get(p, j + (b - edits)) == F.get(t, j), long(1 << b)).otherwise(long(0)) for b in range(width)]
+            # Arrays of one element name what is used twice; an inlined expression would be evaluated again at every use.
+            first = F.transform(F.array(reduce(lambda x, y: x + y, bits)), lambda e: F.struct(
+                (((e.bitwiseAND(s.vp) + s.vp).bitwiseXOR(s.vp)).bitwiseOR(e).bitwiseOR(s.vn)).bitwiseAND(long(mask)).alias("d0")
+            ))
+            second = F.transform(first, lambda w: F.struct(
+                w.d0.alias("d0"), F.shiftright(w.d0, 1).alias("x"), w.d0.bitwiseAND(s.vp).alias("hn"),
+                s.vn.bitwiseOR(F.bitwise_not(w.d0.bitwiseOR(s.vp)).bitwiseAND(long(mask))).alias("hp"),
+            ))
+            third = F.transform(second, lambda w: F.struct(
+                w.hn.bitwiseOR(F.bitwise_not(w.x.bitwiseOR(w.hp)).bitwiseAND(long(mask))).alias("vp"),
+                w.x.bitwiseAND(w.hp).alias("vn"), (s.d + 1 - diagonal(w.d0)).alias("d"),
+            ))
+            return F.when(s.d > edits, s).otherwise(F.get(third, F.lit(0)))
+
+        start = F.struct(long(mask ^ above).alias("vp"), long(above).alias("vn"), off.cast("long").alias("d"))
+        columns = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(columns, start, step, lambda s: s.d)
+
+    def chars(text: Column) -> Column:
+        return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+
+    off = F.length(longer) - F.length(shorter)
+    # Split once per pair: the arrays are bound to a name.
+    pair = F.array(F.struct(chars(longer).alias("p"), chars(shorter).alias("t"), off.alias("off")))
+    return F.when(off > edits, long(edits + 1)).otherwise(F.get(F.transform(pair, of), F.lit(0)))
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -79,8 +79,8 @@ def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _keys(line: Column, length: Column, edits: int) -> Column:
-    """(key, index) of every segment and probe of a line; keys that would reach beyond the line are NULL."""
-    made = []
+    """Keys of a line: its edits + 1 own segments first, then all other probes; NULL where one would reach beyond the line."""
+    own, probes = [], []
     for less in range(edits + 1):
         short = length - less
         for i in range(edits + 1):
@@ -88,10 +88,12 @@ def _keys(line: Column, length: Column, edits: int) -> Column:
             size = F.floor(short * (i + 1) / (edits + 1)).cast("int") - begin
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 at = begin + shift
-                key = F.xxhash64(F.lit(i), short, F.substring(line, at + 1, size))
-                fits = (at >= 0) & (at + size <= length)
-                made.append(F.struct(F.when(fits, key).alias("key"), F.lit(int(less == 0 and shift == 0)).cast("long").alias("index")))
-    return F.array(*made)
+                key = F.xxhash64(short * (edits + 1) + i, F.substring(line, at + 1, size))
+                if less == 0 and shift == 0:
+                    own.append(key)
+                else:
+                    probes.append(F.when((at >= 0) & (at + size <= length), key))
+    return F.array(*own, *probes)
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -101,9 +103,9 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars
     hot = F.broadcast(firsts.where(F.col("n") > total / HOT_SHARE + 1).select("h1", "h2", F.col("first").alias("only")))
     place = F.struct("doc_id", "doc", "line_no")
     once = lines.join(hot, ["h1", "h2"], "left").where(F.col("only").isNull() | (F.col("only") == place))
-    rows = once.select("h1", F.explode(_keys(F.col("line"), F.length("line"), edits)).alias("k")).where("k.key is not null")
-    packed = F.shiftleft(F.shiftright("h1", 1), 1).bitwiseOR(F.col("k.index"))
-    index = rows.select(F.col("k.key").alias("key"), packed.alias("packed")).selectExpr(
+    rows = once.select("h1", F.posexplode(_keys(F.col("line"), F.length("line"), edits)).alias("place", "key")).where("key is not null")
+    packed = F.shiftleft(F.shiftright("h1", 1), 1).bitwiseOR(F.when(F.col("place") <= edits, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    index = rows.select("key", packed.alias("packed")).selectExpr(
         "key", "packed",
         "min(packed >> 1) over (partition by key) as low", "max(packed >> 1) over (partition by key) as high",
         "max(packed & 1) over (partition by key) as indexed",
