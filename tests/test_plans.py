@@ -8,7 +8,8 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from __spark_entry__ import entry, queries
+from __spark_entry__ import entry
+from tidewatch.catalog.registry import QUERIES
 from tidewatch.operators import cooldown, search, tasks
 from tidewatch.plans import explain_tree
 from tidewatch.plans.explain_tree import plan_key, plan_tables
@@ -21,12 +22,12 @@ def plan_of(df):
 
 
 PYTHON = {"plan_tables", "plan_key", "join_rules_with_plan", "compare_plans", "cooldown_dedup", "alert_dedup", "quota_flag"}
-EAGER = {n for n in queries() if n.startswith(("stream_", "sink_"))} | {"src_slow_log", "win_sticky_db"}
+EAGER = {n for n in QUERIES if n.startswith(("stream_", "sink_"))} | {"src_slow_log", "win_sticky_db"}
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
 def test_python_only_where_meant_and_no_cross_join(spark, name):
-    plan = plan_of(queries()[name](spark, FOLDER))
+    plan = plan_of(QUERIES[name](spark, FOLDER))
     has_python = any(node in plan for node in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroups"))
     assert has_python == (name in PYTHON)
     assert "CartesianProduct" not in plan

@@ -59,29 +59,99 @@ def test_repeated_batch_changes_nothing(spark, batches):
     first = jobs.cooldown_batch(whole, 0, state=f"{tmp}/s", keys=["fingerprint"], ts="captured_at", tie="event_id", period="30 minutes").count()
     again = jobs.cooldown_batch(whole, 0, state=f"{tmp}/s", keys=["fingerprint"], ts="captured_at", tie="event_id", period="30 minutes").count()
     assert first == again
-    # all rows once more: those of the last half hour are suppressed, older ones are late and kept apart
+    # all rows once more: none is accepted twice
     assert jobs.cooldown_batch(whole, 1, state=f"{tmp}/s", keys=["fingerprint"], ts="captured_at", tie="event_id", period="30 minutes").count() == 0
 
 
-def test_history_cap_defers_and_never_loses(spark):
-    rows = [(i, "i", f"SELECT {i}", "d", 10**12, i + 1, 1, 1, "db", datetime(2024, 1, 1)) for i in range(25)]
-    history = spark.createDataFrame(rows, "event_id bigint, instance_id string, sql_text string, digest_text string, timer_wait bigint, timer_start bigint, "
-                                          "rows_examined bigint, rows_sent bigint, current_schema string, captured_at timestamp_ntz")
-    anchors = spark.createDataFrame([("i", 0)], "instance_id string, anchor bigint")
-    seen = []
+HISTORY = ("event_id bigint, instance_id string, sql_text string, digest_text string, timer_wait bigint, timer_start bigint, "
+           "rows_examined bigint, rows_sent bigint, current_schema string, captured_at timestamp_ntz")
+
+
+def history(spark, starts):
+    rows = [(i, "i", f"SELECT {i}", "d", 10**12, start, 1, 1, "db", datetime(2024, 1, 1)) for i, start in starts]
+    return spark.createDataFrame(rows, HISTORY)
+
+
+@pytest.mark.parametrize("starts", [[(i, i + 1) for i in range(25)], [(i, 7 if i < 12 else 9) for i in range(25)]])
+def test_history_cap_defers_and_never_loses(spark, starts):
+    anchors, seen = spark.createDataFrame([("i", 0, 0)], readers.ANCHOR), []
     for _ in range(4):
-        taken, anchors = readers.src_statement_history(history, anchors, cap=10)
+        taken, anchors = readers.src_statement_history(history(spark, starts), anchors, cap=10)
         seen.append(sorted(r["event_id"] for r in taken.collect()))
-        anchors = spark.createDataFrame(anchors.collect(), "instance_id string, anchor bigint")
+        anchors = spark.createDataFrame(anchors.collect(), readers.ANCHOR)
     assert seen == [list(range(10)), list(range(10, 20)), list(range(20, 25)), []]
 
 
-def test_late_rows_are_kept(spark, tmp_path):
-    early, now = datetime(2024, 1, 1), datetime(2024, 1, 2)
+def test_history_may_start_at_the_present(spark):
+    none = spark.createDataFrame([], readers.ANCHOR)
+    taken, anchors = readers.src_statement_history(history(spark, [(1, 5), (2, 8)]), none, start="latest")
+    assert taken.count() == 0 and [tuple(r) for r in anchors.collect()] == [("i", 8, 2)]
+    anchors = spark.createDataFrame(anchors.collect(), readers.ANCHOR)
+    taken, _ = readers.src_statement_history(history(spark, [(1, 5), (2, 8), (3, 8)]), anchors, start="latest")
+    assert [r["event_id"] for r in taken.collect()] == [3]
+
+
+def test_history_stream_takes_split_snapshots_and_early_starters(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+
+    def run(starts):
+        history(spark, starts).coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(HISTORY).option("maxFilesPerTrigger", 1).parquet(folder)
+        jobs.stream_history_anchor(source, out=f"{tmp_path}/out", seen=f"{tmp_path}/seen", checkpoint=f"{tmp_path}/cp").awaitTermination()
+
+    run([(5, 50), (6, 60), (7, 70), (8, 80)])
+    run([(1, 10), (2, 20), (8, 80)])  # started before what is known, ended after it
+    jobs.compact_seen(spark, f"{tmp_path}/seen", version=2)
+    run([(3, 30), (1, 10), (5, 50)])
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3, 5, 6, 7, 8]
+
+
+def test_late_rows_and_fast_clocks_settle_as_in_one_batch(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("abc"), datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(600))) for i in range(300)]
+    rows[20] = (20, "a", datetime(2024, 1, 2, 12))  # a clock a day ahead
+    rows[30] = (30, "b", None)
+    schema = "event_id bigint, fingerprint string, captured_at timestamp_ntz"
+    args = dict(keys=["fingerprint"], ts="captured_at", tie="event_id", period="30 minutes")
+    for batch in range(3):
+        part = spark.createDataFrame(rows[batch * 100:(batch + 1) * 100], schema)
+        jobs.cooldown_batch(part, batch, state=str(tmp_path), **args)
+    accepted = {r["event_id"] for r in jobs.settle_late(spark, str(tmp_path)).collect()}
+    assert accepted == {r["event_id"] for r in cooldown.cooldown_dedup(spark.createDataFrame(rows, schema)).collect()}
+
+
+def test_a_fast_clock_leaves_other_keys_alone(spark, tmp_path):
     schema = "event_id bigint, fingerprint string, captured_at timestamp_ntz"
     args = dict(state=str(tmp_path), keys=["fingerprint"], ts="captured_at", tie="event_id", period="30 minutes")
-    jobs.cooldown_batch(spark.createDataFrame([(1, "a", now)], schema), 0, **args)
-    rows = [(2, "b", early), (3, "b", now - timedelta(minutes=20)), (4, "a", now - timedelta(minutes=5)), (5, "a", now + timedelta(minutes=30))]
-    accepted = jobs.cooldown_batch(spark.createDataFrame(rows, schema), 1, **args)
-    assert sorted(r["event_id"] for r in accepted.collect()) == [3, 5]
-    assert [r["event_id"] for r in sinks.read_version(spark, f"{tmp_path}/late", 1).collect()] == [2]
+    jobs.cooldown_batch(spark.createDataFrame([(0, "fast", datetime(2024, 1, 2))], schema), 0, **args)
+    rows = [(i, f"k{i}", datetime(2024, 1, 1)) for i in range(1, 11)]
+    assert jobs.cooldown_batch(spark.createDataFrame(rows, schema), 1, **args).count() == 10
+
+
+def test_slow_log_statement_lines_times_and_rejects(spark, tmp_path):
+    report = "# User@Host: a[a] @ h\n# Query_time: 1.5  Lock_time: 0.0 Rows_sent: 1  Rows_examined: 2\n"
+    text = ("mysqld, Version: 8\n"
+            f"# Time: 2024-01-10T10:00:00.123456+08:00\n{report}use `shop`;\nSET timestamp=1;\nSELECT a FROM t\nUSE INDEX (idx_a)\nWHERE b=1;\n"
+            f"# Time: 2024-01-10T10:00:01Z\n{report}SET timestamp=2;\nSELECT 2;\n"
+            f"# Time: 240110 10:00:02\n{report}SELECT 3;\n# Time: 2024-01-10T10:00:03Z\n{report}SET timestamp=4;\n")
+    (tmp_path / "slow.log").write_text(text)
+    events, rejects = readers.src_slow_log(spark, str(tmp_path), instance_id="i")
+    got = [(str(r["captured_at"]), r["database_name"], r["sql_text"]) for r in events.selectExpr("cast(captured_at as string) captured_at", "database_name", "sql_text").orderBy("captured_at").collect()]
+    assert got == [("2024-01-10 02:00:00.123456", "shop", "SELECT a FROM t\nUSE INDEX (idx_a)\nWHERE b=1;"), ("2024-01-10 10:00:01", "shop", "SELECT 2;")]
+    assert sorted(r["reject_reason"] for r in rejects.collect()) == ["no readable time", "no statement"]
+
+
+def test_http_stream_keeps_long_statements_and_rejects(spark, tmp_path):
+    import json
+
+    bodies = [{"sql": "SELECT " + "x" * 200_000, "event_id": 1}, {"sql": " ", "event_id": 2}, {"event_id": 3}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("".join(json.dumps(b) + "\n" for b in bodies))
+    jobs.stream_http(spark, folder=f"{tmp_path}/in", out=f"{tmp_path}/out", checkpoint=f"{tmp_path}/cp").awaitTermination()
+    assert [r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [1]
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out-rejects").collect()) == [2, 3]
+
+
+def test_requests_without_a_time_pass_the_quota(spark):
+    rows = spark.createDataFrame([(i, "c", None) for i in range(5)], "event_id bigint, client string, ts timestamp_ntz")
+    assert cooldown.quota_flag(rows, key="client", ts="ts", tie="event_id", limit=3).filter("refused").count() == 0

@@ -8,7 +8,7 @@ from tidewatch.catalog.registry import query
 from tidewatch.catalog.views import NORMAL, SEVERITY
 from tidewatch.operators import filters, folds, search, statements, tasks
 from tidewatch.operators.rules import build_context
-from tidewatch.session import shared_folder, spread
+from tidewatch.session import shared_folder
 from tidewatch.sources import readers, sinks
 
 # --- sources ---
@@ -43,12 +43,12 @@ select {columns} from sticky {where}"""
 
 
 @query("src_slow_log", _LOG_ORACLE.format(
-    columns="""date_trunc('second', captured_at) as captured_at, coalesce(used, carried) as database_name,
+    columns="""captured_at, coalesce(used, carried) as database_name,
   replace(sql_text, ' WHERE ', chr(10) || 'WHERE ') || ';' as sql_text, round(query_time_sec, 5) as query_time_sec,
   round(lock_time_sec, 5) as lock_time_sec, rows_examined, rows_sent, 'slow_log_file' as source""",
     where="where round(query_time_sec, 6) >= 0.5"))
 def _(v):
-    events = readers.src_slow_log(v.spark, write_slow_log(v), instance_id=None)
+    events, _ = readers.src_slow_log(v.spark, write_slow_log(v), instance_id=None)
     return events.select(
         "captured_at", "database_name", "sql_text", F.round("query_time_sec", 5).alias("query_time_sec"),
         F.round("lock_time_sec", 5).alias("lock_time_sec"), "rows_examined", "rows_sent", "source",
@@ -56,7 +56,7 @@ def _(v):
 
 
 @query("win_sticky_db", _LOG_ORACLE.format(
-    columns="date_trunc('second', captured_at) as captured_at, used as used_db, carried as sticky_db, rows_examined", where=""))
+    columns="captured_at, used as used_db, carried as sticky_db, rows_examined", where=""))
 def _(v):
     lines = v.spark.read.option("lineSep", readers.BLOCK_START).text(write_slow_log(v))
     blocks = readers.win_sticky_db(readers.slow_log_blocks(readers.with_file_position(lines)))
@@ -69,12 +69,12 @@ _HISTORY_WHERE = """current_schema not in ('information_schema','mysql','perform
 
 
 @query("src_statement_history", f"""with kept as (
-  select *, row_number() over (partition by instance_id order by timer_start, event_id) as rn from history_rows
-  where {_HISTORY_WHERE} and timer_start > 100000)
+  select * from history_rows where {_HISTORY_WHERE} and timer_start > 100000)
 select event_id, instance_id, current_schema as database_name, sql_text, timer_wait / 1e12 as query_time_sec, rows_examined, timer_start
-from kept where rn <= 200""")
+from kept""")
 def _(v):
-    anchors = v.history_rows.select("instance_id").distinct().withColumn("anchor", F.lit(100_000).cast("bigint"))
+    anchors = v.history_rows.select("instance_id").distinct().withColumns({
+        "anchor": F.lit(100_000).cast("bigint"), "anchor_event": F.lit(0).cast("bigint")})
     events, _ = readers.src_statement_history(v.history_rows, anchors)
     return events.select("event_id", "instance_id", "database_name", "sql_text", "query_time_sec", "rows_examined", "timer_start")
 
@@ -98,7 +98,7 @@ def _(v):
 
 @query("src_slow_log_rows", """select event_id, 'slow_log_table' as source, 'slow_log@' || instance_id as source_detail, instance_id, project_code,
   try_cast(start_time as timestamp) as captured_at, db as database_name, sql_text,
-  case when query_time = '00:01:30' then 90.0 else coalesce(try_cast(query_time as double), 0) end::double as query_time_sec,
+  case when query_time = '00:01:30.25' then 90.25 else coalesce(try_cast(query_time as double), 0) end::double as query_time_sec,
   coalesce(try_cast(lock_time as double), 0)::double as lock_time_sec,
   case when regexp_full_match(rows_examined, '[0-9]+') then cast(rows_examined as bigint) else 0 end as rows_examined,
   cast(rows_sent as bigint) as rows_sent from log_rows""")
@@ -115,14 +115,14 @@ def _(v):
 
 @query("src_results", """select seq, task_id, status, report, error_message, duration_ms, fingerprint, instance_id from result_rows""")
 def _(v):
-    rows, _ = readers.src_results(spread(v.results_json))
+    rows, _ = readers.src_results(v.results_json)
     return rows.select("seq", "task_id", "status", "report", "error_message", "duration_ms", "fingerprint", "instance_id")
 
 
 @query("src_results_rejects", """select seq, body from results_json where not json_valid(body)
   or (case when json_valid(body) then body->>'$.taskId' end) is null""")
 def _(v):
-    return readers.src_results(spread(v.results_json))[1].select("seq", "body")
+    return readers.src_results(v.results_json)[1].select("seq", "body")
 
 
 @query("dim_instances", """select concat('inst-', cast(l_suppkey as varchar)) as instance_id, concat('proj-', cast(min(l_orderkey) as varchar)) as project_code

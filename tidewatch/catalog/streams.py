@@ -23,7 +23,7 @@ def _outputs(spark, name):
 
 
 @query("stream_slow_log", _LOG_ORACLE.format(
-    columns="""date_trunc('second', captured_at) as captured_at, coalesce(used, carried) as database_name, rows_examined, rows_sent""",
+    columns="""captured_at, coalesce(used, carried) as database_name, rows_examined, rows_sent""",
     where="where round(query_time_sec, 6) >= 0.5 and captured_at >= timestamp '2024-01-10 00:00:01'"))
 def _(v):
     paths = _outputs(v.spark, "stream-slow-log")
@@ -42,7 +42,7 @@ def _(v):
     for _ in range(2):  # the second snapshot repeats the rows of the first, as a server's history table does
         rows.write.mode("append").parquet(folder)
         source = v.spark.readStream.schema(rows.schema).parquet(folder)
-        jobs.stream_history_anchor(source, out=paths["out"], anchors=paths["state"], checkpoint=paths["checkpoint"]).awaitTermination()
+        jobs.stream_history_anchor(source, out=paths["out"], seen=paths["state"], checkpoint=paths["checkpoint"]).awaitTermination()
     return v.spark.read.parquet(paths["out"]).select("event_id", "instance_id", "timer_start")
 
 
@@ -82,9 +82,37 @@ def _(v):
 @query("stream_capture", _CHAIN.format(where="""length(sql_text) >= 10 and not starts_with(sql_text, 'SHOW ')""", period="30 minute").replace(
     "select k.event_id, k.fingerprint, k.captured_at", "select md5(k.fingerprint || ':' || cast(k.event_id as varchar)) as task_id, k.fingerprint, coalesce(k.project_code, '') as project_code"))
 def _(v):
-    paths = _outputs(v.spark, "stream-capture")
+    paths = _run_capture(v, "stream-capture")
+    return v.spark.read.parquet(paths["out"]).select("task_id", "fingerprint", "project_code")
+
+
+_KEPT = "length(sql_text) >= 10 and not starts_with(sql_text, 'SHOW ')"
+
+
+def _run_capture(v, name):
+    paths = _outputs(v.spark, name)
     jobs.stream_capture(
         _stream_of(v.stmt_events, "statement-events"), v.dim_instance, out=paths["out"], state=paths["state"],
         snapshot=paths["snapshot"], checkpoint=paths["checkpoint"],
     ).awaitTermination()
-    return v.spark.read.parquet(paths["out"]).select("task_id", "fingerprint", "project_code")
+    return paths
+
+
+@query("stream_capture_snapshot", FOLD.format(source=f"(select * from captured where {_KEPT})"))
+def _(v):
+    return fold_columns(jobs.read_captured(v.spark, _run_capture(v, "stream-capture-snapshot")["snapshot"]))
+
+
+@query("stream_capture_alerts", _CHAIN.format(where=f"severity = 'P0' and {_KEPT}", period="24 hour"))
+def _(v):
+    out = _run_capture(v, "stream-capture-alerts")["out"]
+    return v.spark.read.parquet(f"{out}-alerts").select("event_id", "fingerprint", "captured_at")
+
+
+@query("stream_http_rejects", """select event_id, 'sql is required' as reject_reason from http_json where trim(body->>'$.sql') = ''""")
+def _(v):
+    paths = _outputs(v.spark, "stream-http-rejects")
+    folder = shared_folder(v.spark, "http-bodies")
+    v.http_json.select("body").write.text(folder)
+    jobs.stream_http(v.spark, folder=folder, out=paths["out"], checkpoint=paths["checkpoint"]).awaitTermination()
+    return v.spark.read.parquet(f"{paths['out']}-rejects").select("event_id", "reject_reason")

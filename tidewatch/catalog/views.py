@@ -48,7 +48,7 @@ from $events""",
     "log_rows": """
 select event_id, concat('inst-', cast(user_id % 5 as string)) as instance_id, 'proj-a' as project_code,
   case when event_id % 9 = 0 then 'not a time' else '2024-01-05 10:00:00' end as start_time,
-  case event_id % 4 when 0 then '00:01:30' when 1 then '2.5' when 2 then 'abc' else cast(user_id as string) end as query_time,
+  case event_id % 4 when 0 then '00:01:30.25' when 1 then '2.5' when 2 then 'abc' else cast(user_id as string) end as query_time,
   case when event_id % 2 = 0 then '0.25' end as lock_time,
   case event_id % 3 when 0 then '12.5' when 1 then cast(user_id as string) else '' end as rows_examined,
   cast(user_id as string) as rows_sent, concat('db', cast(user_id % 3 as string)) as db,

@@ -251,13 +251,19 @@ def alert_dedup(events: DataFrame, *, period="24 hours", tie="event_id") -> Data
 
 def quota_flag(requests: DataFrame, *, key: str, ts: str, tie: str, limit: int = 100,
                period: str = "60 seconds") -> DataFrame:
-    """Flag requests beyond `limit` in a window that opens at a client's first request; 0 turns it off."""
+    """Flag requests beyond `limit` in a window that opens at a client's first request; 0 turns it off.
+
+    Requests without a time belong to no window and are not refused.
+    """
     if limit <= 0:
         return requests.withColumn("refused", F.lit(False))
+    untimed = requests.filter(F.col(ts).isNull()).withColumn("refused", F.lit(False))
+    requests = requests.filter(F.col(ts).isNotNull())
     chunk = time_chunk(ts)
     opened = mark_accepted(requests, keys=[key], ts=ts, tie=tie, period=period, out="_opens")
     opened = carry(
         opened, keys=[key], order=[ts, tie], chunk=chunk, value=F.when(F.col("_opens"), F.col(ts)), out="_opened_at"
     )
     ranked = position(opened, keys=[key, "_opened_at"], order=[ts, tie], chunk=chunk, out="_rank")
-    return ranked.withColumn("refused", F.col("_rank") > limit).drop("_opens", "_opened_at", "_rank")
+    judged = ranked.withColumn("refused", F.col("_rank") > limit).drop("_opens", "_opened_at", "_rank")
+    return judged.unionByName(untimed)

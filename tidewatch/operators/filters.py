@@ -29,15 +29,13 @@ def flt_enabled_source(events: DataFrame, enabled: DataFrame) -> DataFrame:
     return events.join(enabled, ["instance_id", "source"], "left_semi")
 
 
-def http_reject_reason(sql: Column, max_len: int) -> Column:
-    return (
-        F.when(sql.isNull() | sql.rlike(r"^\s*$"), "sql is required")
-        .when(F.length(sql) > max_len, F.lit(f"sql exceeds max {max_len}"))
-    )
+def http_reject_reason(sql: Column, max_len: int | None) -> Column:
+    reason = F.when(sql.isNull() | sql.rlike(r"^\s*$"), "sql is required")
+    return reason if max_len is None else reason.when(F.length(sql) > max_len, F.lit(f"sql exceeds max {max_len}"))
 
 
-def flt_http_valid(events: DataFrame, *, max_len=100_000) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with a reason)."""
+def flt_http_valid(events: DataFrame, *, max_len: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with a reason). Statements may have any length unless `max_len` is given."""
     judged = events.withColumn("reject_reason", http_reject_reason(F.col("sql_text"), max_len))
     return (
         judged.filter(F.col("reject_reason").isNull()).drop("reject_reason"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 _local_root: tempfile.TemporaryDirectory | None = None
@@ -24,15 +24,6 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
     )
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a scan with fewer partitions than cores, dealt out to all of them.
-
-    Meant for work that is heavy per row over a few unsplittable files; larger scans are left alone.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the one the cluster names in `spark.checkpoint.dir`.
 
@@ -42,7 +33,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         global _local_root
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         _local_root = _local_root or tempfile.TemporaryDirectory(prefix="tidewatch-")
         root = _local_root.name

@@ -12,35 +12,35 @@ from tidewatch import schemas
 from tidewatch.functions.text import blank_to_null
 
 BLOCK_START = "\n# Time:"
+_HEADER = r"^(?:(?:(?:use|USE)\s+[^\n;]+|SET timestamp=\d+(?:\.\d+)?)\s*;[ \t]*(?:\n|$)|[ \t]*\n)*+"
 
 
 def slow_log_blocks(lines: DataFrame) -> DataFrame:
     """Text rows read with `lineSep=BLOCK_START` -> one parsed row per block, header blocks included.
 
-    Needs the columns value, file_path and file_block_start, in file order within a block start.
+    Needs the columns value, file_path and file_block_start, in file order within a block start. Only whole `use name;` and
+    `SET timestamp=...;` lines ahead of the statement belong to the header; the same words later are part of the statement
+    (`USE INDEX` on a line of its own). Times keep their fraction and their offset.
     """
     body = F.split("value", r"\r?\n")
-    statement = F.filter(
-        F.slice(body, F.lit(2), F.size(body)), lambda l: ~l.rlike(r"^(?:#|use |USE |SET timestamp)")
-    )
-    used = F.transform(
-        F.filter(body, lambda l: l.rlike(r"^(?:use|USE) ")),
-        lambda l: F.replace(F.trim(F.substring(l, 5, 1_000_000)), F.lit(";"), F.lit("")),
-    )
-    start = F.regexp_extract("value", r"^(?:# Time:)? ?(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})", 1)
+    text = F.array_join(F.filter(F.slice(body, F.lit(2), F.size(body)), lambda l: ~l.startswith("#")), "\n")
+    header = F.regexp_extract(text, _HEADER, 0)
+    statement = F.regexp_replace(text, _HEADER, "")
+    used = F.regexp_extract_all(header, F.lit(r"(?m)^(?:use|USE)\s+`?([^\n;`]+?)`?\s*;"), F.lit(1))
+    start = F.regexp_extract("value", r"^(?:# Time:)? ?(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)", 1)
 
     def metric(name, pattern):
         return blank_to_null(F.regexp_extract("value", rf"(?m)^# Query_time:.*?{name}: ({pattern})", 1))
 
     return lines.select(
         "file_path", "file_block_start", F.monotonically_increasing_id().alias("block_no"),
-        F.try_to_timestamp(blank_to_null(start), F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("captured_at"),
+        blank_to_null(start).try_cast("timestamp").alias("captured_at"), F.contains("value", F.lit("# Query_time:")).alias("is_report"),
         F.coalesce(blank_to_null(F.regexp_extract("value", r"(?m)^# Query_time: (\d+\.?\d*)", 1)).cast("double"), F.lit(0.0)).alias("query_time_sec"),
         F.coalesce(metric("Lock_time", r"\d+\.?\d*").cast("double"), F.lit(0.0)).alias("lock_time_sec"),
         F.coalesce(metric("Rows_sent", r"\d+").cast("bigint"), F.lit(0)).alias("rows_sent"),
         F.coalesce(metric("Rows_examined", r"\d+").cast("bigint"), F.lit(0)).alias("rows_examined"),
         F.get(F.reverse(used), F.lit(0)).alias("used_db"),
-        F.btrim(F.array_join(statement, "\n"), F.lit(" \t\r\n")).alias("sql_text"),
+        F.btrim(statement, F.lit(" \t\r\n")).alias("sql_text"), "value",
     )
 
 
@@ -63,18 +63,22 @@ def win_sticky_db(blocks: DataFrame) -> DataFrame:
     )
 
 
-def slow_log_events(lines: DataFrame, *, instance_id: str | None, min_sec=0.5, min_rows=0, strict=False) -> DataFrame:
-    """Events of slow-log text. A `use` line counts for its own block too, unless `strict`."""
+def slow_log_events(lines: DataFrame, *, instance_id: str | None, min_sec=0.5, min_rows=0, strict=False) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of slow-log text. A `use` line counts for its own block too, unless `strict`.
+
+    Rejects are blocks that report a query without a readable time or without a statement, whole and with the reason.
+    """
     blocks = win_sticky_db(slow_log_blocks(lines))
     database = F.col("sticky_db") if strict else F.coalesce("used_db", "sticky_db")
-    return blocks.filter(
-        F.col("captured_at").isNotNull() & (F.col("sql_text") != "")
-        & (F.col("query_time_sec") >= min_sec) & (F.col("rows_examined") >= min_rows)
+    reason = F.when(F.col("captured_at").isNull(), "no readable time").when(F.col("sql_text") == "", "no statement")
+    events = blocks.filter(
+        reason.isNull() & (F.col("query_time_sec") >= min_sec) & (F.col("rows_examined") >= min_rows)
     ).select(
         F.lit("slow_log_file").alias("source"), F.col("file_path").alias("source_detail"), "captured_at",
         F.lit(instance_id).cast("string").alias("instance_id"), database.alias("database_name"), "sql_text",
         "query_time_sec", "lock_time_sec", "rows_examined", "rows_sent",
     )
+    return events, blocks.filter(F.col("is_report") & reason.isNotNull()).select("file_path", "value", reason.alias("reject_reason"))
 
 
 def with_file_position(lines: DataFrame) -> DataFrame:
@@ -82,8 +86,10 @@ def with_file_position(lines: DataFrame) -> DataFrame:
                         F.col("_metadata.file_block_start").alias("file_block_start"))
 
 
-def src_slow_log(spark: SparkSession, path: str, *, instance_id: str | None, min_sec=0.5, min_rows=0, strict=False) -> DataFrame:
-    """Events of the slow-log files below `path`; files are split, so one large file is read in parallel."""
+def src_slow_log(
+    spark: SparkSession, path: str, *, instance_id: str | None, min_sec=0.5, min_rows=0, strict=False
+) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of the slow-log files below `path`; files are split, so one large file is read in parallel."""
     lines = spark.read.option("lineSep", BLOCK_START).text(path)
     return slow_log_events(
         with_file_position(lines), instance_id=instance_id, min_sec=min_sec, min_rows=min_rows, strict=strict
@@ -102,28 +108,43 @@ def history_filter(history: DataFrame, *, min_sec=0.5, own_schemas=()) -> DataFr
     return history.filter(wanted)
 
 
-def src_statement_history(history: DataFrame, anchors: DataFrame, *, min_sec=0.5, cap=200, own_schemas=()) -> tuple[DataFrame, DataFrame]:
-    """(events newer than their instance's anchor, next anchors).
+ANCHOR = "instance_id string, anchor bigint, anchor_event bigint"
+
 
-    A poll takes the oldest `cap` rows per instance (None takes all). The next anchor is the newest row taken, so rows
-    beyond the cap come with the next poll. Instances without an anchor start from zero.
+def history_events(rows: DataFrame) -> DataFrame:
+    """Statement-history rows in the event shape."""
+    return rows.select(
+        "event_id", F.lit("slow_log_table").alias("source"),
+        F.concat(F.lit("history@"), "instance_id").alias("source_detail"), "captured_at", "instance_id",
+        F.col("current_schema").alias("database_name"), "sql_text", (F.col("timer_wait") / 1e12).alias("query_time_sec"),
+        F.lit(0.0).alias("lock_time_sec"), "rows_examined", "rows_sent", "timer_start",
+    )
+
+
+def src_statement_history(
+    history: DataFrame, anchors: DataFrame, *, min_sec=0.5, cap: int | None = None, own_schemas=(), start="earliest"
+) -> tuple[DataFrame, DataFrame]:
+    """(events after their instance's anchor, next anchors).
+
+    An anchor (schema `ANCHOR`) is the start and id of the last row taken; both decide, so rows that share a start are not lost. A poll takes all
+    rows, or with `cap` the oldest per instance, and the rest comes with the next poll. Instances without an anchor
+    start from their oldest row, or with start="latest" take nothing yet and are anchored at their newest.
     """
     rows = history_filter(history, min_sec=min_sec, own_schemas=own_schemas)
-    rows = rows.join(anchors, "instance_id", "left").filter(F.col("timer_start") > F.coalesce("anchor", F.lit(0)))
+    rows = rows.join(anchors.select("instance_id", "anchor", "anchor_event", F.lit(True).alias("_known")), "instance_id", "left")
+    after = (F.col("timer_start") > F.col("anchor")) | ((F.col("timer_start") == F.col("anchor")) & (F.col("event_id") > F.col("anchor_event")))
+    fresh = F.col("anchor").isNull() if start == "earliest" else F.lit(False)
+    place = F.struct("timer_start", "event_id")
+    taken = rows.filter(fresh | after)
     if cap is not None:
         oldest = Window.partitionBy("instance_id").orderBy("timer_start", "event_id")
-        rows = rows.withColumn("_rank", F.row_number().over(oldest)).filter(F.col("_rank") <= cap).drop("_rank")
-    moved = rows.groupBy("instance_id").agg(F.max("timer_start").alias("_new"))
+        taken = taken.withColumn("_rank", F.row_number().over(oldest)).filter(F.col("_rank") <= cap).drop("_rank")
+    passed = taken if start == "earliest" else taken.unionByName(rows.filter(F.col("_known").isNull()))
+    moved = passed.groupBy("instance_id").agg(F.max(place).alias("_new"))
     following = anchors.join(moved, "instance_id", "full").select(
-        "instance_id", F.coalesce("_new", "anchor").alias("anchor")
-    )
-    events = rows.select(
-        "event_id", F.lit("slow_log_table").alias("source"),
-        F.concat(F.lit("history@"), "instance_id").alias("source_detail"), "captured_at", "instance_id",
-        F.col("current_schema").alias("database_name"), "sql_text", (F.col("timer_wait") / 1e12).alias("query_time_sec"),
-        F.lit(0.0).alias("lock_time_sec"), "rows_examined", "rows_sent", "timer_start",
+        "instance_id", F.coalesce("_new.timer_start", "anchor").alias("anchor"), F.coalesce("_new.event_id", "anchor_event").alias("anchor_event")
     )
-    return events, following
+    return history_events(taken), following
 
 
 def history_from_jdbc(spark: SparkSession, *, url: str, table: str, properties: dict, cuts: list[int]) -> DataFrame:
@@ -173,10 +194,10 @@ def src_http_events_v2(messages: DataFrame, *, body="body", received_at: Column
 
 def _seconds(text: Column) -> Column:
     clock = r"^(\d+):(\d{2}):(\d{2})(\.\d+)?$"
-    part = [F.regexp_extract(text, clock, g) for g in (1, 2, 3)]
+    part = [F.regexp_extract(text, clock, g) for g in (1, 2, 3, 4)]
     return F.when(
         text.rlike(clock),
-        part[0].try_cast("double") * 3600 + part[1].try_cast("double") * 60 + part[2].try_cast("double"),
+        part[0].try_cast("double") * 3600 + part[1].try_cast("double") * 60 + F.concat(part[2], part[3]).try_cast("double"),
     ).otherwise(F.coalesce(text.try_cast("double"), F.lit(0.0)))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch import constants as K
 from tidewatch.functions.text import fingerprint, is_noise, micros, severity
 from tidewatch.operators.cooldown import cooldown_dedup, key_text, period_micros
+from tidewatch.operators.filters import flt_enabled_source, flt_http_valid
 from tidewatch.operators.folds import capture_partials, compact_partials, merge_partials
 from tidewatch.operators.rules import alert_text, build_context
 from tidewatch.operators.tasks import join_project, new_tasks
@@ -28,11 +29,12 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
 
 def stream_slow_log(spark: SparkSession, *, folder: str, out: str, checkpoint: str, instance_id: str,
                     since: Column | None = None, **limits) -> StreamingQuery:
-    """Events of new, complete log segments below `folder`; with `since`, only those after it."""
+    """Events of new, complete log segments below `folder`; with `since`, only those after it. Rejected blocks go to `out`-rejects."""
     lines = readers.with_file_position(spark.readStream.option("lineSep", readers.BLOCK_START).text(folder))
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        events = readers.slow_log_events(batch, instance_id=instance_id, **limits)
+        events, rejects = readers.slow_log_events(batch, instance_id=instance_id, **limits)
+        sinks.write_version(rejects, f"{out}-rejects", batch_id)
         if since is not None:
             events = events.filter(F.col("captured_at") > since)
         sinks.write_version(events, out, batch_id)
@@ -40,73 +42,97 @@ def stream_slow_log(spark: SparkSession, *, folder: str, out: str, checkpoint: s
     return _start(lines, work, checkpoint)
 
 
-def stream_http(spark: SparkSession, *, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """JSON reports, one per line, checked and parsed without state."""
+def stream_http(spark: SparkSession, *, folder: str, out: str, checkpoint: str, max_len: int | None = None,
+                enabled: DataFrame | None = None) -> StreamingQuery:
+    """JSON reports, one per line, checked and parsed without state. Rejected ones go to `out`-rejects with their reason.
+
+    With `enabled` (instance_id, source) only events of enabled sources are kept.
+    """
     body = spark.readStream.text(folder).select(
         F.col("value").alias("body"), F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id")
     )
-    events = readers.src_http_events(body)
-    valid = events.filter(F.col("sql_text").isNotNull() & ~F.col("sql_text").rlike(r"^\s*$") & (F.length("sql_text") <= 100_000))
-    return (
-        valid.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
 
+    def work(batch: DataFrame, batch_id: int) -> None:
+        valid, rejected = flt_http_valid(readers.src_http_events(batch), max_len=max_len)
+        sinks.write_version(valid if enabled is None else flt_enabled_source(valid, enabled), out, batch_id)
+        sinks.write_version(rejected, f"{out}-rejects", batch_id)
+
+    return _start(body, work, checkpoint)
 
-def stream_history_anchor(snapshots: DataFrame, *, out: str, anchors: str, checkpoint: str, min_sec=0.5) -> StreamingQuery:
-    """New rows of repeated statement-history snapshots; the anchor of an instance is its newest row taken."""
+
+def stream_history_anchor(snapshots: DataFrame, *, out: str, seen: str, checkpoint: str, min_sec=0.5) -> StreamingQuery:
+    """New rows of repeated statement-history snapshots, each (instance, event id) once.
+
+    What was taken is kept by id below `seen`, not by a moving start time: a snapshot may come in several files and batches, and
+    a long statement that started before others but ended after them is still new.
+    """
     spark = snapshots.sparkSession
+    ids = ["instance_id", "event_id"]
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        known = sinks.read_version(spark, anchors, batch_id - 1) if batch_id else spark.createDataFrame(
-            [], "instance_id string, anchor bigint"
-        )
-        events, following = readers.src_statement_history(batch.dropDuplicates(["event_id"]), known, min_sec=min_sec, cap=None)
-        sinks.write_version(events, out, batch_id)
-        sinks.write_version(following, anchors, batch_id)
+        rows = readers.history_filter(batch, min_sec=min_sec).dropDuplicates(ids)
+        if batch_id:
+            known = spark.read.parquet(seen).filter(F.col("version") < batch_id).select(*ids)
+            rows = rows.join(known, ids, "left_anti")
+        events = sinks.write_version(readers.history_events(rows), out, batch_id)
+        sinks.write_version(events.select(*ids), seen, batch_id)
 
     return _start(snapshots, work, checkpoint)
 
 
+def compact_seen(spark: SparkSession, seen: str, *, version: int) -> None:
+    """Merge the ids of batches before `version` into that of batch 0, between runs; a run stopped halfway loses nothing."""
+    older = spark.read.parquet(seen).filter(F.col("version") < version).select("instance_id", "event_id").distinct()
+    merged = sinks.write_version(older, f"{seen}-merged", version)
+    sinks.write_version(merged, seen, 0)
+    for batch in range(1, version):
+        sinks.write_version(merged.limit(0), seen, batch)
+
+
 def cooldown_batch(batch: DataFrame, batch_id: int, *, state: str, keys, ts: str, tie: str, period: str) -> DataFrame:
     """Accepted events of one micro-batch, read back from where they were written.
 
-    The state holds the last accepted time per key and the newest time seen. Rows within the period of their key's last
-    accepted event are suppressed first, after which the rest no longer depends on earlier batches. Rows more than
-    a period older than the newest time of earlier batches are late, and so are rows without a time: they are kept in `state`/late for a batch run.
-    Keys that no row in time can meet any more leave the state.
+    The state holds the last accepted time of every key, one row per key, and no clock but a key's own decides: one source with a fast
+    clock does not touch the others. Rows within the period after their key's last accepted event are suppressed. Rows before it, and rows
+    without a time, come too late to be judged on the fly: they are kept in `state`/late, as are all rows in `state`/events, and `settle_late`
+    judges the keys they belong to anew, so that stream and batch agree.
     """
     spark, step = batch.sparkSession, period_micros(period)
-    # three passes follow; a lost executor recomputes its part of the batch from the source
+    # several passes follow; a lost executor recomputes its part of the batch from the source
     keyed = batch.withColumn("_part", key_text(keys)).withColumn("_us", micros(F.col(ts))).persist()
     if batch_id:
         known = sinks.read_version(spark, f"{state}/last", batch_id - 1)
-        seen = sinks.read_version(spark, f"{state}/newest", batch_id - 1).first()["newest"]
     else:
-        known, seen = spark.createDataFrame([], "_part string, _last bigint"), None
-    late = F.col("_us").isNull() if seen is None else F.coalesce(F.col("_us") < seen - step, F.lit(True))
-    sinks.write_version(keyed.filter(late).drop("_part", "_us"), f"{state}/late", batch_id)
-    in_time = keyed.filter(~late)
-    free = in_time.join(known, "_part", "left").filter(
-        F.col("_last").isNull() | (F.col("_us") >= F.col("_last") + F.lit(step))
-    ).drop("_last", "_part", "_us")
+        known = spark.createDataFrame([], "_part string, _last bigint")
+    sinks.write_version(keyed.drop("_part", "_us"), f"{state}/events", batch_id)
+    judged = keyed.join(known, "_part", "left")
+    late = F.col("_us").isNull() | F.coalesce(F.col("_us") < F.col("_last"), F.lit(False))
+    sinks.write_version(judged.filter(late).drop("_part", "_us", "_last"), f"{state}/late", batch_id)
+    free = judged.filter(~late & (F.col("_last").isNull() | (F.col("_us") >= F.col("_last") + F.lit(step)))).drop("_last", "_part", "_us")
     accepted = sinks.write_version(
         cooldown_dedup(free, keys=keys, ts=ts, tie=tie, period=period), f"{state}/accepted", batch_id
     )
-    newest = keyed.agg(F.greatest(F.max("_us"), F.lit(seen).cast("bigint")).alias("newest"))
-    newest = sinks.write_version(newest, f"{state}/newest", batch_id).first()["newest"]
     times = accepted.select(key_text(keys).alias("_part"), micros(F.col(ts)).alias("_last")).unionByName(known)
-    last = times.groupBy("_part").agg(F.max("_last").alias("_last"))
-    if newest is not None:
-        last = last.filter(F.col("_last") > newest - 2 * step)
-    sinks.write_version(last, f"{state}/last", batch_id)
+    sinks.write_version(times.groupBy("_part").agg(F.max("_last").alias("_last")), f"{state}/last", batch_id)
     keyed.unpersist()
     return accepted
 
 
+def settle_late(spark: SparkSession, state: str, *, keys=("fingerprint",), ts="captured_at", tie="event_id", period="30 minutes") -> DataFrame:
+    """All accepted events of a cool-down stream, as one batch run over everything it has read would give them.
+
+    Keys with late rows are judged anew from all their events; the others keep what the stream accepted.
+    """
+    part = key_text(keys)
+    late = spark.read.parquet(f"{state}/late").select(part.alias("_part")).distinct()
+    events = spark.read.parquet(f"{state}/events").drop("version").withColumn("_part", part).join(late, "_part", "left_semi").drop("_part")
+    kept = spark.read.parquet(f"{state}/accepted").drop("version").withColumn("_part", part).join(late, "_part", "left_anti").drop("_part")
+    return kept.unionByName(cooldown_dedup(events, keys=keys, ts=ts, tie=tie, period=period))
+
+
 def stream_cooldown(events: DataFrame, *, keys=("fingerprint",), ts="captured_at", tie="event_id", period="30 minutes",
                     out: str, state: str, checkpoint: str) -> StreamingQuery:
-    """The cool-down over a stream in event time; a row in time but before its key's last accepted one is suppressed."""
+    """The cool-down over a stream in event time; see `cooldown_batch` for late rows."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
         accepted = cooldown_batch(batch, batch_id, state=state, keys=keys, ts=ts, tie=tie, period=period)
@@ -170,15 +196,23 @@ def capture_events(events: DataFrame, instances: DataFrame) -> DataFrame:
 
 
 def stream_capture(events: DataFrame, instances: DataFrame, *, out: str, state: str, snapshot: str, checkpoint: str,
-                   period="30 minutes", rules=K.RULES) -> StreamingQuery:
-    """The whole chain: filter, grade, cool down, fold accepted events, emit their tasks."""
+                   period="30 minutes", alert_period="24 hours", rules=K.RULES) -> StreamingQuery:
+    """The whole chain: filter, grade, fold every event, cool down, emit tasks and worst-grade alerts of accepted events.
+
+    A suppressed repeat still counts in the snapshot. Alerts go to `out`-alerts, once per fingerprint and `alert_period`.
+    """
 
     def work(batch: DataFrame, batch_id: int) -> None:
         graded = capture_events(batch, instances)
         accepted = cooldown_batch(
             graded, batch_id, state=state, keys=["fingerprint"], ts="captured_at", tie="event_id", period=period
         )
-        sinks.write_version(capture_partials(accepted, batch=batch_id), f"{snapshot}/partials", batch_id)
+        sinks.write_version(capture_partials(graded, batch=batch_id), f"{snapshot}/partials", batch_id)
+        worst = cooldown_batch(
+            graded.filter(F.col("severity") == "P0"), batch_id, state=f"{state}-alerts", keys=["fingerprint"], ts="captured_at",
+            tie="event_id", period=alert_period,
+        )
+        sinks.write_version(alert_text(worst), f"{out}-alerts", batch_id)
         sinks.sink_tasks(new_tasks(build_context(accepted, rules)), path=out, version=batch_id)
 
     return _start(capture_source(events), work, checkpoint)
