@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import components, fresh, settled
 
 EDITS, MIN_CHARS, HOT_SHARE = 2, 20, 1000
+LETTERS = "etaonisrhdlu"
 
 
 def edit_distance(longer: Column, shorter: Column, edits: int = EDITS) -> Column:
@@ -96,6 +97,23 @@ def _keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*own, *probes)
 
 
+def _lines_with(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, h1, h2, line) of the lines whose h is among `wanted`.
+
+    A bitmap of 2^27 places of the wanted hashes (16 MB at most, whatever their number) goes to the lines first, so that hardly any
+    line that is not wanted is shuffled; the join behind it is exact.
+    """
+    place = lambda h: F.pmod(h, F.lit(1 << 27))
+    bitmap = wanted.select(place(F.col("h")).alias("p")).groupBy(F.shiftright("p", 15).alias("part")).agg(
+        F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits"))
+    half = lines.select(F.shiftright("h1", 1).alias("h"), "h1", "h2", "line").withColumn("p", place(F.col("h")))
+    met = half.withColumn("part", F.shiftright("p", 15)).join(F.broadcast(bitmap), "part")
+    bit = F.col("p").bitwiseAND(32767).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, bit.bitwiseAND(7)).bitwiseAND(1) == 1
+    return met.where(hit).select("h", "h1", "h2", "line").join(wanted, "h", "left_semi")
+
+
 def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Verified pairs (a1, a2, b1, b2) of hashes of different lines at most `edits` edits apart."""
     lines = lines_of(docs, min_chars)
@@ -111,11 +129,19 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars
         "max(packed & 1) over (partition by key) as indexed",
     ).where("low < high and indexed = 1")
     met = settled(index.selectExpr("key", "packed >> 1 as h", "packed & 1 as i").distinct(), "shared-segments")
-    pairs = met.where("i = 1").select("key", F.col("h").alias("a")).join(met.select("key", F.col("h").alias("b")), "key")
-    pairs = settled(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    half = lines.select(F.shiftright("h1", 1).alias("h"), "h1", "h2", "line")
-    texts = settled(half.join(wanted, "h", "left_semi").dropDuplicates(["h", "h1", "h2"]), "line-texts")
+    # Only lines that met another one are fetched, and all that is compared for every candidate are letter counts.
+    texts = settled(_lines_with(lines, met.select("h").distinct()).dropDuplicates(["h", "h1", "h2"]), "line-texts")
+    counts = texts.groupBy("h").agg(F.first(F.array(*[F.length("line") - F.length(F.translate("line", c, "")) for c in LETTERS])).alias("n"), F.first(F.length("line")).alias("len"))
+    known = met.join(counts, "h")
+    x, y = known.where("i = 1").alias("x"), known.alias("y")
+    apart = reduce(lambda v, w: v + w, [F.abs(F.col("x.n")[k] - F.col("y.n")[k]) for k in range(len(LETTERS))])
+    # An edit changes the length by one at most and two letter counts by one each. Of equally long lines both are indexed.
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("y.len") - F.col("x.len") <= edits) & (
+        (F.col("x.len") < F.col("y.len")) | ((F.col("x.len") == F.col("y.len")) & (
+            (F.col("x.h") < F.col("y.h")) | ((F.col("y.i") == 0) & (F.col("x.h") != F.col("y.h")))))
+    ) & (apart <= 2 * edits)
+    pairs = x.join(y, near).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
+    pairs = settled(pairs, "line-pairs")
     left = texts.select(F.col("h").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("la"))
     right = texts.select(F.col("h").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("lb"))
     both = pairs.join(left, "a").join(right, "b").select("a1", "a2", "b1", "b2", "la", "lb")
