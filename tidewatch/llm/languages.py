@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import fold
 
 ORDER, DISCOUNT, UNKNOWN = 4, 0.75, "und"
+ALPHABET = 10_000  # the lowest order backs off to an equal share for this many characters
 LETTERS = re.compile(r"[^\W\d_]+")
 MULTIPLY = 0x9E3779B97F4A7C15
 POWERS = [np.uint64(pow(MULTIPLY, 2 * n + 1, 1 << 64)) for n in range(ORDER)]
@@ -77,7 +78,7 @@ class Model:
                 table[at, k] = higher
             # The lower order fills in: gram -> its own shorter gram (without the first character).
             shorter, parent = self._parents(stores, n, grams)
-            lower = probabilities[-1]["p"][shorter] if n else np.full((len(grams), len(self.languages)), 1e-4)
+            lower = probabilities[-1]["p"][shorter] if n else np.full((len(grams), len(self.languages)), 1 / ALPHABET)
             place = np.searchsorted(contexts, parent)
             table = table + np.exp(weight[place]) * lower
             probabilities.append({"p": table})
@@ -86,7 +87,7 @@ class Model:
             self.contexts.append(contexts)
             self.weights.append(weight.astype(np.float32))
         # Order 1 has one context; what is in no table backs off to a fixed share.
-        self.unseen = (np.log(1e-4) + self.weights[0].max(axis=0)).astype(np.float32)
+        self.unseen = (np.log(1 / ALPHABET) + self.weights[0].max(axis=0)).astype(np.float32)
         self.limits = []
         for k, lang in enumerate(self.languages):
             held = [c for i, c in enumerate(whole[lang]) if not i % 5 and len(c) >= 40] or [c for c in whole[lang] if len(c)]
