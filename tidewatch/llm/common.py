@@ -49,6 +49,21 @@ def fold(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
 
 
+def mostly_among(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """The rows whose `key` (a long) is in the only column of `wanted`, and a few others; a join behind makes it exact.
+
+    A bitmap of 2^27 places of the wanted keys (16 MB at most, whatever their number) goes to the rows, so that hardly any row that is not
+    wanted is shuffled later on.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << 27))
+    bitmap = wanted.select(place(F.col(wanted.columns[0])).alias("_p")).groupBy(F.shiftright("_p", 15).alias("_part")).agg(
+        F.bitmap_construct_agg(F.col("_p").bitwiseAND(32767)).alias("_bits"))
+    met = rows.withColumn("_p", place(key)).withColumn("_part", F.shiftright("_p", 15)).join(F.broadcast(bitmap), "_part")
+    bit = F.col("_p").bitwiseAND(32767).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.call_function("shiftright", byte, bit.bitwiseAND(7)).bitwiseAND(1) == 1).select(*rows.columns)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: rows (node, component), component the smallest node reachable.
 
