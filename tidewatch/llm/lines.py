@@ -98,7 +98,7 @@ def _keys(line: Column, length: Column, edits: int) -> Column:
 
 
 def _lines_with(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, h1, h2, line) of the lines whose h is among `wanted`.
+    """(h, h1, h2, line) of the lines whose h is among the distinct ones of `wanted`.
 
     A bitmap of 2^27 places of the wanted hashes (16 MB at most, whatever their number) goes to the lines first, so that hardly any
     line that is not wanted is shuffled; the join behind it is exact.
@@ -111,7 +111,8 @@ def _lines_with(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     bit = F.col("p").bitwiseAND(32767).cast("int")
     byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.call_function("shiftright", byte, bit.bitwiseAND(7)).bitwiseAND(1) == 1
-    return met.where(hit).select("h", "h1", "h2", "line").join(wanted, "h", "left_semi")
+    # Not a semi join: that would be pushed below the bitmap, and all lines would be shuffled after all.
+    return met.where(hit).select("h", "h1", "h2", "line").join(wanted, "h")
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
