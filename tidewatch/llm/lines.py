@@ -7,7 +7,8 @@ What meets under one key is verified by a banded bit-parallel edit distance. Equ
 components); the first line of a class in order of (doc_id, line number) stays, the others are repeats.
 
 Texts are not moved to find candidates: an index row is two numbers. A line that makes up more than a thousandth of all lines (there are fewer
-than a thousand such) enters the index from its first place only.
+than a thousand such) enters the index from its first place only. A large group of near lines is not paired off: each first meets one
+line per key, and only lines whose classes are still different after that are compared with one another.
 """
 
 from __future__ import annotations
@@ -116,7 +117,8 @@ def _lines_with(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Verified pairs (a1, a2, b1, b2) of hashes of different lines at most `edits` edits apart."""
+    """Verified pairs (a1, a2, b1, b2) of hashes of different lines at most `edits` edits apart: not all, but enough that the classes
+    (connected components) are those of all pairs."""
     lines = lines_of(docs, min_chars)
     total = firsts.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(firsts.where(F.col("n") > total / HOT_SHARE + 1).select("h1", "h2", F.col("first").alias("only")))
@@ -132,24 +134,46 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars
     met = settled(index.selectExpr("key", "packed >> 1 as h", "packed & 1 as i").distinct(), "shared-segments")
     # Only lines that met another one are fetched, and all that is compared for every candidate are letter counts.
     texts = settled(_lines_with(lines, met.select("h").distinct()).dropDuplicates(["h", "h1", "h2"]), "line-texts")
-    counts = texts.groupBy("h").agg(F.first(F.array(*[F.length("line") - F.length(F.translate("line", c, "")) for c in LETTERS])).alias("n"), F.first(F.length("line")).alias("len"))
+    counts = texts.groupBy("h").agg(
+        F.first(F.array(*[F.length("line") - F.length(F.translate("line", c, "")) for c in LETTERS])).alias("n"),
+        F.first(F.length("line")).alias("len"), (F.count(F.lit(1)) == 1).alias("sure"),
+    )
     known = met.join(counts, "h")
+
+    def alike(n: Column, m: Column) -> Column:
+        """An edit changes two letter counts by one each."""
+        return reduce(lambda v, w: v + w, [F.abs(n[k] - m[k]) for k in range(len(LETTERS))]) <= 2 * edits
+
+    # First every line meets one line of each key only; all lines indexed under one key are equally long.
+    pivots = known.where("i = 1").groupBy("key").agg(F.min(F.struct("h", "n", "sure")).alias("x"))
+    star = known.join(pivots, "key").where((F.col("h") != F.col("x.h")) & alike(F.col("n"), F.col("x.n")))
+    star = star.select(F.least("h", "x.h").alias("a"), F.greatest("h", "x.h").alias("b"), (F.col("sure") & F.col("x.sure")).alias("sure"))
+    near = settled(_verified(star.distinct(), texts, edits), "near-pivots")
+    # Then lines that are not in one class yet; a key with a single class has nothing left to find. Lines that share h have no class here.
+    classes = components(near.where("sure")).select(F.col("node").alias("h"), "component")
+    known = known.join(classes, "h", "left").withColumn("class", F.coalesce("component", "h")).drop("component", "sure")
+    known = settled(known, "line-classes")
+    open_ = known.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    known = known.join(open_, "key")
     x, y = known.where("i = 1").alias("x"), known.alias("y")
-    apart = reduce(lambda v, w: v + w, [F.abs(F.col("x.n")[k] - F.col("y.n")[k]) for k in range(len(LETTERS))])
-    # An edit changes the length by one at most and two letter counts by one each. Of equally long lines both are indexed.
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("y.len") - F.col("x.len") <= edits) & (
+    # Of equally long lines both are indexed.
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & (F.col("y.len") - F.col("x.len") <= edits) & (
         (F.col("x.len") < F.col("y.len")) | ((F.col("x.len") == F.col("y.len")) & (
             (F.col("x.h") < F.col("y.h")) | ((F.col("y.i") == 0) & (F.col("x.h") != F.col("y.h")))))
-    ) & (apart <= 2 * edits)
-    pairs = x.join(y, near).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
-    pairs = settled(pairs, "line-pairs")
+    ) & alike(F.col("x.n"), F.col("y.n"))
+    pairs = x.join(y, apart).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"), F.lit(True).alias("sure")).distinct()
+    return near.unionByName(_verified(settled(pairs, "line-pairs"), texts, edits)).select("a1", "a2", "b1", "b2")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """The pairs (a, b) of `h` whose lines are at most `edits` edits apart, with the hashes of both lines."""
     left = texts.select(F.col("h").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("la"))
     right = texts.select(F.col("h").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("lb"))
-    both = pairs.join(left, "a").join(right, "b").select("a1", "a2", "b1", "b2", "la", "lb")
+    both = pairs.join(left, "a").join(right, "b")
     swap = F.length("la") < F.length("lb")
     longer, shorter = F.when(swap, F.col("lb")).otherwise(F.col("la")), F.when(swap, F.col("la")).otherwise(F.col("lb"))
-    both = both.select("a1", "a2", "b1", "b2", longer.alias("p"), shorter.alias("t"))
-    return both.where(edit_distance(F.col("p"), F.col("t"), edits) <= edits).select("a1", "a2", "b1", "b2")
+    both = both.select("a", "b", "sure", "a1", "a2", "b1", "b2", longer.alias("p"), shorter.alias("t"))
+    return both.where(edit_distance(F.col("p"), F.col("t"), edits) <= edits).drop("p", "t")
 
 
 def repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
