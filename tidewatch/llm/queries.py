@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, htmltext, languages, lines, mixing, passages, simhash, topk, toxicity, warc
+from tidewatch.llm import alignment, bpe, decontaminate, htmltext, languages, lines, mixing, passages, simhash, spelling, topk, toxicity, warc
 from tidewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +105,22 @@ def op6_htmltext(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_passages")
 def op8_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path
+    return alignment.aligned_documents(table(spark, folder, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    rows = bpe.tokens(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_spelling")
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
