@@ -10,15 +10,16 @@ rarer pairs meet their counts in an equality join, in which no pair is frequent.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.bpe import chunks, model_of, read_bytes
+from tidewatch.llm.bpe import chunks, gathered, lists, model_of, read_bytes
 from tidewatch.llm.common import fresh, settled
 
 HEAD = 1 << 18
@@ -34,6 +35,12 @@ class Pieces:
         pieces = [self.model.id_to_piece(i) for i in ids]
         self.bytes_of = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces)]
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the tokens in a row."""
+        return gathered(self.flat, self.begins[ids], self.lengths[ids])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -53,7 +60,7 @@ def pieces_of(data: bytes) -> Pieces:
 def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending end offsets of tokens over the same bytes -> for every token of either side the token of b its group ends with."""
     n = len(ends_a)
-    starts_a, starts_b = np.r_[0, ends_a[:-1]], np.r_[0, ends_b[:-1]]
+    starts_a, starts_b = np.concatenate([[0], ends_a[:-1]]), np.concatenate([[0], ends_b[:-1]])
     # The last token of the other side that starts before this one ends.
     to_b = np.searchsorted(starts_b, ends_a, "left") - 1
     to_a = np.searchsorted(starts_a, ends_b, "left") - 1
@@ -66,54 +73,73 @@ def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
         successor = doubled
 
 
-def groups_text(ids: np.ndarray, keys: np.ndarray, names: list[str]) -> str:
-    """`a1,a2|b1;a3|b2,b3` of ids in order; keys hold twice the group's number, plus one on the right side."""
-    ahead, key = keys[1:], keys[:-1]
-    mark = np.where(ahead == key, 0, np.where(ahead >> 1 == key >> 1, 1, 2))
-    return "".join(map(names.__getitem__, (ids * 4 + np.r_[mark, 3]).tolist()))
-
-
-def alignment_rows(vocabulary: bytes, model: bytes):
-    """Function from a batch of texts to rows of RESULT."""
+def alignment_of(text: str, a: np.ndarray, b: np.ndarray, bpe, pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(last of a, last of b, marked): positions of the tokens that end each group, and all ids in the order of the groups, those of a
+    group's side a first, as id * 4 + what follows (0 `,`, 1 `|`, 2 `;`, 3 nothing). None where a tokenizer changed the text."""
+    whole = b" " + text.encode()
+    if not text or bpe.joined(a).tobytes() != whole or pieces.joined(b).tobytes() != whole:
+        return None
+    of_a, of_b = terminals(np.cumsum(bpe.lengths[a]), np.cumsum(pieces.lengths[b]))
+    last_a = np.append(np.flatnonzero(of_a[1:] != of_a[:-1]), len(a) - 1)
+    last_b = np.append(np.flatnonzero(of_b[1:] != of_b[:-1]), len(b) - 1)
+    # Ahead of a token stand the tokens of its own side before it, and those of the other side in earlier groups (b: in its own one too).
+    ahead_a = np.repeat(np.append(0, last_b[:-1] + 1), np.diff(last_a, prepend=-1))
+    ahead_b = np.repeat(last_a + 1, np.diff(last_b, prepend=-1))
+    marked = np.empty(len(a) + len(b), np.int64)
+    marks = np.zeros(len(a), np.int64)
+    marks[last_a] = 1
+    marked[np.arange(len(a)) + ahead_a] = a * 4 + marks
+    marks = np.zeros(len(b), np.int64)
+    marks[last_b] = 2
+    marked[np.arange(len(b)) + ahead_b] = b * 4 + marks
+    marked[-1] += 1
+    return last_a, last_b, marked
+
+
+def alignment_rows(vocabulary: bytes, model: bytes, digest: bool):
+    """Function from arrays of texts to arrays of RESULT."""
 
     def rows(parts):
         bpe, pieces = model_of(vocabulary), pieces_of(model)
-        most = max(len(bpe.bytes_of), len(pieces.bytes_of))
-        names = [f"{i}{mark}" for i in range(most) for mark in (",", "|", ";", "")]
-        nothing = (0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int32))
+        names = [f"{i}{mark}" for i in range(max(len(bpe.bytes_of), len(pieces.bytes_of))) for mark in (",", "|", ";", "")]
+        none = np.zeros(0, np.int32)
         for texts in parts:
-            found = []
-            for some in chunks(t or "" for t in texts):
-                sides = zip(some, bpe.encode([" " + t for t in some], specials=False), pieces.encode(some))
-                found += [_aligned(text, np.array(a, np.int64), np.array(b, np.int64), bpe, pieces, names) if text else nothing for text, a, b in sides]
-            yield pd.DataFrame(found, columns=["n_a", "n_b", "groups", "link_a", "link_b"])
-
-    def _aligned(text, a, b, bpe, pieces, names):
-        whole = (" " + text).encode()
-        if bpe.joined(a).tobytes() != whole or b"".join(map(pieces.bytes_of.__getitem__, b.tolist())) != whole:
-            return 0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int32)
-        of_a, of_b = terminals(np.cumsum(bpe.lengths[a]), np.cumsum(pieces.lengths[b]))
-        last = np.r_[of_a[1:] != of_a[:-1], True]
-        keys = np.concatenate([of_a * 2, of_b * 2 + 1])
-        order = np.argsort(keys, kind="stable")
-        groups = groups_text(np.concatenate([a, b])[order], keys[order], names)
-        return len(a), len(b), groups, a[last].astype(np.int32), b[of_a[last]].astype(np.int32)
-
+            for some in chunks(texts):
+                counts, groups, link_a, link_b = [], [], [], []
+                for text, a, b in zip(some, bpe.encode([" " + t for t in some], specials=False), pieces.encode(some)):
+                    a, b = a.astype(np.int64), np.array(b, np.int64)
+                    found = alignment_of(text, a, b, bpe, pieces)
+                    if found is None:
+                        counts.append((0, 0))
+                        groups.append("")
+                        link_a.append(none)
+                        link_b.append(none)
+                        continue
+                    last_a, last_b, marked = found
+                    counts.append((len(a), len(b)))
+                    written = "".join(map(names.__getitem__, marked.tolist()))
+                    groups.append(hashlib.sha256(written.encode()).hexdigest() if digest else written)
+                    link_a.append(a[last_a].astype(np.int32))
+                    link_b.append(b[last_b].astype(np.int32))
+                n = np.array(counts, np.int32).reshape(-1, 2)
+                columns = [pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(groups, pa.string()), lists(link_a), lists(link_b)]
+                yield pa.StructArray.from_arrays(columns, ["n_a", "n_b", "groups", "link_a", "link_b"])
+
+    rows.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return rows
 
 
-def alignments(docs: DataFrame, vocabulary: str, model: str, text: str = "text") -> DataFrame:
+def alignments(docs: DataFrame, vocabulary: str, model: str, text: str = "text", digest: bool = False) -> DataFrame:
     """`docs` with the alignment of a byte-level BPE (a: file `vocabulary`) and a sentencepiece model (b: file `model`) over each text.
 
-    n_a, n_b: numbers of tokens; groups: ids by group as `a1,a2|b1;a3|b2,b3`; link_a, link_b: the ids that end together, in order, one pair per
+    n_a, n_b: numbers of tokens; groups: ids by group as `a1,a2|b1;a3|b2,b3`, or with `digest` the SHA-256 of that; link_a, link_b: the ids that end together, in order, one pair per
     group. Strings of special tokens are plain text. NULL and empty texts, and texts that either tokenizer does not keep byte by
     byte, have no tokens, groups or links. Repeated rows each have their result; an empty table gives no rows. A column of `docs` with the name of a
     new one stays, and the new one gets underscores in front.
     """
-    rows = alignment_rows(read_bytes(vocabulary), read_bytes(model))
-    rows.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    rows = alignment_rows(read_bytes(vocabulary), read_bytes(model), digest)
     name = fresh("aligned", docs.columns)
-    found = docs.withColumn(name, F.pandas_udf(rows, RESULT)(docs[text]))
+    found = docs.withColumn(name, F.arrow_udf(rows, RESULT)(docs[text]))
     new = [F.col(f"{name}.{c}").alias(fresh(c, docs.columns)) for c in ("n_a", "n_b", "groups", "link_a", "link_b")]
     return found.select(*docs.columns, *new)
 
@@ -160,11 +186,10 @@ def aligned_documents(docs: DataFrame, vocabulary: str, model: str, head: int =
     n_best: links whose pair of ids ends together at least as often in the whole table as any other pair with its id of b; count_sum: how
     often the pairs of all links do, summed. groups_sha256 is the digest of groups, empty without tokens. NULL ids stay NULL.
     """
-    rows = alignments(docs.select("doc_id", "text"), vocabulary, model)
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    rows = alignments(docs.select("doc_id", "text"), vocabulary, model, digest=True)
     aligned = settled(rows.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"),
-        F.size("link_a").cast("long").alias("n_links"), digest.alias("groups_sha256"), "link_a", "link_b",
+        F.size("link_a").cast("long").alias("n_links"), F.col("groups").alias("groups_sha256"), "link_a", "link_b",
     ), "alignments")
     both = aligned.select(F.explode(F.arrays_zip("link_a", "link_b")).alias("l")).select(F.col("l.link_a").alias("a"), F.col("l.link_b").alias("b"))
     pairs = settled(pair_counts(both), "pairs")
