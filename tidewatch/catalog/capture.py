@@ -14,9 +14,10 @@ from tidewatch.sources import readers, sinks
 # --- sources ---
 
 
-def write_slow_log(v) -> str:
-    """Slow-log files, one per instance and day, written by Spark from the statement events."""
-    folder = shared_folder(v.spark, "slow-log")
+def write_slow_log(v, folder: str | None = None, until=None) -> str:
+    """Slow-log files, one per instance and day, written by Spark from the statement events; with `until`, as they are at that moment."""
+    folder = folder or shared_folder(v.spark, "slow-log")
+    events = v.stmt_events if until is None else v.stmt_events.where(F.col("captured_at") < until)
     block = F.concat(
         F.lit("# Time: "), F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z\n# User@Host: app[app] @ host\n"),
         F.format_string(
@@ -26,11 +27,11 @@ def write_slow_log(v) -> str:
         F.when(F.col("database_name").isNotNull() & (F.col("k") % 2 == 0), F.concat(F.lit("use "), "database_name", F.lit(";\n"))).otherwise(""),
         F.lit("SET timestamp=1704103200;\n"), F.replace("sql_text", F.lit(" WHERE "), F.lit("\nWHERE ")), F.lit(";"),
     )
-    lines = v.stmt_events.select(
+    lines = events.select(
         block.alias("value"), "instance_id", F.to_date("captured_at").alias("day"), "captured_at", "event_id"
     )
     (lines.repartition("instance_id", "day").sortWithinPartitions("instance_id", "day", "captured_at", "event_id")
-     .select("value", "instance_id", "day").write.partitionBy("instance_id", "day").text(folder))
+     .select("value", "instance_id", "day").write.mode("overwrite").partitionBy("instance_id", "day").text(folder))
     return folder
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.analysis import _CHAIN
 from tidewatch.catalog.capture import _HISTORY_WHERE, _LOG_ORACLE, FOLD, fold_columns, write_slow_log
-from tidewatch.catalog.common import captured
+from tidewatch.catalog.common import captured, moment
 from tidewatch.catalog.registry import query
 from tidewatch.session import shared_folder
 from tidewatch.streaming import jobs
@@ -23,15 +23,18 @@ def _outputs(spark, name):
 
 
 @query("stream_slow_log", _LOG_ORACLE.format(
-    columns="""captured_at, coalesce(used, carried) as database_name, rows_examined, rows_sent""",
+    columns="""captured_at, coalesce(used, carried) as database_name, replace(sql_text, ' WHERE ', chr(10) || 'WHERE ') || ';' as sql_text, rows_examined, rows_sent""",
     where="where round(query_time_sec, 6) >= 0.5 and captured_at >= timestamp '2024-01-10 00:00:01'"))
 def _(v):
     paths = _outputs(v.spark, "stream-slow-log")
-    since = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
-    jobs.stream_slow_log(
-        v.spark, folder=f"{write_slow_log(v)}/*/*", out=paths["out"], checkpoint=paths["checkpoint"], instance_id="all", since=since
-    ).awaitTermination()
-    return v.spark.read.parquet(paths["out"]).select("captured_at", "database_name", "rows_examined", "rows_sent")
+    since = moment("2024-01-10 00:00:00")
+    folder = shared_folder(v.spark, "slow-log")
+    for until in (moment("2024-01-15 12:00:00"), None):  # the logs have grown, and have other file names, when the job runs again
+        write_slow_log(v, folder, until)
+        jobs.stream_slow_log(
+            v.spark, folder=f"{folder}/*/*/*", out=paths["out"], checkpoint=paths["checkpoint"], instance_id="all", since=since, quiet_seconds=0
+        ).awaitTermination()
+    return v.spark.read.parquet(paths["out"]).select("captured_at", "database_name", "sql_text", "rows_examined", "rows_sent")
 
 
 @query("stream_history_anchor", f"""select event_id, instance_id, timer_start from history_rows where {_HISTORY_WHERE}""")

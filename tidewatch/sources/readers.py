@@ -18,7 +18,8 @@ _HEADER = r"^(?:(?:(?:use|USE)\s+[^\n;]+|SET timestamp=\d+(?:\.\d+)?)\s*;[ \t]*(
 def slow_log_blocks(lines: DataFrame) -> DataFrame:
     """Text rows read with `lineSep=BLOCK_START` -> one parsed row per block, header blocks included.
 
-    Needs the columns value, file_path and file_block_start, in file order within a block start. Only whole `use name;` and
+    Needs the columns value, file_path and file_block_start, and file_id where a log is known by more than its path, in file order
+    within a block start. Only whole `use name;` and
     `SET timestamp=...;` lines ahead of the statement belong to the header; the same words later are part of the statement
     (`USE INDEX` on a line of its own). Times keep their fraction and their offset.
     """
@@ -33,7 +34,8 @@ def slow_log_blocks(lines: DataFrame) -> DataFrame:
         return blank_to_null(F.regexp_extract("value", rf"(?m)^# Query_time:.*?{name}: ({pattern})", 1))
 
     return lines.select(
-        "file_path", "file_block_start", F.monotonically_increasing_id().alias("block_no"),
+        "file_path", F.col("file_id" if "file_id" in lines.columns else "file_path").alias("file_id"), "file_block_start",
+        F.monotonically_increasing_id().alias("block_no"),
         blank_to_null(start).try_cast("timestamp").alias("captured_at"), F.contains("value", F.lit("# Query_time:")).alias("is_report"),
         F.coalesce(blank_to_null(F.regexp_extract("value", r"(?m)^# Query_time: (\d+\.?\d*)", 1)).cast("double"), F.lit(0.0)).alias("query_time_sec"),
         F.coalesce(metric("Lock_time", r"\d+\.?\d*").cast("double"), F.lit(0.0)).alias("lock_time_sec"),
@@ -44,31 +46,43 @@ def slow_log_blocks(lines: DataFrame) -> DataFrame:
     )
 
 
-def win_sticky_db(blocks: DataFrame) -> DataFrame:
+def win_sticky_db(blocks: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Add `sticky_db`: the last schema chosen by `use` before the block in the same file.
 
-    A file is read in splits, so each split is handled on its own and only its last choice moves on to the next one.
+    A file is read in splits, so each split is handled on its own and only its last choice moves on to the next one. `known` (file_id,
+    used_db) has the choice with which the blocks of a file start, where they are not its first.
     """
-    in_split = Window.partitionBy("file_path", "file_block_start").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    in_split = Window.partitionBy("file_id", "file_block_start").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("file_id").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
-        blocks.groupBy("file_path", "file_block_start")
+        blocks.groupBy("file_id", "file_block_start")
         .agg(F.max_by("used_db", F.when(F.col("used_db").isNotNull(), F.col("block_no"))).alias("_last"))
         .withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).drop("_last")
     )
+    if known is not None:
+        splits = splits.join(known.select("file_id", F.col("used_db").alias("_known")), "file_id", "left")
+        splits = splits.withColumn("_carried", F.coalesce("_carried", "_known")).drop("_known")
     return (
         blocks.withColumn("_local", F.last("used_db", ignorenulls=True).over(in_split))
-        .join(splits, ["file_path", "file_block_start"])
+        .join(splits, ["file_id", "file_block_start"])
         .withColumn("sticky_db", F.coalesce("_local", "_carried")).drop("_local", "_carried")
     )
 
 
-def slow_log_events(lines: DataFrame, *, instance_id: str | None, min_sec=0.5, min_rows=0, strict=False) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects) of slow-log text. A `use` line counts for its own block too, unless `strict`.
+def last_used_db(blocks: DataFrame) -> DataFrame:
+    """(file_id, used_db): the choice in force behind the last of the blocks, for files that have one."""
+    place = F.when(F.col("used_db").isNotNull(), F.struct("file_block_start", "block_no"))
+    return blocks.groupBy("file_id").agg(F.max_by("used_db", place).alias("used_db")).where("used_db is not null")
+
+
+def slow_log_events(
+    lines: DataFrame, *, instance_id: str | None, min_sec=0.5, min_rows=0, strict=False, known: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of slow-log text. A `use` line counts for its own block too, unless `strict`; see `win_sticky_db` for `known`.
 
     Rejects are blocks that report a query without a readable time or without a statement, whole and with the reason.
     """
-    blocks = win_sticky_db(slow_log_blocks(lines))
+    blocks = win_sticky_db(slow_log_blocks(lines), known)
     database = F.col("sticky_db") if strict else F.coalesce("used_db", "sticky_db")
     reason = F.when(F.col("captured_at").isNull(), "no readable time").when(F.col("sql_text") == "", "no statement")
     events = blocks.filter(

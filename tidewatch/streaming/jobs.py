@@ -21,6 +21,7 @@ from tidewatch.operators.folds import capture_partials, compact_partials, merge_
 from tidewatch.operators.rules import alert_text, build_context
 from tidewatch.operators.tasks import join_project, new_tasks
 from tidewatch.sources import readers, sinks
+from tidewatch.sources.tail import tail_blocks
 
 
 def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -28,18 +29,29 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
 
 
 def stream_slow_log(spark: SparkSession, *, folder: str, out: str, checkpoint: str, instance_id: str,
-                    since: Column | None = None, **limits) -> StreamingQuery:
-    """Events of new, complete log segments below `folder`; with `since`, only those after it. Rejected blocks go to `out`-rejects."""
-    lines = readers.with_file_position(spark.readStream.option("lineSep", readers.BLOCK_START).text(folder))
+                    since: Column | None = None, start="earliest", quiet_seconds: float = 30, split_bytes: int = 64 << 20, **limits) -> StreamingQuery:
+    """Events of the blocks appended to the logs below `folder`, each once; with `since`, only those after it.
+
+    Logs are followed while they grow, are renamed or truncated (see `sources.tail`). The schema chosen by a `use` line is carried over
+    micro-batches, one row per log, in `out`-schemas. Rejected blocks go to `out`-rejects.
+    """
+    blocks = tail_blocks(spark, folder, start=start, quiet_seconds=quiet_seconds, split_bytes=split_bytes)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        events, rejects = readers.slow_log_events(batch, instance_id=instance_id, **limits)
+        batch = batch.persist()  # read once for events, rejects and the schema in force
+        known = sinks.read_version(spark, f"{out}-schemas", batch_id - 1) if batch_id else None
+        events, rejects = readers.slow_log_events(batch, instance_id=instance_id, known=known, **limits)
         sinks.write_version(rejects, f"{out}-rejects", batch_id)
         if since is not None:
             events = events.filter(F.col("captured_at") > since)
         sinks.write_version(events, out, batch_id)
+        chosen = readers.last_used_db(readers.slow_log_blocks(batch))
+        if known is not None:
+            chosen = chosen.unionByName(known.select("file_id", "used_db").join(chosen, "file_id", "left_anti"))
+        sinks.write_version(chosen, f"{out}-schemas", batch_id)
+        batch.unpersist()
 
-    return _start(lines, work, checkpoint)
+    return _start(blocks, work, checkpoint)
 
 
 def stream_http(spark: SparkSession, *, folder: str, out: str, checkpoint: str, max_len: int | None = None,
