@@ -3,11 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import cooldown, folds, ordered, tasks
+from tidewatch.session import settled
 
 START = datetime(2024, 1, 1)
 
@@ -34,33 +34,43 @@ def random_events(seed, n, span_minutes, keys):
     (1, 3000, 60 * 24 * 3, "30 minutes"), (2, 3000, 60 * 24 * 40, "30 minutes"), (3, 2000, 20, "30 minutes"), (4, 4000, 60 * 48, "1 minute"),
     (5, 500, 60 * 24 * 365, "24 hours"),
 ])
-def test_cooldown_equals_sequential(spark, seed, n, span, period):
+@pytest.mark.parametrize("task_rows", [0, 400, 100_000])
+def test_cooldown_equals_sequential(spark, seed, n, span, period, task_rows):
     rows = random_events(seed, n, span, [None, "a", "b", "c"])
     df = spark.createDataFrame(rows, "event_id bigint, fingerprint string, captured_at timestamp_ntz").repartition(5)
-    got = {r["event_id"] for r in cooldown.cooldown_dedup(df, period=period).collect()}
+    got = {r["event_id"] for r in cooldown.cooldown_dedup(df, period=period, task_rows=task_rows).collect()}
     assert got == naive_cooldown(rows, timedelta(microseconds=cooldown.period_micros(period)))
 
 
-def test_stretch_exits_is_the_chain_from_every_entry():
-    rng = np.random.default_rng(7)
-    for _ in range(200):
-        period, start = int(rng.integers(1, 40)), 1000
-        times = np.unique(start + rng.integers(0, period * 32, size=int(rng.integers(1, 120))))
-        exits = cooldown.StretchExits(start, period)
-        for piece in np.array_split(times, int(rng.integers(1, 5))):
-            if len(piece):
-                exits.add(piece)
-        opens, leaves = exits.table()
-        assert list(cooldown.small_stretch(times.tolist(), start + period, period)) == list(zip(opens.tolist(), leaves.tolist()))
-        for entry in range(start - 3, start + period):
-            free, hit = entry, False
-            for t in times:
-                if t >= free:
-                    free, hit = t + period, True
-            row = np.searchsorted(opens, entry)
-            assert (row < len(opens)) == hit
-            if hit:
-                assert leaves[row] == free
+def test_long_chains_with_gaps_bursts_and_exact_periods(spark):
+    rng, minute = random.Random(17), timedelta(minutes=1)
+    times = {
+        "steady": [START + i * minute / 2 for i in range(300)], "exact": [START + i * minute for i in range(50)],
+        "gap": [START, START + 1000 * minute, START + 1000 * minute + minute / 3, START + 1001 * minute + minute / 3],
+        "burst": [START + timedelta(microseconds=rng.randrange(10**6)) for _ in range(200)] + [START + 40 * minute], "one": [START],
+        "late": [START + 63 * minute + timedelta(seconds=rng.randrange(3000)) for _ in range(90)],
+    }
+    rows = [(i, k, t) for i, (k, t) in enumerate((k, t) for k, ts in times.items() for t in ts)]
+    df = spark.createDataFrame(rows, "event_id bigint, fingerprint string, captured_at timestamp_ntz")
+    for period in ("1 minute", "7 seconds"):
+        got = {r["event_id"] for r in cooldown.cooldown_dedup(df, period=period, task_rows=0).collect()}
+        assert got == naive_cooldown(rows, timedelta(microseconds=cooldown.period_micros(period)))
+
+
+def test_no_task_holds_a_large_key(spark, monkeypatch):
+    """One key with an event a second over two days: chunks of ten seconds, and tables that halve from round to round."""
+    df = spark.sql("select id event_id, 'k' fingerprint, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id) captured_at from range(20000)")
+    written = []
+
+    def spy(rows, purpose):
+        out = settled(rows, purpose)
+        written.append((purpose, out.count()))
+        return out
+
+    monkeypatch.setattr(cooldown, "settled", spy)
+    assert cooldown.cooldown_dedup(df, period="30 minutes", task_rows=1000).count() == 12
+    tables = [n for purpose, n in written if purpose == "chain-spans"]
+    assert tables[0] == 20_000 and all(later <= earlier * 2 / 3 + 2 for earlier, later in zip(tables, tables[1:])) and len(tables) == 5
 
 
 def test_cooldown_walks_over_batch_borders(spark):

@@ -1,21 +1,20 @@
 """Suppress repeats of a key for a period that starts at each accepted event.
 
-Whether an event is accepted depends on the accepted one before it, so a key is one long chain. The chain is cut
-into stretches of 32 periods, and the work runs in three steps, none of which holds a whole key:
-
-1. per stretch, in parallel: where would the chain leave the stretch, for every point it could enter at? It can
-   only enter within the first period, so few entry points matter, and those with the same exit are merged;
-2. per key: walk over these small tables to find the real entry point of each stretch;
-3. per stretch, in parallel: walk the events from the entry point and keep those the chain hits.
-
-Only distinct (key, microsecond) rows take part; duplicates are merged before the first shuffle.
+Whether an event is accepted depends on the accepted one before it, so a key is one long chain. Only distinct (key, microsecond) rows
+take part; duplicates are merged on the map side, and the merged rows are written once to the shared folder.
+
+Keys of at most `task_rows` rows are walked within tasks, many keys in each. The chain of a larger key is found by a parallel prefix. Its time is cut
+into spans of one period. For a span, a sorted table says where the chain leaves it (the time it is free again) for every point it could enter at; a
+chain enters within a span's first period, so only the events there and the first one after them are entry points. Going up, the tables
+of two neighbouring spans are composed into that of a span twice as long, which halves the rows; going down, the real entry point of every span
+follows from that of the span it is a half of. Each of these log2(spans) rounds is one look-up of "the first row at or after a time",
+which works in chunks of ten seconds per key (`ordered.carry`): no task holds more of a key than that, however large the key and whatever the period.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +22,10 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.text import fingerprint, micros, severity
 from tidewatch.operators.ordered import carry, position, time_chunk
+from tidewatch.session import settled
 
-_PERIODS_PER_STRETCH = 32
+TASK_ROWS = 200_000
+_GRANULE = 10_000_000  # microseconds
 
 
 def key_text(keys) -> Column:
@@ -37,220 +38,130 @@ def period_micros(period: str) -> int:
     return int(pd.Timedelta(period).total_seconds() * 1_000_000)
 
 
-class StretchExits:
-    """Where a chain leaves one stretch, for every point it could enter at; fed with the sorted distinct times.
-
-    A chain enters within the first period, so it accepts one of the times there or the first one after. For
-    each of these candidates only the time the chain is free again is kept and moved on, so memory grows with the events
-    of one period, not of the stretch.
-    """
-
-    def __init__(self, start: int, period: int):
-        self.edge, self.period = start + period, period
-        self.opens, self.free = [], []
-        self.open = True
-
-    def add(self, times: np.ndarray) -> None:
-        if self.open:
-            inside = int(np.searchsorted(times, self.edge))
-            self.opens.append(times[: inside + 1])
-            self.free.append(times[: inside + 1] + self.period)
-            if inside == len(times):
-                return
-            self.opens, self.free, self.open = np.concatenate(self.opens), np.concatenate(self.free), False
-            times = times[inside:]
-        while True:
-            hit = np.searchsorted(times, self.free)
-            moved = hit < len(times)
-            if not moved.any():
-                break
-            self.free[moved] = times[hit[moved]] + self.period
-        self._merge()
-
-    def _merge(self) -> None:
-        """Candidates that leave at the same time need one row: the last of them."""
-        keep = np.append(self.free[1:] != self.free[:-1], True)
-        self.opens, self.free = self.opens[keep], self.free[keep]
-
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """A chain that may accept from `x` on leaves with the second value of the first row whose bound is >= x."""
-        if self.open:
-            self.opens, self.free, self.open = np.concatenate(self.opens), np.concatenate(self.free), False
-        return self.opens, self.free
-
-
-_PIECE_ROWS = 250_000
-
-
-def _pieces(batches: Iterator[pd.DataFrame]):
-    """Split sorted batches into (part, stretch, times) pieces of bounded size; a stretch may take several."""
-    head, pending, size = None, [], 0
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        parts, stretches, times = pdf["_part"].to_numpy(), pdf["_stretch"].to_numpy(), pdf["_us"].to_numpy()
-        cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (stretches[1:] != stretches[:-1])) + 1
-        bounds = [0, *cuts.tolist(), len(pdf)]
-        for low, high in zip(bounds, bounds[1:]):
-            key = (parts[low], stretches[low])
-            if pending and (key != head or size >= _PIECE_ROWS):
-                yield *head, pending[0] if len(pending) == 1 else np.concatenate(pending)
-                pending, size = [], 0
-            head = key
-            pending.append(times[low:high])
-            size += high - low
-    if pending:
-        yield *head, np.concatenate(pending)
-
-
-_SMALL = 64
-
-
-def small_stretch(times: list[int], edge: int, period: int):
-    """The table of `StretchExits` for a few times, which plain loops build faster: (bound, free again) pairs."""
-    n = after = len(times)
-    free = [0] * n
-    for i in range(n - 1, -1, -1):
-        again = times[i] + period
-        while after and times[after - 1] >= again:
-            after -= 1
-        free[i] = free[after] if after < n else again
-    for i in range(n):
-        last = i == n - 1 or times[i] >= edge
-        if last or free[i] != free[i + 1]:
-            yield times[i], free[i]
-        if last:
-            return
-
-
-def _exit_tables(period: int):
-    width = period * _PERIODS_PER_STRETCH
+def _walk(period: int):
+    """Rows sorted by key and time -> those the chain of their key accepts. A key may go over several batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, head, exits = [], None, None
-        for part, stretch, times in _pieces(batches):
-            if exits is not None and head != (part, stretch):
-                yield _table_frame(head, exits)
-                exits = None
-            if exits is None and len(times) <= _SMALL:
-                # a piece this short is a whole stretch: only full pieces are cut
-                rows.extend([(part, stretch, o, f) for o, f in small_stretch(times.tolist(), stretch * width + period, period)])
-            else:
-                if exits is None:
-                    head, exits = (part, stretch), StretchExits(stretch * width, period)
-                exits.add(times)
-            if len(rows) >= 20_000:
-                yield _exit_frame(rows)
-                rows = []
-        if exits is not None:
-            yield _table_frame(head, exits)
-        yield _exit_frame(rows)
-
-    return run
-
-
-def _exit_frame(rows) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["_part", "_stretch", "_opens", "_leaves"])
-
-
-def _table_frame(head, exits: StretchExits) -> pd.DataFrame:
-    opens, free = exits.table()
-    return pd.DataFrame({"_part": head[0], "_stretch": head[1], "_opens": opens, "_leaves": free})
-
+        from bisect import bisect_left
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Follow each key through its exit tables; emits the time from which a stretch may accept."""
-    part, done, free = None, None, 0
-    for pdf in batches:
-        found = []
-        for p, stretch, opens, leaves in zip(pdf["_part"], pdf["_stretch"], pdf["_opens"], pdf["_leaves"]):
-            if p != part:
-                part, done, free = p, None, np.iinfo(np.int64).min
-            if stretch != done and opens >= free:
-                found.append((p, stretch, free))
-                done, free = stretch, leaves
-        yield pd.DataFrame(found, columns=["_part", "_stretch", "_free"])
-
-
-def _accept(period: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, stretch, free = None, None, 0
+        part, free = None, 0
         for pdf in batches:
-            hits = []
-            columns = (pdf["_part"].tolist(), pdf["_stretch"].tolist(), pdf["_us"].tolist(), pdf["_free"].tolist())
-            for i, (p, s, us, entry) in enumerate(zip(*columns)):
-                if p != part or s != stretch:
-                    part, stretch, free = p, s, entry
-                if us >= free:
-                    hits.append(i)
-                    free = us + period
-            yield pdf.iloc[hits][["_part", "_us", "_tie"]]
+            parts, times, hits = pdf["_part"].to_numpy(), pdf["_us"].tolist(), []
+            cuts = (parts[1:] != parts[:-1]).nonzero()[0] + 1
+            bounds = [0, *cuts.tolist(), len(times)]
+            for low, high in zip(bounds, bounds[1:]):
+                if low == high:
+                    continue
+                if part != parts[low]:
+                    part, free = parts[low], times[low]
+                at = bisect_left(times, free, low, high)
+                while at < high:
+                    hits.append(at)
+                    free = times[at] + period
+                    at = bisect_left(times, free, at + 1, high)
+            yield pdf.iloc[hits]
 
     return run
 
 
-def accepted_times(events: DataFrame, *, keys, ts: str, tie: str, period: str) -> DataFrame:
+def _first_from(queries: DataFrame, rows: DataFrame, at: str, columns) -> DataFrame:
+    """`queries` with `_hit`: a struct of `columns` of the first of `rows` of the same key whose `_entry` is not before `at`."""
+    points = rows.select(
+        F.col("_part").alias("_key"), F.col("_entry").alias("_at"), F.lit(1).alias("_kind"), F.struct(*columns).alias("_row"))
+    asked = queries.withColumnRenamed("_part", "_key").withColumn("_at", F.col(at)).withColumn("_kind", F.lit(0))
+    found = carry(
+        asked.unionByName(points, allowMissingColumns=True), keys=["_key"], order=["_at", "_kind"],
+        chunk=F.floor(F.col("_at") / F.lit(_GRANULE)), value=F.col("_row"), out="_hit", include_current=False, backwards=True,
+    )
+    return found.where("_kind = 0").withColumnRenamed("_key", "_part").select(*queries.columns, "_hit")
+
+
+def long_chains(times: DataFrame, step: int) -> DataFrame:
+    """(_part, _us) of the accepted times; `times` has the distinct (_part, _us) of large keys and `_start`, the first time of the key."""
+    span = F.floor((F.col("_us") - F.col("_start")) / F.lit(step))
+    base = settled(times.select("_part", "_start", span.alias("_span"), F.col("_us").alias("_entry"), (F.col("_us") + step).alias("_exit")), "chain-spans")
+    levels = [base]
+    rounds = int(base.agg(F.max("_span")).first()[0] or 0).bit_length()
+    for level in range(rounds):
+        levels.append(settled(_doubled(levels[-1], step, step << level), "chain-spans"))
+    starts = base.groupBy("_part").agg(F.min("_entry").alias("_free"))
+    entries = settled(starts.select("_part", F.lit(0).cast("bigint").alias("_span"), "_free"), "chain-entries")
+    for level in reversed(range(rounds)):
+        entries = settled(_halved(entries, levels[level]), "chain-entries")
+    hits = _first_from(entries, base, "_free", ["_span", "_entry"])
+    return hits.where("_hit._span = _span").select("_part", F.col("_hit._entry").alias("_us"))
+
+
+def _doubled(table: DataFrame, step: int, width: int) -> DataFrame:
+    """Exit tables of spans of `width` -> those of spans of twice that: an exit of the left half is looked up in the right half."""
+    left, right = table.where("_span % 2 = 0"), table.where("_span % 2 = 1")
+    up = F.shiftright("_span", 1)
+    met = _first_from(left, right, "_exit", ["_span", "_exit"])
+    leaves = F.when(F.col("_hit._span") == F.col("_span") + 1, F.col("_hit._exit")).otherwise(F.col("_exit"))
+    composed = met.select("_part", "_start", up.alias("_span"), "_entry", leaves.alias("_exit"))
+    # Where nothing in the left half lies behind its first period, a late entry leads to the first event of the right half.
+    first = right.groupBy("_part", up.alias("_span")).agg(F.min(F.struct("_entry", "_exit", "_start")).alias("_first"))
+    last = left.groupBy("_part", up.alias("_span")).agg(F.max("_entry").alias("_last"))
+    late = F.col("_last").isNull() | (F.col("_last") < F.col("_first._start") + F.col("_span") * F.lit(2 * width) + F.lit(step))
+    beyond = first.join(last, ["_part", "_span"], "left").where(late)
+    return composed.unionByName(beyond.select("_part", "_first._start", "_span", "_first._entry", "_first._exit"))
+
+
+def _halved(entries: DataFrame, table: DataFrame) -> DataFrame:
+    """Entry points of spans -> those of their halves that have events: the right one is entered where the left one is left."""
+    children = entries.select("_part", F.shiftleft("_span", 1).alias("_span"), "_free")
+    met = _first_from(children, table.where("_span % 2 = 0"), "_free", ["_span", "_exit"])
+    leaves = F.when(F.col("_hit._span") == F.col("_span"), F.col("_hit._exit")).otherwise(F.col("_free"))
+    both = children.unionByName(met.select("_part", (F.col("_span") + 1).alias("_span"), leaves.alias("_free")))
+    return both.join(table.select("_part", "_span").distinct(), ["_part", "_span"], "left_semi")
+
+
+def accepted_times(events: DataFrame, *, keys, ts: str, tie: str, period: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """(_part, _us, _tie) of the accepted events; ties of one microsecond go to the smallest `tie`."""
     step = period_micros(period)
-    firsts = (
+    firsts = settled(
         events.select(key_text(keys).alias("_part"), micros(F.col(ts)).alias("_us"), F.col(tie).alias("_tie"))
-        .filter(F.col("_us").isNotNull())
-        .groupBy("_part", "_us").agg(F.min("_tie").alias("_tie"))
-        .withColumn("_stretch", F.floor(F.col("_us") / F.lit(step * _PERIODS_PER_STRETCH)))
-    )
-    by_stretch = firsts.repartition("_part", "_stretch").sortWithinPartitions("_part", "_stretch", "_us")
-    exits = by_stretch.select("_part", "_stretch", "_us").mapInPandas(
-        _exit_tables(step), "_part string, _stretch bigint, _opens bigint, _leaves bigint"
-    )
-    entries = (
-        exits.repartition("_part").sortWithinPartitions("_part", "_stretch", "_opens")
-        .mapInPandas(_walk, "_part string, _stretch bigint, _free bigint")
-    )
-    schema = T.StructType([
-        T.StructField("_part", T.StringType()), T.StructField("_us", T.LongType()),
-        T.StructField("_tie", events.schema[tie].dataType),
-    ])
-    return (
-        firsts.join(entries, ["_part", "_stretch"])
-        .repartition("_part", "_stretch").sortWithinPartitions("_part", "_stretch", "_us")
-        .mapInPandas(_accept(step), schema)
-    )
+        .filter(F.col("_us").isNotNull()).groupBy("_part", "_us").agg(F.min("_tie").alias("_tie")), "chain-times")
+    large = firsts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_start")).where(F.col("_n") > task_rows)
+    large = settled(large.drop("_n"), "chain-keys")  # at most one key per `task_rows` rows
+    schema = T.StructType([firsts.schema["_part"], firsts.schema["_us"], firsts.schema["_tie"]])
+    some = not large.isEmpty()
+    small = firsts.join(large, "_part", "left_anti") if some else firsts
+    walked = small.repartition("_part").sortWithinPartitions("_part", "_us").mapInPandas(_walk(step), schema)
+    if not some:
+        return walked
+    chained = long_chains(firsts.join(large, "_part"), step)
+    return walked.unionByName(chained.join(firsts, ["_part", "_us"]).select("_part", "_us", "_tie"))
+
 
+def _keyed(events: DataFrame, keys, ts: str, tie: str) -> DataFrame:
+    return events.withColumns({"_part": key_text(keys), "_us": micros(F.col(ts)), "_tie": F.col(tie)})
 
-def mark_accepted(events: DataFrame, *, keys, ts: str, tie: str, period: str, out: str = "accepted") -> DataFrame:
+
+def mark_accepted(events: DataFrame, *, keys, ts: str, tie: str, period: str, out: str = "accepted", task_rows: int = TASK_ROWS) -> DataFrame:
     """All events with a flag; rows without a time are never accepted."""
-    hits = accepted_times(events, keys=keys, ts=ts, tie=tie, period=period).withColumn(out, F.lit(True))
-    return (
-        events.withColumn("_part", key_text(keys)).withColumn("_us", micros(F.col(ts)))
-        .withColumn("_tie", F.col(tie))
-        .join(hits, ["_part", "_us", "_tie"], "left")
-        .withColumn(out, F.coalesce(F.col(out), F.lit(False)))
-        .drop("_part", "_us", "_tie")
-    )
+    hits = accepted_times(events, keys=keys, ts=ts, tie=tie, period=period, task_rows=task_rows).withColumn(out, F.lit(True))
+    joined = _keyed(events, keys, ts, tie).join(hits, ["_part", "_us", "_tie"], "left")
+    return joined.withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop("_part", "_us", "_tie")
 
 
 def cooldown_dedup(events: DataFrame, *, keys=("fingerprint",), ts="captured_at", tie="event_id",
-                   period="30 minutes") -> DataFrame:
+                   period="30 minutes", task_rows: int = TASK_ROWS) -> DataFrame:
     """Events that are not within `period` after an accepted event of the same key."""
-    hits = accepted_times(events, keys=keys, ts=ts, tie=tie, period=period)
-    return (
-        events.withColumn("_part", key_text(keys)).withColumn("_us", micros(F.col(ts)))
-        .withColumn("_tie", F.col(tie))
-        .join(hits, ["_part", "_us", "_tie"], "left_semi")
-        .drop("_part", "_us", "_tie")
-    )
+    hits = accepted_times(events, keys=keys, ts=ts, tie=tie, period=period, task_rows=task_rows)
+    return _keyed(events, keys, ts, tie).join(hits, ["_part", "_us", "_tie"], "left_semi").drop("_part", "_us", "_tie")
 
 
-def alert_dedup(events: DataFrame, *, period="24 hours", tie="event_id") -> DataFrame:
+def alert_dedup(events: DataFrame, *, period="24 hours", tie="event_id", task_rows: int = TASK_ROWS) -> DataFrame:
     """Worst-grade events, once per fingerprint and period."""
     graded = events.withColumn("severity", severity(F.col("query_time_sec"), F.col("rows_examined")))
     worst = graded.filter(F.col("severity") == "P0")
     worst = worst.withColumn("fingerprint", fingerprint(F.col("instance_id"), F.col("sql_text")))
-    return cooldown_dedup(worst, period=period, tie=tie)
+    return cooldown_dedup(worst, period=period, tie=tie, task_rows=task_rows)
 
 
 def quota_flag(requests: DataFrame, *, key: str, ts: str, tie: str, limit: int = 100,
-               period: str = "60 seconds") -> DataFrame:
+               period: str = "60 seconds", task_rows: int = TASK_ROWS) -> DataFrame:
     """Flag requests beyond `limit` in a window that opens at a client's first request; 0 turns it off.
 
     Requests without a time belong to no window and are not refused.
@@ -260,7 +171,7 @@ def quota_flag(requests: DataFrame, *, key: str, ts: str, tie: str, limit: int =
     untimed = requests.filter(F.col(ts).isNull()).withColumn("refused", F.lit(False))
     requests = requests.filter(F.col(ts).isNotNull())
     chunk = time_chunk(ts)
-    opened = mark_accepted(requests, keys=[key], ts=ts, tie=tie, period=period, out="_opens")
+    opened = mark_accepted(requests, keys=[key], ts=ts, tie=tie, period=period, out="_opens", task_rows=task_rows)
     opened = carry(
         opened, keys=[key], order=[ts, tie], chunk=chunk, value=F.when(F.col("_opens"), F.col(ts)), out="_opened_at"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _local_root: tempfile.TemporaryDirectory | None = None
@@ -38,3 +38,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         _local_root = _local_root or tempfile.TemporaryDirectory(prefix="tidewatch-")
         root = _local_root.name
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(rows: DataFrame, purpose: str) -> DataFrame:
+    """`rows` written to the shared folder and read back: computed once, however often they are used, and safe from lost executors."""
+    path = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
