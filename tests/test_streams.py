@@ -101,11 +101,95 @@ def test_history_stream_takes_split_snapshots_and_early_starters(spark, tmp_path
 
     run([(5, 50), (6, 60), (7, 70), (8, 80)])
     run([(1, 10), (2, 20), (8, 80)])  # started before what is known, ended after it
-    jobs.compact_seen(spark, f"{tmp_path}/seen", version=2)
     run([(3, 30), (1, 10), (5, 50)])
     assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3, 5, 6, 7, 8]
 
 
+def test_history_ids_expire_and_rows_come_once(spark, tmp_path):
+    """A server shows its last 30 rows; one row is shown for ever, one is shown again after it was forgotten, one comes late."""
+    folder, start, state = f"{tmp_path}/in", datetime(2024, 1, 1), []
+
+    def row(i):
+        return (i, "i", f"SELECT {i}", "d", 10**12, i + 1, 1, 1, "db", start + timedelta(minutes=i))
+
+    for poll in range(8):
+        shown = [0, *range(max(1, poll * 20 - 10), poll * 20 + 20)]
+        shown += [5] if poll == 6 else [-3] if poll == 7 else []
+        spark.createDataFrame([row(i) for i in shown], HISTORY).coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(HISTORY).option("maxFilesPerTrigger", 1).parquet(folder)
+        jobs.stream_history_anchor(source, out=f"{tmp_path}/out", seen=f"{tmp_path}/seen", checkpoint=f"{tmp_path}/cp", keep="30 minutes", polls=2).awaitTermination()
+        state.append(sinks.read_version(spark, f"{tmp_path}/seen", poll).count())
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted([-3, *range(160)])
+    assert max(state) <= 30 + 20 * 2 + 3
+
+
+def test_cooldown_state_expires_and_the_stream_equals_one_batch(spark, tmp_path):
+    rng, start = random.Random(5), datetime(2024, 1, 1)
+    schema = "event_id bigint, fingerprint string, captured_at timestamp_ntz"
+    rows = [(i, f"k{rng.randrange(i // 8, i // 8 + 12)}", start + timedelta(minutes=i + rng.randrange(25))) for i in range(600)]
+    sizes = []
+    for batch in range(12):  # `cooldown_batch` as a restarted job calls it: only what is written carries over
+        part = spark.createDataFrame(rows[batch * 50:(batch + 1) * 50], schema)
+        jobs.cooldown_batch(part, batch, state=str(tmp_path), keys=["fingerprint"], ts="captured_at", tie="event_id", period="30 minutes", delay="10 minutes")
+        sizes.append(sinks.read_version(spark, f"{tmp_path}/last", batch).count())
+    assert max(sizes) <= 40 < len({r[1] for r in rows})
+    whole = {r["event_id"] for r in cooldown.cooldown_dedup(spark.createDataFrame(rows, schema)).collect()}
+    assert {r["event_id"] for r in jobs.settle_late(spark, str(tmp_path)).collect()} == whole
+
+
+def test_rows_behind_a_fast_clock_find_what_was_accepted(spark, tmp_path):
+    schema = "event_id bigint, fingerprint string, captured_at timestamp_ntz"
+    args = dict(state=str(tmp_path), keys=["fingerprint"], ts="captured_at", tie="event_id", period="30 minutes")
+    day = datetime(2024, 1, 1)
+    jobs.cooldown_batch(spark.createDataFrame([(1, "a", day)], schema), 0, **args)
+    jobs.cooldown_batch(spark.createDataFrame([(2, "fast", day + timedelta(days=1))], schema), 1, **args)
+    assert [r["_part"] for r in sinks.read_version(spark, f"{tmp_path}/last", 1).collect()] == ['{"fingerprint":"fast"}']
+    rows = [(3, "a", day + timedelta(minutes=29)), (4, "b", day), (5, "a", day + timedelta(minutes=31)), (6, "a", day - timedelta(minutes=1))]
+    got = jobs.cooldown_batch(spark.createDataFrame(rows, schema), 2, **args)
+    assert sorted(r["event_id"] for r in got.collect()) == [4, 5]
+    assert [r["event_id"] for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [6]
+
+
+def test_capture_uses_the_report_of_the_time(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    schema = SCHEMA.replace(", severity string", "")
+    rows = [(i, None, "SELECT a FROM orders WHERE a = 1", "d", "i", "p", 3.0, 0.0, 5, 1, "s", None, at + timedelta(minutes=m)) for i, m in enumerate([0, 10, 40, 50, 24 * 60 * 8])]
+    events = spark.createDataFrame(rows, schema).drop("fingerprint")
+    mark = jobs.graded_events(events).first()["fingerprint"]
+    keys = spark.createDataFrame([(mark, "k")], "fingerprint string, plan_key string")
+    reports = spark.createDataFrame([(mark, "k", "old", at + timedelta(minutes=5)), (mark, "k", "new", at + timedelta(minutes=45))],
+                                    "fingerprint string, plan_key string, report string, created_at timestamp_ntz")
+    events.write.parquet(f"{tmp_path}/in")
+    jobs.stream_capture(
+        spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"), spark.createDataFrame([("i", "p")], "instance_id string, project_code string"),
+        out=f"{tmp_path}/out", state=f"{tmp_path}/state", snapshot=f"{tmp_path}/snap", checkpoint=f"{tmp_path}/cp", plan_keys=keys, reports=lambda: reports,
+    ).awaitTermination()
+    # the first event has no report yet, the third one has; the last one's is out of date
+    assert sorted(str(r["created_at"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["2024-01-01 00:00:00", "2024-01-09 00:00:00"]
+    assert [r["diagnosis_report"] for r in jobs.read_captured(spark, f"{tmp_path}/snap").collect()] == ["new"]
+    alerts = spark.read.parquet(f"{tmp_path}/out-alerts").collect()
+    assert [(r["event_id"], "已有诊断(缓存):\nold" in r["alert"]) for r in alerts] == [(1, True)]
+
+
+def test_http_capture_rejects_with_a_reason(spark, tmp_path):
+    import json
+
+    bodies = [{"sql": "SELECT a FROM t", "instanceId": "on", "durationMs": 11_000, "received_at": "2024-01-01T00:00:00"},
+              {"sql": "SELECT a FROM t", "instanceId": "on", "durationMs": 1, "received_at": "2024-01-01T00:10:00"},
+              {"sql": "SELECT b FROM t", "instanceId": "off", "received_at": "2024-01-01T00:00:00"}, {"sql": "SELECT c FROM t"}, {"sql": ""}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("".join(json.dumps(b) + "\n" for b in bodies))
+    jobs.stream_http_capture(
+        spark, folder=f"{tmp_path}/in", instances=spark.createDataFrame([("on", "p")], "instance_id string, project_code string"), out=f"{tmp_path}/out",
+        state=f"{tmp_path}/state", snapshot=f"{tmp_path}/snap", checkpoint=f"{tmp_path}/cp",
+        enabled=lambda: spark.createDataFrame([("on", "http_endpoint")], "instance_id string, source string"),
+    ).awaitTermination()
+    assert sorted((r["instance_id"], r["project_code"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("", ""), ("on", "p")]
+    assert sorted(r["reject_reason"] for r in spark.read.parquet(f"{tmp_path}/out-rejects").collect()) == ["source not enabled", "sql is required"]
+    assert sorted(r["occurrence_count"] for r in jobs.read_captured(spark, f"{tmp_path}/snap").collect()) == [1, 2]
+    assert spark.read.parquet(f"{tmp_path}/out-alerts").count() == 1
+
+
 def test_late_rows_and_fast_clocks_settle_as_in_one_batch(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, rng.choice("abc"), datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(600))) for i in range(300)]

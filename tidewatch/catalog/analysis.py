@@ -25,7 +25,7 @@ _TEXT_RULES = """r.rule_id = 'E001' and contains(u, 'SELECT *') or r.rule_id = '
     or r.rule_id = 'E003' and contains(u, 'LIKE ''%') or r.rule_id = 'E004' and contains(u, 'ORDER BY RAND()')
     or r.rule_id = 'E005' and regexp_matches(u, 'LIMIT\\s+[0-9]{5,}') or r.rule_id = 'E107' and contains(u, 'CROSS JOIN')
     or r.rule_id = 'E202' and contains(u, 'UPDATE') and not contains(u, 'WHERE')"""
-_RULES = f"""with rules as (select * from (values {_RULE_ROWS}) t(rule_no, rule_id, category, title, suggestion)),
+RULES_SQL = f"""with rules as (select * from (values {_RULE_ROWS}) t(rule_no, rule_id, category, title, suggestion)),
 s as (select *, upper(sql_text) as u from stmt_events),
 hits as (select s.*, r.* from s join rules r on {_TEXT_RULES}),
 texts as (
@@ -33,12 +33,12 @@ texts as (
     || chr(10) || '> ' || suggestion || chr(10) || chr(10), '' order by rule_no) as report from hits group by event_id)"""
 
 
-@query("join_rules", _RULES + "\nselect event_id, rule_no, rule_id, title from hits")
+@query("join_rules", RULES_SQL + "\nselect event_id, rule_no, rule_id, title from hits")
 def _(v):
     return rules.join_rules(v.stmt_events).select("event_id", "rule_no", "rule_id", "title")
 
 
-@query("rules_report", _RULES + "\nselect s.event_id, coalesce(t.report, '') as rules_report from s left join texts t on s.event_id = t.event_id")
+@query("rules_report", RULES_SQL + "\nselect s.event_id, coalesce(t.report, '') as rules_report from s left join texts t on s.event_id = t.event_id")
 def _(v):
     return rules.rules_report(v.stmt_events).select("event_id", "rules_report")
 
@@ -46,10 +46,12 @@ def _(v):
 _FIXED = "cast(round(cast(cast(query_time_sec as varchar) as decimal(38, 20)), {0}) as decimal(18, {0}))"
 
 
-@query("build_context", _RULES + f"""
-select s.event_id, '【自动采集信息】' || chr(10) || '- 耗时: ' || {_FIXED.format(2)} || ' 秒' || chr(10) || '- 扫描: ' || rows_examined || ' 行' || chr(10)
+CONTEXT = f"""'【自动采集信息】' || chr(10) || '- 耗时: ' || {_FIXED.format(2)} || ' 秒' || chr(10) || '- 扫描: ' || rows_examined || ' 行' || chr(10)
   || '- 来源: ' || source || chr(10) || '- 库: ' || coalesce(database_name, 'unknown') || chr(10) || chr(10) || '【待分析SQL】' || chr(10) || sql_text
-  || coalesce(chr(10) || t.report, '') as context from s left join texts t on s.event_id = t.event_id""")
+  || coalesce(chr(10) || t.report, '')"""
+
+
+@query("build_context", f"{RULES_SQL}\nselect s.event_id, {CONTEXT} as context from s left join texts t on s.event_id = t.event_id")
 def _(v):
     return rules.build_context(v.stmt_events).select("event_id", "context")
 
@@ -57,9 +59,13 @@ def _(v):
 _MARK = "case severity when 'P0' then '🔴' when 'P1' then '🟡' else '🟢' end"
 
 
-@query("alert_text", f"""select event_id, {_MARK} || ' 慢查询告警' || chr(10) || '库: ' || coalesce(database_name, 'unknown') || chr(10) || '耗时: ' || {_FIXED.format(1)}
+ALERT = f"""{_MARK} || ' 慢查询告警' || chr(10) || '库: ' || coalesce(database_name, 'unknown') || chr(10) || '耗时: ' || {_FIXED.format(1)}
   || 's | 扫描: ' || rows_examined || '行' || chr(10) || 'SQL: ' || case when length(sql_text) > 100 then substr(sql_text, 1, 100) || '...' else sql_text end
-  || chr(10) || chr(10) || {_MARK} || ' [' || case severity when 'P0' then '严重' when 'P1' then '警告' else '关注' end || '] 新发现慢查询' as alert from captured""")
+  || chr(10) || chr(10) || """
+NEW = f"""{_MARK} || ' [' || case severity when 'P0' then '严重' when 'P1' then '警告' else '关注' end || '] 新发现慢查询'"""
+
+
+@query("alert_text", f"select event_id, {ALERT}{NEW} as alert from captured")
 def _(v):
     return rules.alert_text(captured(v)).select("event_id", "alert")
 

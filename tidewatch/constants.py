@@ -68,6 +68,7 @@ FAILED_PREFIX = "诊断失败: "
 UNKNOWN_ERROR = "未知错误"
 NEW_STATEMENT = "新发现慢查询"
 ALERT_TITLE = "慢查询告警"
+CACHED_REPORT = "已有诊断(缓存):\n"
 MULTI_STATEMENT = "安全拦截：禁止执行多条拼接的 SQL 语句"
 NOT_A_SELECT = "安全拦截：系统仅支持 SELECT 查询语句的分析，禁止包含 DML/DDL 等写操作"
 EMPTY_STATEMENT = "安全拦截：SQL 不能为空"

@@ -1,6 +1,6 @@
 """Structured Streaming jobs.
 
-Every job works per micro-batch with the batch operators and keeps its small state as one parquet version per batch: batch n
+Every job works per micro-batch with the batch operators and keeps its small state, which expires, as one parquet version per batch: batch n
 reads version n-1 and writes version n. A batch that is run again after a failure overwrites exactly what it wrote before.
 The batch operators spread hot keys over many tasks, which a per-key stateful function could not.
 """
@@ -19,7 +19,7 @@ from tidewatch.operators.cooldown import cooldown_dedup, key_text, period_micros
 from tidewatch.operators.filters import flt_enabled_source, flt_http_valid
 from tidewatch.operators.folds import capture_partials, compact_partials, merge_partials
 from tidewatch.operators.rules import alert_text, build_context
-from tidewatch.operators.tasks import join_project, new_tasks
+from tidewatch.operators.tasks import join_project, join_report_cache, new_tasks
 from tidewatch.sources import readers, sinks
 from tidewatch.sources.tail import tail_blocks
 
@@ -72,51 +72,80 @@ def stream_http(spark: SparkSession, *, folder: str, out: str, checkpoint: str,
     return _start(body, work, checkpoint)
 
 
-def stream_history_anchor(snapshots: DataFrame, *, out: str, seen: str, checkpoint: str, min_sec=0.5) -> StreamingQuery:
+def stream_history_anchor(snapshots: DataFrame, *, out: str, seen: str, checkpoint: str, min_sec=0.5, keep="1 day", polls=16) -> StreamingQuery:
     """New rows of repeated statement-history snapshots, each (instance, event id) once.
 
-    What was taken is kept by id below `seen`, not by a moving start time: a snapshot may come in several files and batches, and
-    a long statement that started before others but ended after them is still new.
+    What was taken is kept by id, not by a moving start time: a snapshot may come in several files and batches, and a long statement
+    that started before others but ended after them is still new. An id is forgotten when it is `keep` older than the newest row of its instance
+    and no snapshot of the last `polls` batches held it, so the state (one version per batch below `seen`) is bounded by what
+    servers still show. A row that is so old and not remembered is compared with the output of its time, so none is lost or taken twice.
     """
-    spark = snapshots.sparkSession
+    spark, step = snapshots.sparkSession, period_micros(keep)
     ids = ["instance_id", "event_id"]
 
     def work(batch: DataFrame, batch_id: int) -> None:
         rows = readers.history_filter(batch, min_sec=min_sec).dropDuplicates(ids)
+        rows = rows.withColumn("_at", F.coalesce(micros(F.col("captured_at")), F.lit(0))).persist()
+        taken = rows
+        known = sinks.read_version(spark, seen, batch_id - 1) if batch_id else spark.createDataFrame([], _SEEN)
         if batch_id:
-            known = spark.read.parquet(seen).filter(F.col("version") < batch_id).select(*ids)
-            rows = rows.join(known, ids, "left_anti")
-        events = sinks.write_version(readers.history_events(rows), out, batch_id)
-        sinks.write_version(events.select(*ids), seen, batch_id)
+            clock = known.groupBy("instance_id").agg((F.max("at") - step).alias("_old"))
+            new = rows.join(known.select(*ids), ids, "left_anti").join(clock, "instance_id", "left")
+            old = F.col("_at") < F.col("_old")
+            span = new.where(old).agg(F.min("captured_at").alias("low"), F.max("captured_at").alias("high"), F.count(F.lit(1)).alias("n")).first()
+            taken = new.drop("_old")
+            if span["n"]:
+                written = spark.read.parquet(out).where(
+                    (F.col("version") < batch_id) & (F.col("captured_at").between(span["low"], span["high"]) | F.col("captured_at").isNull()))
+                taken = taken.join(written.select(*ids), ids, "left_anti")
+        sinks.write_version(readers.history_events(taken), out, batch_id)
+        shown = rows.select(*ids, F.col("_at").alias("at"), F.lit(batch_id).cast("bigint").alias("batch"))
+        both = known.unionByName(shown).groupBy(*ids).agg(F.max("at").alias("at"), F.max("batch").alias("batch"))
+        newest = both.groupBy("instance_id").agg(F.max("at").alias("_newest"))
+        kept = both.join(newest, "instance_id").where((F.col("at") >= F.col("_newest") - step) | (F.col("batch") > batch_id - polls)).drop("_newest")
+        sinks.write_version(kept, seen, batch_id)
+        rows.unpersist()
 
     return _start(snapshots, work, checkpoint)
 
 
-def compact_seen(spark: SparkSession, seen: str, *, version: int) -> None:
-    """Merge the ids of batches before `version` into that of batch 0, between runs; a run stopped halfway loses nothing."""
-    older = spark.read.parquet(seen).filter(F.col("version") < version).select("instance_id", "event_id").distinct()
-    merged = sinks.write_version(older, f"{seen}-merged", version)
-    sinks.write_version(merged, seen, 0)
-    for batch in range(1, version):
-        sinks.write_version(merged.limit(0), seen, batch)
+_SEEN = "instance_id string, event_id bigint, at bigint, batch bigint"
 
 
-def cooldown_batch(batch: DataFrame, batch_id: int, *, state: str, keys, ts: str, tie: str, period: str) -> DataFrame:
+def cooldown_batch(batch: DataFrame, batch_id: int, *, state: str, keys, ts: str, tie: str, period: str, delay="1 hour",
+                   keep_events: bool = True) -> DataFrame:
     """Accepted events of one micro-batch, read back from where they were written.
 
-    The state holds the last accepted time of every key, one row per key, and no clock but a key's own decides: one source with a fast
-    clock does not touch the others. Rows within the period after their key's last accepted event are suppressed. Rows before it, and rows
-    without a time, come too late to be judged on the fly: they are kept in `state`/late, as are all rows in `state`/events, and `settle_late`
-    judges the keys they belong to anew, so that stream and batch agree.
+    The state holds the last accepted time of a key until its period has ended `delay` before the newest accepted event; then it
+    expires, as later rows of that key are free. So its size is bounded by the keys of one period and delay, not by history. Rows older than
+    that whose key has no state find the last accepted time in what was accepted around them; only then is anything but the state read, and
+    one source with a fast clock costs the others a look-up, no event.
+
+    Rows within the period after their key's last accepted event are suppressed. Rows before it, and rows without a time, come too late to
+    be judged on the fly: they are kept in `state`/late, as all rows are in `state`/events (unless `keep_events` is off), and
+    `settle_late` judges the keys they belong to anew, so that stream and batch agree.
+
+    A function with state per key (`transformWithState`) would take all rows of a hot key into one task; here a micro-batch is judged by
+    `cooldown_dedup`, which does not.
     """
     spark, step = batch.sparkSession, period_micros(period)
     # several passes follow; a lost executor recomputes its part of the batch from the source
     keyed = batch.withColumn("_part", key_text(keys)).withColumn("_us", micros(F.col(ts))).persist()
-    if batch_id:
-        known = sinks.read_version(spark, f"{state}/last", batch_id - 1)
-    else:
-        known = spark.createDataFrame([], "_part string, _last bigint")
-    sinks.write_version(keyed.drop("_part", "_us"), f"{state}/events", batch_id)
+    known = sinks.read_version(spark, f"{state}/last", batch_id - 1) if batch_id else spark.createDataFrame([], "_part string, _last bigint")
+    newest = known.agg(F.max("_last")).first()[0] if batch_id else None
+    forgotten = None
+    if newest is not None:
+        edge = newest - period_micros(delay)
+        forgotten = keyed.where(F.col("_us") < edge).join(known, "_part", "left_anti").persist()
+        low = forgotten.agg(F.min("_us")).first()[0]
+        if low is not None:
+            # Nothing before this can still hold back a row, and the column comparison reaches the scan.
+            since = F.timestamp_micros(F.lit(low - step)).cast(batch.schema[ts].dataType)
+            past = spark.read.parquet(f"{state}/accepted").where((F.col("version") < batch_id) & (F.col(ts) >= since))
+            past = past.select(key_text(keys).alias("_part"), micros(F.col(ts)).alias("_last")).join(forgotten.select("_part"), "_part", "left_semi")
+            known = known.unionByName(past.groupBy("_part").agg(F.max("_last").alias("_last")))
+    if keep_events:
+        sinks.write_version(keyed.drop("_part", "_us"), f"{state}/events", batch_id)
     judged = keyed.join(known, "_part", "left")
     late = F.col("_us").isNull() | F.coalesce(F.col("_us") < F.col("_last"), F.lit(False))
     sinks.write_version(judged.filter(late).drop("_part", "_us", "_last"), f"{state}/late", batch_id)
@@ -125,8 +154,12 @@ def cooldown_batch(batch: DataFrame, batch_id: int, *, state: str, keys, ts: str
         cooldown_dedup(free, keys=keys, ts=ts, tie=tie, period=period), f"{state}/accepted", batch_id
     )
     times = accepted.select(key_text(keys).alias("_part"), micros(F.col(ts)).alias("_last")).unionByName(known)
-    sinks.write_version(times.groupBy("_part").agg(F.max("_last").alias("_last")), f"{state}/last", batch_id)
+    last = times.groupBy("_part").agg(F.max("_last").alias("_last"))
+    newest = max(filter(None, [newest, accepted.agg(F.max(micros(F.col(ts)))).first()[0]]), default=0)
+    sinks.write_version(last.where(F.col("_last") + step >= newest - period_micros(delay)), f"{state}/last", batch_id)
     keyed.unpersist()
+    if forgotten is not None:
+        forgotten.unpersist()
     return accepted
 
 
@@ -142,12 +175,12 @@ def settle_late(spark: SparkSession, state: str, *, keys=("fingerprint",), ts="c
     return kept.unionByName(cooldown_dedup(events, keys=keys, ts=ts, tie=tie, period=period))
 
 
-def stream_cooldown(events: DataFrame, *, keys=("fingerprint",), ts="captured_at", tie="event_id", period="30 minutes",
+def stream_cooldown(events: DataFrame, *, keys=("fingerprint",), ts="captured_at", tie="event_id", period="30 minutes", delay="1 hour",
                     out: str, state: str, checkpoint: str) -> StreamingQuery:
-    """The cool-down over a stream in event time; see `cooldown_batch` for late rows."""
+    """The cool-down over a stream in event time; see `cooldown_batch` for its state and late rows."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        accepted = cooldown_batch(batch, batch_id, state=state, keys=keys, ts=ts, tie=tie, period=period)
+        accepted = cooldown_batch(batch, batch_id, state=state, keys=keys, ts=ts, tie=tie, period=period, delay=delay)
         sinks.write_version(accepted, out, batch_id)
 
     return _start(events, work, checkpoint)
@@ -200,36 +233,91 @@ def compact_captured(spark: SparkSession, path: str, *, version: int, compacted:
 
 def capture_events(events: DataFrame, instances: DataFrame) -> DataFrame:
     """The stateless part of the capture chain: project, noise filter, fingerprint, grade."""
-    kept = join_project(events, instances).filter(F.col("sql_text").isNotNull()).filter(~is_noise(F.col("sql_text")))
-    return kept.withColumns({
+    return graded_events(join_project(events, instances).filter(F.col("sql_text").isNotNull()).filter(~is_noise(F.col("sql_text"))))
+
+
+def graded_events(events: DataFrame) -> DataFrame:
+    """Events with their fingerprint and grade."""
+    return events.withColumns({
         "fingerprint": fingerprint(F.col("instance_id"), F.col("sql_text")),
         "severity": severity(F.col("query_time_sec"), F.col("rows_examined")),
     })
 
 
-def stream_capture(events: DataFrame, instances: DataFrame, *, out: str, state: str, snapshot: str, checkpoint: str,
-                   period="30 minutes", alert_period="24 hours", rules=K.RULES) -> StreamingQuery:
-    """The whole chain: filter, grade, fold every event, cool down, emit tasks and worst-grade alerts of accepted events.
+Table = DataFrame | Callable[[], DataFrame]
+
 
-    A suppressed repeat still counts in the snapshot. Alerts go to `out`-alerts, once per fingerprint and `alert_period`.
+def _now(table: Table) -> DataFrame:
+    """A table as it is for this batch; a function is asked anew, so that versions written since are seen."""
+    return table if isinstance(table, DataFrame) else table()
+
+
+def capture_batch(graded: DataFrame, batch_id: int, *, out: str, state: str, snapshot: str, period="30 minutes", alert_period="24 hours",
+                  rules=K.RULES, plan_keys: Table | None = None, reports: Table | None = None, ttl_days=7, alerts: bool = True) -> None:
+    """What follows the grading of events: report cache, cool-down, fold, tasks and alerts of one micro-batch.
+
+    With `plan_keys` and `reports` (the versions of the report cache, each with its time) an event meets the version of its own time
+    (`join_report_cache`; never for the worst grade). Its report goes into the snapshot, an accepted event that has one makes no task, and a
+    suppressed one raises an alert with the report. Suppressed repeats count in the snapshot. Alerts go to `out`-alerts, once
+    per fingerprint and `alert_period`.
     """
+    if plan_keys is not None and reports is not None:
+        graded = join_report_cache(graded, _now(plan_keys), _now(reports), ttl_days=ttl_days).drop("plan_key")
+    else:
+        graded = graded.withColumn("cached_report", F.lit(None).cast("string"))
+    graded = graded.withColumn("diagnosis_report", F.coalesce("cached_report", "diagnosis_report")).persist()
+    chain = dict(keys=["fingerprint"], ts="captured_at", tie="event_id")
+    accepted = cooldown_batch(graded, batch_id, state=state, period=period, **chain)
+    sinks.write_version(capture_partials(graded, batch=batch_id), f"{snapshot}/partials", batch_id)
+    if alerts:
+        suppressed = graded.filter(F.col("cached_report").isNotNull()).join(accepted.select("event_id"), "event_id", "left_anti")
+        told = graded.filter(F.col("severity") == "P0").unionByName(suppressed.select(graded.columns))
+        told = cooldown_batch(told, batch_id, state=f"{state}-alerts", period=alert_period, keep_events=False, **chain)
+        report = F.concat(F.lit(K.CACHED_REPORT), F.col("cached_report"))
+        lines = alert_text(told.filter(F.col("cached_report").isNull())).unionByName(
+            alert_text(told.filter(F.col("cached_report").isNotNull()), content=report))
+        sinks.write_version(lines, f"{out}-alerts", batch_id)
+    sinks.sink_tasks(new_tasks(build_context(accepted, rules)), path=out, version=batch_id)
+    graded.unpersist()
+
+
+def stream_capture(events: DataFrame, instances: DataFrame, *, out: str, state: str, snapshot: str, checkpoint: str, **chain) -> StreamingQuery:
+    """The whole chain: filter, grade, and all that `capture_batch` does."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        graded = capture_events(batch, instances)
-        accepted = cooldown_batch(
-            graded, batch_id, state=state, keys=["fingerprint"], ts="captured_at", tie="event_id", period=period
-        )
-        sinks.write_version(capture_partials(graded, batch=batch_id), f"{snapshot}/partials", batch_id)
-        worst = cooldown_batch(
-            graded.filter(F.col("severity") == "P0"), batch_id, state=f"{state}-alerts", keys=["fingerprint"], ts="captured_at",
-            tie="event_id", period=alert_period,
-        )
-        sinks.write_version(alert_text(worst), f"{out}-alerts", batch_id)
-        sinks.sink_tasks(new_tasks(build_context(accepted, rules)), path=out, version=batch_id)
+        capture_batch(capture_events(batch, instances), batch_id, out=out, state=state, snapshot=snapshot, **chain)
 
     return _start(capture_source(events), work, checkpoint)
 
 
+def stream_http_capture(spark: SparkSession, *, folder: str, instances: DataFrame, out: str, state: str, snapshot: str, checkpoint: str,
+                        enabled: Table | None = None, max_len: int | None = None, received_at: str = "$.received_at", **chain) -> StreamingQuery:
+    """JSON reports as one job: check, enabled source, project, grade, cool-down, fold, tasks and alerts.
+
+    Every statement that is valid, and whose instance has this source enabled if it names one, is folded; accepted ones make a task. The
+    others go to `out`-rejects with their reason. A body's own time is read from `received_at`; without one it is the time of the
+    micro-batch. Events without an id get one from their body and time.
+    """
+    text = spark.readStream.text(folder)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        at = F.coalesce(F.get_json_object("body", received_at).try_cast("timestamp_ntz"), F.current_timestamp().cast("timestamp_ntz"))
+        event_id = F.coalesce(F.get_json_object("body", "$.event_id").try_cast("bigint"), F.xxhash64("body", "at"))
+        bodies = batch.select(F.col("value").alias("body")).withColumn("at", at).withColumn("event_id", event_id)
+        valid, rejected = flt_http_valid(readers.src_http_events(bodies, received_at=F.col("at")), max_len=max_len)
+        if enabled is not None:
+            open_ = _now(enabled).select("instance_id", "source").distinct().withColumn("_on", F.lit(True))
+            judged = valid.join(open_, ["instance_id", "source"], "left")
+            on = F.col("_on").isNotNull() | F.col("instance_id").isNull() | (F.trim("instance_id") == "")
+            rejected = rejected.unionByName(judged.filter(~on).drop("_on").withColumn("reject_reason", F.lit("source not enabled")))
+            valid = judged.filter(on).drop("_on")
+        sinks.write_version(rejected, f"{out}-rejects", batch_id)
+        named = join_project(capture_source(valid), instances)
+        capture_batch(graded_events(named), batch_id, out=out, state=state, snapshot=snapshot, **chain)
+
+    return _start(text, work, checkpoint)
+
+
 def capture_source(events: DataFrame) -> DataFrame:
     """The event columns the capture chain needs, missing ones as NULL."""
     for column in ("project_code", "diagnosis_report"):
