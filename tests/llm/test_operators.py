@@ -123,10 +123,36 @@ def test_raking_meets_the_margins(spark):
     cells = rng.uniform(1, 50, (3, 4, 2))
     cells[0, 1, 0] = 0
     shares = [np.array([0.2, 0.5, 0.3]), np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.6, 0.4])]
-    weights = mixing.rake(cells, shares)
+    weights = mixing.rake(cells, [share * cells.sum() for share in shares])
     for axis, share in enumerate(shares):
         assert np.allclose(weights.sum(axis=tuple(a for a in range(3) if a != axis)) / weights.sum(), share, atol=1e-6)
     assert weights[0, 1, 0] == 0 and mixing.rake(np.zeros((2, 2)), [np.ones(2), np.ones(2)]).sum() == 0
+    for keep in (0.1, 0.9):  # with probabilities up to 1, the sample meets them too
+        weight, probability = mixing.rates(cells, shares, keep)
+        kept = cells * probability
+        assert probability.max() <= 1 and 0 < kept.sum() <= keep * cells.sum() * (1 + 1e-9)
+        assert np.allclose(weight, probability * cells.sum() / kept.sum())
+        for axis, share in enumerate(shares):
+            assert np.allclose(kept.sum(axis=tuple(a for a in range(3) if a != axis)) / kept.sum(), share, atol=1e-5)
+
+
+def test_as_much_is_kept_as_the_targets_allow():
+    cells, shares = np.array([[10.0, 0.0], [0.0, 90.0]]), [np.array([0.5, 0.5]), np.array([0.5, 0.5])]
+    _, probability = mixing.rates(cells, shares, 0.8)
+    assert probability[0, 0] == pytest.approx(1, abs=1e-4) and probability[1, 1] == pytest.approx(1 / 9, abs=1e-4)
+    contradicting = [np.array([0.5, 0.5]), np.array([0.1, 0.9])]
+    assert 0 < mixing.rates(cells, contradicting, 0.8)[1].max() <= 1
+    assert mixing.rates(np.zeros((2, 2)), shares, 0.8)[1].sum() == 0
+
+
+def test_the_sample_meets_the_targets(spark):
+    rows = common.table(spark, "/root/testdata/sf0.1", "documents")
+    targets = {"source": {"src0": 0.1, mixing.OTHER: 0.9}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
+    counted = rows.select("doc_id", "source", "lang", mixing.n_tokens(F.col("text")).alias("n"))
+    taken = mixing.mix(counted, targets, "n", {"source": "source", "lang": "lang"}, 0.8, ["doc_id", "source", "lang"]).where("selected").toPandas()
+    share = lambda c: (taken.groupby(c)["n_tokens"].sum() / taken["n_tokens"].sum()).to_dict()
+    assert share("source")["src0"] == pytest.approx(0.1, abs=0.01)
+    assert all(share("lang")[k] == pytest.approx(v, abs=0.02) for k, v in targets["lang"].items())
 
 
 def test_mixing_by_brute_force(spark):
@@ -144,18 +170,20 @@ def test_mixing_by_brute_force(spark):
     sums = defaultdict(float)
     for r in rows:
         sums[cell(r)] += tokens[r["doc_id"]]
-    weight, total = dict(sums), sum(sums.values())
-    for _ in range(300):
-        for axis, name in enumerate(("source", "lang", "topic")):
-            has = defaultdict(float)
-            for c, w in weight.items():
-                has[c[axis]] += w
-            there = sum(mixing.TARGETS[name][k] for k in has)
-            weight = {c: w * mixing.TARGETS[name][c[axis]] / there * total / has[c[axis]] for c, w in weight.items()}
+    # Expected kept tokens meet every margin, nothing is cut, and documents of a cell share one probability.
+    kept, chance = defaultdict(float), {}
     for r in rows:
-        c = cell(r)
-        assert found[r["doc_id"]]["weight"] == pytest.approx(weight[c] / sums[c], rel=1e-4)
-        assert found[r["doc_id"]]["probability"] == pytest.approx(min(1, mixing.KEEP * weight[c] / sums[c]), rel=1e-4)
+        f = found[r["doc_id"]]
+        assert chance.setdefault(cell(r), f["probability"]) == f["probability"] <= 1
+        for axis, value in enumerate(cell(r)):
+            kept[axis, value] += tokens[r["doc_id"]] * f["probability"]
+    total = sum(w for (axis, _), w in kept.items() if not axis)
+    for axis, name in enumerate(("source", "lang", "topic")):
+        there = {c[axis] for c in sums if sums[c]}
+        scale = sum(mixing.TARGETS[name][k] for k in there)
+        for k in there:
+            assert kept[axis, k] / total == pytest.approx(mixing.TARGETS[name][k] / scale, abs=1e-5)
+    assert 0 < total <= mixing.KEEP * sum(tokens.values()) * (1 + 1e-9)
 
 
 # --- 4: languages ---
@@ -399,6 +427,29 @@ def test_copies_with_few_edits_are_found(spark, block_words):
     assert decontaminate.leaks(frame, tests.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edits", [0, 3, 6, 10])
+def test_every_copy_within_the_bound_is_found(spark, edits):
+    """Replaced words up to a quarter of an item, wherever they are; n-grams of the broken places occur nowhere."""
+    rng = random.Random(edits)
+    item = sample_words(rng, 40)
+    docs = []
+    for d in range(60):
+        copy = list(item)
+        for at in rng.sample(range(40), edits):
+            copy[at] = f"zz{rng.randrange(10**6)}"
+        docs.append((d, " ".join([*sample_words(rng, 30), *copy, *sample_words(rng, 30)])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.leaks(frame, tests).collect()} == set(range(60))
+
+
+def test_short_items_are_found_whole(spark):
+    rows = [(1, "x One two three, four five six seven! y"), (2, "one two three four five six"), (3, "one two three four and five six seven"), (4, "a b c"), (5, "a b d c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("taken")).withColumn("score", F.lit("taken"))
+    tests = spark.createDataFrame([(7, "one two three four five six seven"), (8, "a b c"), (9, "y")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame, tests).collect()} == {(1, 7), (4, 8)}
+
+
 # --- 10: toxicity ---
 
 
@@ -417,6 +468,23 @@ def test_toxicity_without_labels(spark):
     assert len(found) == 10 and {r["score"] for r in found} == {0.0}
 
 
+def test_the_compressed_lengths_do_the_work(spark):
+    """With dictionaries that do not tell toxic from ordinary text the same model finds little."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    marks = common.table(spark, "/root/testdata/sf0.01", "labels")
+    rows = [(r["text"], r["toxic"]) for r in toxicity.training_rows(docs, marks).orderBy("toxic", "place", "doc_id").collect()]
+    held = marks.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").join(docs.select("doc_id", "text"), "doc_id").collect()
+
+    def found(model):
+        lengths = toxicity.Lengths(model["toxic"], model["ordinary"])
+        x = np.array([toxicity._features(toxicity._words(r["text"]), lengths, model["odds"]) for r in held])
+        hit = x @ model["weights"][:-1] + model["weights"][-1] >= 0
+        return sum(h for h, r in zip(hit, held) if r["toxic"]) / max(1, sum(r["toxic"] for r in held))
+
+    model = toxicity.fit(rows)
+    assert found(model) >= 0.5 + found(model | {"toxic": model["ordinary"]})
+
+
 # --- awkward input and the pipeline ---
 
 
@@ -437,6 +505,37 @@ def test_operators_take_awkward_rows_and_empty_tables(spark):
     assert got[1] == got[2] == got[3] == got[8] == "und" and got[7] != "und"
 
 
+def test_one_id_may_have_several_texts(spark):
+    shared = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, f"a b c d e {shared}"), (1, f"q r s t u v {shared}"), (2, f"z {shared} y"), (2, f"z {shared} y"), (3, None), (None, shared)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["rep_doc_id"], r["last_word"] - r["first_word"]) for r in found) == [(1, 1, 79), (2, 1, 79)]
+
+
+def test_pages_of_any_markup_are_read_in_linear_time():
+    import time
+
+    for bad in ("<a " * 150_000, "<a x=\"" * 80_000, "<a \"<b '>" * 60_000, "<div>" * 100_000 + "x", "<" * 400_000, "<!" * 100_000, "<div>x" * 20_000):
+        start = time.time()
+        htmltext.main_text(bad)
+        assert time.time() - start < 5
+    deep = "<div>" * 900 + "<nav>menu</nav><p>The text, of the page.</p>" + "</div>" * 900
+    assert htmltext.main_text(deep) == "The text, of the page."
+
+
+def test_article_text_is_kept_under_any_class_name():
+    page = ("<body><div class='nav-links'><a href=x>One</a></div><article><p class='alert-fatigue-study'>Alarms, and who hears them.</p><figure class='share-price'>"
+            "<figcaption>The price, in 2024.</figcaption></figure><div class='ad-box'>Buy now, today!</div><p>A last line, of text.</p></article></body>")
+    assert htmltext.main_text(page) == "Alarms, and who hears them.\nThe price, in 2024.\nA last line, of text."
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
     marks, bench = labels(spark, [(2, 1, 0), (5, 1, 1)]), spark.createDataFrame([(1, "x y z")], "item_id long, text string")
     marks.write.parquet(f"{tmp_path}/labels.parquet")
@@ -455,6 +554,6 @@ def test_pipeline_keeps_what_its_stages_should(spark):
     assert out and out <= {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_all_queries_and_the_pipeline_are_registered():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))

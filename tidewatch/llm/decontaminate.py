@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-The n-grams of the benchmark are counted in the whole corpus. An item's seeds are its n * e + 1 rarest n-grams, e being the edits a copy may
-have: e edits break at most n * e n-grams, so that a copy with no more edits keeps at least one seed, whichever
-they are. Seeds that lie near one diagonal give a region of the document; the item is aligned with it word by word (match 2,
+The n-grams of the benchmark are counted in the whole corpus. An item's seeds are its n * e + s rarest n-grams, e being the edits a copy may
+have and s the seeds asked for: e edits break at most n * e n-grams, so that a copy with no more edits keeps at least s seeds, whichever
+they are. (N-grams that occur nowhere are the rarest: no copy holds them, so they are among the broken ones.) Of an item too short for that, all
+n-grams are seeds and one is enough. Seeds that lie near one diagonal give a region of the document; the item is aligned with it word by word (match 2,
 mismatch and gap -1), and the score is the share of what a whole verbatim copy would get.
 
 Documents never move: the benchmark goes to them, in blocks of at most `block_words` words, however large it is.
@@ -78,14 +79,17 @@ def _count(items: Items):
 
 
 class Seeds:
-    """The rarest n-grams of each item: (item, position) by code."""
+    """The rarest n-grams of each item: (item, position) by code; `least` has how many of them an item must show."""
 
-    def __init__(self, items: Items, counts: dict[int, int], edits: float):
+    def __init__(self, items: Items, counts: dict[int, int], edits: float, least_seeds: int):
         rows = []
+        self.least = np.ones(len(items.words), dtype=np.int64)
         for k, words in enumerate(items.words):
             codes = _codes(words, items.base)
             n = np.array([counts.get(int(c), 0) for c in codes])
-            wanted = N * int(np.ceil(edits * len(words))) + 1
+            broken = N * int(np.ceil(edits * len(words)))
+            self.least[k] = max(1, min(least_seeds, len(codes) - broken))
+            wanted = broken + least_seeds
             rows += [(int(codes[i]), k, int(i)) for i in np.argsort(n, kind="stable")[:wanted]]
         rows.sort()
         table = np.array(rows, dtype=np.int64).reshape(-1, 3)
@@ -119,7 +123,7 @@ def align(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, end
 
 
-def _regions(seeds: Seeds, items: Items, ids: np.ndarray, edits: float, least_seeds: int) -> list[tuple[int, int, int, int]]:
+def _regions(seeds: Seeds, items: Items, ids: np.ndarray, edits: float) -> list[tuple[int, int, int, int]]:
     """(item, start, end, seeds) of the stretches of a document with enough seeds of an item near one diagonal."""
     item, diagonal = seeds.expand(*items.places(ids, seeds.codes))
     if not len(item):
@@ -133,7 +137,7 @@ def _regions(seeds: Seeds, items: Items, ids: np.ndarray, edits: float, least_se
     ends = np.append(starts[1:], len(item))
     found = []
     for s, e in zip(starts, ends):
-        if e - s < least_seeds:
+        if e - s < seeds.least[item[s]]:
             continue
         long, room = int(lengths[s]), int(slack[s])
         first, last = int(max(0, diagonal[s] - room)), int(min(len(ids), diagonal[e - 1] + long + room))
@@ -143,19 +147,20 @@ def _regions(seeds: Seeds, items: Items, ids: np.ndarray, edits: float, least_se
     return found
 
 
-def _search(items: Items, seeds: Seeds, edits: float, least_score: float, least_seeds: int):
+def _search(items: Items, seeds: Seeds, edits: float, least_score: float, least_words: int):
     def texts_of(texts: pd.Series) -> list[list[dict]]:
         pending: dict[tuple[int, int], list] = {}
         documents = []
         for k, text in enumerate(texts):
             ids = items.of(text)
-            regions = _regions(seeds, items, ids, edits, least_seeds)
+            regions = _regions(seeds, items, ids, edits)
             documents.append(ids if regions else None)
             for item, start, end, n in regions:
                 pending.setdefault((item, -(-(end - start) // 32)), []).append((k, start, end, n))
         best: dict[tuple[int, int], tuple] = {}
         for (item, width), places in pending.items():
             words = items.words[item]
+            least = least_score if len(words) >= least_words else 1.0
             for at in range(0, len(places), 512):
                 some = places[at : at + 512]
                 region = np.full((len(some), width * 32), -2, dtype=np.int64)
@@ -163,7 +168,7 @@ def _search(items: Items, seeds: Seeds, edits: float, least_score: float, least_
                     region[r, : end - start] = documents[k][start:end]
                 top, last = align(words, region)
                 share = top / (MATCH * len(words))
-                for r in np.flatnonzero(share >= least_score):
+                for r in np.flatnonzero(share >= least):
                     k, start, _, n = some[r]
                     back = region[r : r + 1, : last[r]][:, ::-1]
                     begin = int(last[r] - align(words[::-1], back)[1][0])
@@ -188,7 +193,8 @@ def searches(
 ) -> list[Column]:
     """One column per block of benchmark items: the items found in `docs.text`, as an array of FOUND.
 
-    Items of fewer than `least_words` words are too short to tell a leak and are not looked for; items without id neither.
+    Of an item of fewer than `least_words` words only a whole verbatim copy tells a leak; one of fewer words than an n-gram has is in many
+    texts by chance and is not looked for. Items without id are not either.
     """
     size = F.size(F.split(F.col("text"), r"\s+"))
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
@@ -197,12 +203,12 @@ def searches(
     found = []
     for block in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).distinct().orderBy("item_id", "text").collect()
-        items = Items([(r[0], r[1]) for r in own if len(_words(r[1])) >= least_words])
+        items = Items([(r[0], r[1]) for r in own if len(_words(r[1])) >= N])
         if not items.ids:
             continue
         counts = docs.select("text").mapInPandas(_count(items), "code long, n long").groupBy("code").agg(F.sum("n"))
-        seeds = Seeds(items, dict(tuple(r) for r in counts.collect()), edits)
-        found.append(_search(items, seeds, edits, least_score, least_seeds)(docs["text"]))
+        seeds = Seeds(items, dict(tuple(r) for r in counts.collect()), edits, least_seeds)
+        found.append(_search(items, seeds, edits, least_score, least_words)(docs["text"]))
     return found
 
 

@@ -17,7 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_COMMENTS = r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>"
+TOKEN = re.compile(rf"{_COMMENTS}|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
+#: Where quotes do not close, a tag ends at the first `>`.
+TAG_START = re.compile(r"</?[a-zA-Z]")
+PLAIN_TOKEN = re.compile(rf"{_COMMENTS}|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，؟]")
 
@@ -37,6 +41,11 @@ HINTS = frozenset(
     "masthead topbar toolbar comment comments commentlist respond replies reply disqus share sharing social related recommended newsletter "
     "subscribe subscription popup modal overlay login signup search widget widgets pager pagination paging skip copyright legal paywall".split()
 )
+#: Words of such names that say nothing about the content.
+PLAIN_WORDS = frozenset(
+    "article block body bottom box card center col column container content group holder inline inner item items left link links list main "
+    "middle page panel post posts row section site slot story text top under unit view wrap wrapper".split()
+)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Hold a piece of text each; none of them is the article as a whole.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote caption figcaption address summary".split())
@@ -51,8 +60,7 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            if tag not in ("body", "html", "article", "main") and not HINTS.isdisjoint(words):
+            if tag not in ("body", "html", "article", "main") and _is_telling(value, in_article):
                 return True
         elif (name == "role" and value.lower() in ROLES) or (name == "aria-hidden" and value.lower() == "true"):
             return True
@@ -61,6 +69,15 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|/|$)", attributes))
 
 
+def _is_telling(value: str, in_article: bool) -> bool:
+    """Whether a class or id names boilerplate. Inside an article a name must say nothing else: `ad-box` does, `share-price` is about the text."""
+    for name in value.split():
+        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        if not HINTS.isdisjoint(words) and (not in_article or words <= HINTS | PLAIN_WORDS):
+            return True
+    return False
+
+
 def _label(tag: str, attributes: str) -> str:
     if "=" not in attributes:
         return tag
@@ -69,18 +86,40 @@ def _label(tag: str, attributes: str) -> str:
 
 
 class _Block:
-    __slots__ = ("path", "nodes", "text", "linked")
+    """A block of text: its path (a number), the innermost element around it that may be the article (0: none), characters in links."""
 
-    def __init__(self, path: tuple, nodes: tuple, text: str, linked: int):
-        self.path, self.nodes, self.text, self.linked = path, nodes, text, linked
+    __slots__ = ("path", "node", "text", "linked")
 
+    def __init__(self, path: int, node: int, text: str, linked: int):
+        self.path, self.node, self.text, self.linked = path, node, text, linked
+
+
+def _tokens(page: str) -> Iterator[tuple[int, re.Match]]:
+    """(where the text before it begins, tag or comment), in time linear in the page: only one unclosed quote is ever looked for to the end."""
+    at, look, pattern, last = 0, 0, TOKEN, page.rfind(">")
+    while True:
+        look = page.find("<", look)
+        if look < 0 or (look > last and not page.startswith("<!--", look)):
+            return
+        token = pattern.match(page, look)
+        if token is None and pattern is TOKEN and TAG_START.match(page, look):
+            pattern = PLAIN_TOKEN
+            token = pattern.match(page, look)
+        if token is None:  # a `<` of the text
+            look += 1
+            continue
+        skip = yield at, token
+        at = look = token.end() if skip is None else skip
 
-def blocks(page: str) -> list[_Block]:
-    """Blocks of a page outside boilerplate elements: path of labels, numbers of the open elements that may be the article, text, characters in links."""
+
+def blocks(page: str) -> tuple[list[_Block], list[int]]:
+    """Blocks of a page outside boilerplate elements, and the parent of each numbered element; numbers grow in page order."""
     found: list[_Block] = []
-    stack: list[tuple[str, str, int, bool]] = []  # tag, label, number, boilerplate
+    parents, paths = [0], {}
+    stack: list[tuple[str, int, int, bool]] = []  # tag, path, number of the innermost element that may be the article, boilerplate
+    opened: dict[str, int] = {}
     pieces: list[tuple[str, bool]] = []
-    links, number, at, lost = 0, 0, 0, 0
+    links, lost = 0, 0
 
     def flush() -> None:
         nonlocal pieces
@@ -88,28 +127,32 @@ def blocks(page: str) -> list[_Block]:
             text = " ".join(html.unescape("".join(t for t, _ in pieces)).split())
             if text:
                 linked = sum(len(" ".join(html.unescape(t).split())) for t, a in pieces if a)
-                holders = tuple(s[2] for s in stack if s[0] not in LEAVES)
-                found.append(_Block(tuple(s[1] for s in stack), holders, text, linked))
+                path, node = stack[-1][1:3] if stack else (0, 0)
+                found.append(_Block(path, node, text, linked))
             pieces = []
 
-    while True:
-        token = TOKEN.search(page, at)
-        if not lost:
-            text = page[at : token.start()] if token else page[at:]
-            if text:
-                pieces.append((text, links > 0))
-        if not token:
-            break
-        at = token.end()
-        tag = token[2]
-        if tag is None:
-            continue
-        tag, closing = tag.lower(), token[1] == "/"
-        if tag in RAW and not closing:
-            if token[3].endswith("/"):
-                continue
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+    def close() -> str:
+        nonlocal lost
+        tag, _, _, bad = stack.pop()
+        opened[tag] -= 1
+        lost -= bad
+        return tag
+
+    tokens = _tokens(page)
+    step, rest = next(tokens, None), 0
+    while step is not None:
+        begin, token = step
+        rest, skip = token.end(), None
+        if not lost and begin < token.start():
+            pieces.append((page[begin : token.start()], links > 0))
+        tag = (token[2] or "").lower()
+        closing = token[1] == "/"
+        if not tag:
+            pass
+        elif tag in RAW and not closing:
+            if not token[3].endswith("/"):
+                end = re.compile(rf"</{tag}\s*+>", re.I).search(page, rest)
+                rest = skip = end.end() if end else len(page)
         elif tag == "a":
             links = 0 if closing else 1
         elif tag == "br":
@@ -119,13 +162,10 @@ def blocks(page: str) -> list[_Block]:
             if tag == "hr":
                 flush()
         elif closing:
-            if any(s[0] == tag for s in stack):
+            if opened.get(tag):
                 flush()
-                while True:
-                    gone = stack.pop()
-                    lost -= gone[3]
-                    if gone[0] == tag:
-                        break
+                while close() != tag:
+                    pass
                 if not lost:
                     links = 0
             elif tag == "p":
@@ -133,25 +173,35 @@ def blocks(page: str) -> list[_Block]:
         else:
             flush()
             links = 0
-            if tag == "body" and any(s[0] == "head" for s in stack):
+            if tag == "body" and opened.get("head"):
                 while stack and stack[-1][0] != "html":
-                    lost -= stack.pop()[3]
+                    close()
             if stack and stack[-1][0] == "p":
-                lost -= stack.pop()[3]
+                close()
             if ends := CLOSES.get(tag):
                 depth = len(stack) - 1
                 while depth >= 0 and stack[depth][0] not in SCOPE and stack[depth][0] not in ends:
                     depth -= 1
                 if depth >= 0 and stack[depth][0] in ends:
                     while len(stack) > depth:
-                        lost -= stack.pop()[3]
-            if len(stack) < 400:  # deeper elements count as their ancestor; their text is not lost
-                number += 1
-                bad = _is_boilerplate(tag, token[3], any(s[0] == "article" for s in stack))
-                stack.append((tag, _label(tag, token[3]), number, bad))
-                lost += bad
+                        close()
+            bad = _is_boilerplate(tag, token[3], bool(opened.get("article")))
+            path, node = stack[-1][1:3] if stack else (0, 0)
+            path = paths.setdefault((path, _label(tag, token[3])), len(paths) + 1)
+            if tag not in LEAVES:
+                parents.append(node)
+                node = len(parents) - 1
+            stack.append((tag, path, node, bad))
+            opened[tag] = opened.get(tag, 0) + 1
+            lost += bad
+        try:
+            step = tokens.send(skip)
+        except StopIteration:
+            step = None
+    if not lost and rest < len(page):
+        pieces.append((page[rest:], links > 0))
     flush()
-    return found
+    return found, parents
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -164,10 +214,10 @@ def _smoothed(values: list[float]) -> list[float]:
 
 def main_text(page: str | None, threshold: float = 0.2) -> str:
     """The main text of a page, one line per block; empty for NULL and for pages without text."""
-    found = blocks(page) if page else []
+    found, parents = blocks(page) if page else ([], [0])
     if not found:
         return ""
-    sums: dict[tuple, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in found:
         s = sums.setdefault(b.path, [0, 0, 0, 0])
         s[0] += len(b.text)
@@ -176,7 +226,7 @@ def main_text(page: str | None, threshold: float = 0.2) -> str:
         s[3] += 1
     length = _smoothed([sums[b.path][0] / sums[b.path][3] for b in found])
     marks = _smoothed([sums[b.path][1] / sums[b.path][3] for b in found])
-    fused: dict[tuple, list[float]] = {}
+    fused: dict[int, list[float]] = {}
     for b, x, y in zip(found, length, marks):
         fused.setdefault(b.path, []).append(x * (1 + y))
     score = {p: sum(v) / len(v) * max(0.0, 1 - sums[p][2] / sums[p][0]) for p, v in fused.items()}
@@ -184,21 +234,25 @@ def main_text(page: str | None, threshold: float = 0.2) -> str:
     mean = sum(score[p] * sums[p][0] for p in score) / total
     chosen = {p for p in score if score[p] >= threshold * mean and 2 * sums[p][2] <= sums[p][0]}
     # The deepest element that holds nearly all selected text; what else it holds belongs to the article, but for blocks of links.
-    weight: dict[int, int] = {}
+    weight, last = [0] * len(parents), list(range(len(parents)))
     for b in found:
         if b.path in chosen:
-            for node in b.nodes:
-                weight[node] = weight.get(node, 0) + len(b.text)
-    if not weight:
+            weight[b.node] += len(b.text)
+    weight[0] = 0
+    for node in range(len(parents) - 1, 0, -1):
+        if parents[node]:
+            weight[parents[node]] += weight[node]
+        last[parents[node]] = max(last[parents[node]], last[node])
+    most = max(weight)
+    if not most:
         return "\n".join(b.text for b in found if 2 * b.linked <= len(b.text))
-    most = max(weight.values())
-    deepest = max((b.nodes for b in found if b.path in chosen and b.nodes), key=lambda nodes: sum(weight[n] >= 0.9 * most for n in nodes), default=())
-    article = [n for n in deepest if weight[n] >= 0.9 * most]
-    holder = article[-1] if article else None
-    kept = [
-        b for b in found
-        if (b.path in chosen if holder is None else holder in b.nodes and (b.path in chosen or 2 * b.linked <= len(b.text)))
-    ]
+    heavy = [0] * len(parents)
+    for node in range(1, len(parents)):
+        heavy[node] = heavy[parents[node]] + (weight[node] >= 0.9 * most)
+    holder = max((b.node for b in found if b.path in chosen and b.node), key=heavy.__getitem__)
+    while weight[holder] < 0.9 * most:
+        holder = parents[holder]
+    kept = [b for b in found if holder <= b.node <= last[holder] and (b.path in chosen or 2 * b.linked <= len(b.text))]
     return "\n".join(b.text for b in kept)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import fold
@@ -54,9 +54,14 @@ class Model:
     """Interpolated Kneser-Ney of several languages. `texts` are (language, text) rows."""
 
     def __init__(self, rows: list[tuple[str, str]], quantile: float = 0.995):
-        self.languages = sorted({lang for lang, _ in rows})
+        whole: dict[str, list[np.ndarray]] = {}
+        for lang, text in rows:
+            if len(chars := characters(text)):
+                whole.setdefault(lang, []).append(chars)
+        self.languages = sorted(whole)
         self.grams, self.logs, self.contexts, self.weights = [], [], [], []
-        whole = {lang: [characters(t) for own, t in rows if own == lang] for lang in self.languages}
+        if not self.languages:
+            return
         fitted = {lang: [c for i, c in enumerate(cs) if i % 5] or cs for lang, cs in whole.items()}
         stores = [self._counts(fitted[lang]) for lang in self.languages]
         probabilities: list[dict] = []
@@ -180,17 +185,23 @@ def predictions(model: Model, text: Column) -> Column:
 
 def training_rows(docs: DataFrame, per_language: int = 1500, longest: int = 20_000, languages: int = 200) -> list[tuple[str, str]]:
     """The bounded sample models are fitted on: at most `per_language` texts of 1 to `longest` characters of each of at most `languages`
-    languages (the ones with most texts), by hash order of doc_id, of documents with crc32(doc_id) mod 3 other than 1 and a language."""
+    languages (the ones with most texts), by hash order of doc_id, of documents with crc32(doc_id) mod 3 other than 1 and a language.
+
+    Two passes whatever the number of languages: one counts, one draws.
+    """
     learn = docs.select("doc_id", "text", "lang").where((fold("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.length("text").between(1, longest))
     counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    rows = []
-    for lang, count in counts:
-        # About the sample's size by hash first, so that sorting stays small; the order makes it exact.
-        share = min(1.0, 2.0 * per_language / count + 200 / count)
-        near = learn.where((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-        some = near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id").limit(per_language).select("lang", "text").collect()
-        rows += [tuple(r) for r in some]
-    return rows
+    if not counts:
+        return []
+    # About the sample's size by hash first, so that sorting stays small; the order makes it exact.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    bound = {lang: int(min(1.0, 2.0 * per_language / n + 200 / n) * (1 << 20)) for lang, n in counts}
+    least = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair])[F.col("lang")]
+    order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
+    drawn = learn.where(place < least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    rows = [(r["lang"], r["text"]) for r in drawn.orderBy("lang", "rank").select("lang", "text").collect()]
+    most = {lang: -k for k, (lang, _) in enumerate(counts)}
+    return sorted(rows, key=lambda r: -most[r[0]])
 
 
 def language_id(docs: DataFrame, per_language: int = 1500) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Tokens are summed per cell (source, language, topic), after values without a target of their own have been put together as
 `*`; the table of cells is therefore bounded by the targets, not by the data. Raking scales the cells' token weights until
-their sums along each dimension meet its target shares. A document is kept with a probability proportional to its cell's factor, which
-calibrates the expected tokens of every margin, and by a hash of doc_id instead of a draw, so that a rerun keeps the same rows.
+their sums along each dimension meet its target shares, with no cell above the tokens it has. A document is kept with the probability by
+which its cell was scaled, so the expected tokens of the sample meet every margin, and by a hash of doc_id instead of a draw, so that
+a rerun keeps the same rows.
 """
 
 from __future__ import annotations
@@ -35,28 +36,34 @@ def bucket(value: Column, targets: dict[str, float]) -> Column:
     return F.when(value.isin([k for k in targets if k != OTHER]), value).otherwise(F.lit(OTHER))
 
 
-def rake(cells: np.ndarray, shares: list[np.ndarray], rounds: int = 200, within: float = 1e-9) -> np.ndarray:
-    """Weights of the cells whose margins are in the given shares of the total; cells without tokens stay zero.
+def _margin(cells: np.ndarray, axis: int) -> np.ndarray:
+    return cells.sum(axis=tuple(a for a in range(cells.ndim) if a != axis))
 
-    Shares of values that have no tokens go to the others in proportion. Where no weights meet all margins at once, the result is
-    where the last of `rounds` rounds ends: the last dimension is met, the others as nearly as raking comes.
-    """
-    total = cells.sum()
-    if total <= 0:
-        return np.zeros_like(cells)
-    wanted = []
+
+def shares_of(cells: np.ndarray, shares: list[np.ndarray]) -> list[np.ndarray]:
+    """Target shares of each dimension that sum to 1; those of values without tokens go to the others in proportion."""
+    out = []
     for axis, share in enumerate(shares):
-        there = cells.sum(axis=tuple(a for a in range(cells.ndim) if a != axis)) > 0
+        there = _margin(cells, axis) > 0
         share = np.where(there, share, 0.0)
         if share.sum() <= 0:
             share = there.astype(float)
-        wanted.append(share / share.sum() * total)
+        out.append(share / max(share.sum(), 1e-300))
+    return out
+
+
+def rake(cells: np.ndarray, wanted: list[np.ndarray], rounds: int = 500, within: float = 1e-10) -> np.ndarray:
+    """Weights of the cells whose margins are the wanted sums; cells without tokens stay zero.
+
+    Where no weights meet all margins at once, the result is where the last of `rounds` rounds ends: the last dimension is met, the others as
+    nearly as raking comes.
+    """
     weights = cells.astype(float)
     for _ in range(rounds):
         worst = 0.0
         for axis, want in enumerate(wanted):
-            has = weights.sum(axis=tuple(a for a in range(weights.ndim) if a != axis))
-            factor = np.divide(want, has, out=np.zeros_like(want), where=has > 0)
+            has = _margin(weights, axis)
+            factor = np.divide(want, has, out=np.zeros_like(has), where=has > 0)
             worst = max(worst, float(np.abs(factor[(has > 0) & (want > 0)] - 1).max(initial=0.0)))
             weights = weights * factor.reshape([-1 if a == axis else 1 for a in range(weights.ndim)])
         if worst < within:
@@ -64,13 +71,59 @@ def rake(cells: np.ndarray, shares: list[np.ndarray], rounds: int = 200, within:
     return weights
 
 
-def rates(cells: np.ndarray, weights: np.ndarray, keep: float) -> tuple[np.ndarray, np.ndarray]:
-    """Factor of each cell (weight by token) and probability of keeping a document there.
+def _missed(weights: np.ndarray, wanted: list[np.ndarray]) -> float:
+    """The largest difference of a margin from its target, as a share of all."""
+    total = max(float(wanted[0].sum()), 1e-300)
+    return max(float(np.abs(_margin(weights, axis) - want).max(initial=0.0)) for axis, want in enumerate(wanted)) / total
+
+
+def rake_within(cells: np.ndarray, shares: list[np.ndarray], kept: float) -> np.ndarray | None:
+    """Weights with `kept` tokens in all, margins in the given shares and no cell above its own tokens; None if there are none.
 
-    Probabilities are in proportion to factors; the scale makes the expected tokens `keep` of all where no probability has to be cut at 1.
+    A cell that raking puts above its tokens is taken whole, and the others are raked again to what is left of the margins.
     """
-    factor = np.divide(weights, cells, out=np.zeros_like(weights), where=cells > 0)
-    return factor, np.minimum(1.0, keep * factor)
+    whole = np.zeros(cells.shape, bool)
+    wanted = [share * kept for share in shares]
+    for _ in range(cells.size + 1):
+        fixed = np.where(whole, cells, 0.0)
+        rest = [want - _margin(fixed, axis) for axis, want in enumerate(wanted)]
+        if min(float(r.min(initial=0.0)) for r in rest) < -1e-9 * kept:
+            return None
+        weights = fixed + rake(np.where(whole, 0.0, cells), [np.maximum(r, 0.0) for r in rest])
+        above = (weights > cells * (1 + 1e-9)) & ~whole
+        if not above.any():
+            return np.minimum(weights, cells) if _missed(weights, wanted) < 1e-6 else None
+        whole |= above
+    return None
+
+
+def rates(cells: np.ndarray, shares: list[np.ndarray], keep: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of a token, probability of keeping a document) of each cell.
+
+    Expected kept tokens meet all margins, and no probability is above 1. They are `keep` of all tokens, or the largest part below
+    that at which this is possible. If raking meets the margins at no size (targets that contradict one another), probabilities are in
+    proportion to what raking ends with, cut nowhere.
+    """
+    total = float(cells.sum())
+    if total <= 0:
+        return np.zeros(cells.shape), np.zeros(cells.shape)
+    shares = shares_of(cells, shares)
+    weights = rake_within(cells, shares, keep * total)
+    if weights is None:
+        low, high = 0.0, keep * total
+        for _ in range(40):
+            middle = (low + high) / 2
+            found = rake_within(cells, shares, middle)
+            if found is None:
+                high = middle
+            else:
+                low, weights = middle, found
+    if weights is None:
+        raked = rake(cells, [share * total for share in shares])
+        factor = np.divide(raked, cells, out=np.zeros_like(raked), where=cells > 0)
+        weights = cells * factor * min(keep, 1 / factor.max())
+    probability = np.divide(weights, cells, out=np.zeros_like(weights), where=cells > 0)
+    return probability * (total / weights.sum()), probability
 
 
 def mix(
@@ -94,7 +147,7 @@ def mix(
     for row in sums:
         cells[tuple(keys[n].index(row[n]) for n in names)] = row["tokens"] or 0
     shares = [np.array([float(targets[n].get(k, 0.0)) for k in keys[n]]) for n in names]
-    factor, probability = rates(cells, rake(cells, shares), keep)
+    factor, probability = rates(cells, shares, keep)
     # The bounded table of cells becomes a literal: no join, no shuffle of documents.
     place = F.lit(0)
     for n, c in zip(names, cell):

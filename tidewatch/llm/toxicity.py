@@ -12,6 +12,7 @@ of twenty bytes and more, and a difference of one letter costs several.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -157,9 +158,9 @@ def scorer(model: dict):
     return F.pandas_udf(scores, "double")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = 3000, longest: int = 20_000) -> list[tuple[str, int]]:
-    """The bounded sample a model is fitted on: at most `per_label` labelled documents of either label, by hash order of
-    doc_id, of those with 1 to `longest` characters and crc32(doc_id) mod 5 other than 0.
+def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = 3000, longest: int = 20_000) -> DataFrame:
+    """(text, toxic, place, doc_id): the bounded sample a model is fitted on, at most `per_label` labelled documents of either label, by hash
+    order of doc_id, of those with 1 to `longest` characters and crc32(doc_id) mod 5 other than 0.
 
     The bound holds for this sample alone; scoring covers all documents and whole texts. A document labelled both ways counts once for either.
     """
@@ -169,10 +170,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = 3000, lon
     # Drawn from labels first: some have no document of fitting length, hence the margin.
     drawn = [marks.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(per_label * 5 // 4) for y in (0, 1)]
     chosen = fit_for.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
-    chosen = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    parts = [chosen.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(per_label) for y in (0, 1)]
-    rows = [(r["text"], r["toxic"]) for p in parts for r in p.select("text", "toxic").collect()]
-    return rows
+    chosen = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("place", order)
+    parts = [chosen.where(F.col("toxic") == y).orderBy("place", "doc_id").limit(per_label) for y in (0, 1)]
+    return parts[0].unionByName(parts[1]).select("text", "toxic", "place", "doc_id")
+
+
+def trained(docs: DataFrame, labels: DataFrame, per_label: int = 3000) -> dict:
+    """The model, fitted in one task on the bounded sample; only the model itself, a few 10 kB, comes to the driver."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"text": [], "toxic": [], "place": [], "doc_id": []}), *parts])
+        rows = rows.sort_values(["toxic", "place", "doc_id"], kind="stable")
+        model = fit(list(zip(rows["text"].tolist(), rows["toxic"].astype(int).tolist())))
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    found = training_rows(docs, labels, per_label).repartition(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([])
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> Column:
@@ -186,7 +199,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 3000) -> DataF
     held_out: crc32 of doc_id as text mod 5 is 0 (false for a NULL id); such rows never train. Empty tables give no rows; without labels
     all scores are 0. Other columns of `docs` are not read.
     """
-    model = fit(training_rows(docs, labels, per_label))
+    model = trained(docs, labels, per_label)
     rows = docs.select("doc_id", "text")
     scored = rows.select(
         "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), score(rows, model).alias("score")
@@ -196,6 +209,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 3000) -> DataF
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_label: int = 3000, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` scored below `threshold`, with their columns unchanged."""
-    model = fit(training_rows(docs, labels, per_label))
+    model = trained(docs, labels, per_label)
     name = fresh("score", docs.columns)
     return docs.withColumn(name, score(docs, model)).where(F.col(name) < threshold).drop(name)
