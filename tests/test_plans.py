@@ -21,7 +21,10 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-PYTHON = {"plan_tables", "plan_key", "join_rules_with_plan", "compare_plans", "cooldown_dedup", "alert_dedup", "quota_flag"}
+PYTHON = {
+    "plan_tables", "plan_key", "join_rules_with_plan", "compare_plans", "cooldown_dedup", "alert_dedup", "quota_flag", "referenced_tables",
+    "index_coverage", "type_mismatch", "join_knowledge", "knowledge_rows", "build_manual_context",
+}
 EAGER = {n for n in QUERIES if n.startswith(("stream_", "sink_"))} | {"src_slow_log", "win_sticky_db"}
 
 
@@ -67,6 +70,14 @@ def test_plan_documents(spark):
     assert {r["plan_id"]: r["plan_key"] for r in plan_key(df).collect()} == {1: None, 2: None, 3: "ALL||Using filesort", 4: None, 5: "||"}
 
 
+def test_plan_fields_of_other_types_are_null(spark):
+    odd = {"table_name": "a", "access_type": ["x"], "key": 5, "Extra": ["x"], "rows_examined_per_scan": 1e30, "filtered": "nan"}
+    docs = [(1, json.dumps({"query_block": {"table": odd}})), (2, json.dumps({"table_name": "b", "rows_examined_per_scan": "12.0", "filtered": 10**400, "key": True})),
+            (3, json.dumps({"table_name": 7})), (4, "[" * 100_000)]
+    got = {r["plan_id"]: tuple(r)[3:] for r in plan_tables(spark.createDataFrame(docs, "plan_id bigint, plan string")).collect()}
+    assert got == {1: ("a", None, None, False, None, None, None), 2: ("b", None, None, False, 12, None, None)}
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
 

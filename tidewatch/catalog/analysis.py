@@ -136,17 +136,25 @@ texts as (
 
 
 @query("join_knowledge", _KNOWLEDGE + """
-select s.sql_text, coalesce(knowledge, '') as knowledge, coalesce(documents_found, 0) as documents_found from stmts s left join texts t on s.sql_text = t.sql_text""")
+select s.event_id, coalesce(knowledge, '') as knowledge, coalesce(documents_found, 0) as documents_found from stmt_events s left join texts t on s.sql_text = t.sql_text""")
 def _(v):
-    return knowledge.join_knowledge(v.stmt_events.select("sql_text").distinct(), v.rag_document)
+    return knowledge.join_knowledge(v.stmt_events.select("event_id", "sql_text"), v.rag_document).drop("sql_text")
+
+
+@query("knowledge_rows", _KNOWLEDGE + """
+select h.sql_text, h.id, h.priority from hits h""")
+def _(v):
+    terms = knowledge.statement_terms(v.stmt_events)
+    rows = knowledge.knowledge_rows(terms.groupBy("term_set").agg(F.count(F.lit(1)).alias("texts")), v.rag_document)
+    return terms.join(rows, "term_set").select("sql_text", "id", "priority")
 
 
 @query("build_manual_context", _KNOWLEDGE + """
-select s.sql_text, case when knowledge is null then '' else knowledge || chr(10) || chr(10) end || '【待分析SQL】' || chr(10)
+select s.event_id, case when knowledge is null then '' else knowledge || chr(10) || chr(10) end || '【待分析SQL】' || chr(10)
   || regexp_replace(s.sql_text, '(u.phone = ''138)[0-9]+([0-9]{4}'')', '\\1****\\2') || chr(10) || chr(10) || '请按需调用工具获取DDL和执行计划进行诊断。' as context
-from stmts s left join texts t on s.sql_text = t.sql_text""")
+from stmt_events s left join texts t on s.sql_text = t.sql_text""")
 def _(v):
-    return knowledge.build_manual_context(v.stmt_events.select("sql_text").distinct(), v.rag_document)
+    return knowledge.build_manual_context(v.stmt_events.select("event_id", "sql_text"), v.rag_document).select("event_id", "context")
 
 
 @query("list_documents", """select id, category, title, 'category' as by_what from document_base where enabled and category = '军规'

@@ -13,15 +13,6 @@ from tidewatch import constants as K
 # Possessive, so long literals do not backtrack. Matched as alternatives, whichever starts first counts.
 _LITERAL = r"""'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+\""""
 _COMMENT = r"/\*.*?\*/|--[^\n]*+|#[^\n]*+"
-_NAME = r"[`\w]+(?:\s*\.\s*[`\w]+)*"
-_NOT_ALIAS = (
-    "join inner left right full outer cross natural straight_join on using where group order having limit "
-    "union window for force use ignore procedure into lock as"
-)
-_ALIAS = rf"(?:\s+(?:as\s+)?(?!(?:{'|'.join(_NOT_ALIAS.split())})\b)`?\w+`?)?"
-_FROM_LIST = rf"(?i)\b(?:from|join|straight_join)\s+({_NAME}{_ALIAS}(?:\s*,\s*{_NAME}{_ALIAS})*)"
-_CTE = r"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)(`?\w+`?)\s*(?:\([^()]*\)\s*)?as\s*\("
-_FUNCTION_FROM = r"(?i)\b(extract|trim|substring|substr)\s*\(([^()]*?)\bfrom\b"
 
 
 def any_of(words, prefix: str = "", suffix: str = "") -> str:
@@ -117,22 +108,46 @@ def mask_value(value: Column) -> Column:
     )
 
 
-def _assignment(names) -> str:
+_VALUE = rf"(?:{_LITERAL}|-?\d+(?:\.\d+)?\b)"
+
+
+def _sensitive(names) -> str:
+    """A sensitive name with what it is compared with or set to: one value (group 2) or a list in brackets (group 4)."""
     longest_first = sorted(names, key=lambda n: (-len(n), n))
-    return any_of(longest_first, "(?i)([`\"]?", "[`\"]?\\s*=\\s*)'([^']*)'")
+    name = any_of(longest_first, "[`\"]?", "[`\"]?")
+    one = rf"{name}\s*(?:=|<=>|<>|!=|\blike\b)\s*"
+    many = rf"{name}\s+(?:not\s+)?in\s*\(\s*"
+    return rf"(?is)({one})({_VALUE})|({many})({_VALUE}(?:\s*,\s*{_VALUE})*)"
+
+
+def _masked_values(values: Column) -> Column:
+    """Literals of a list text masked in their places, quotes kept."""
+    def masked(literal):
+        quote = F.when(literal.rlike("^['\"]"), F.substring(literal, 1, 1)).otherwise("")
+        inner = F.when(quote == "", literal).otherwise(F.substring(literal, F.lit(2), F.length(literal) - 2))
+        return F.concat(quote, mask_value(inner), quote)
+
+    pattern = f"(?s){_VALUE}"
+    return interleave(F.split(values, pattern), F.transform(F.regexp_extract_all(values, F.lit(pattern), F.lit(0)), masked))
+
+
+def _sensitive_parts(sql: Column, names) -> list[Column]:
+    pattern = F.lit(_sensitive(names))
+    return [F.regexp_extract_all(sql, pattern, F.lit(g)) for g in range(1, 5)]
 
 
 def sensitive_count(sql: Column, names=K.SENSITIVE_NAMES) -> Column:
-    return F.size(F.regexp_extract_all(sql, F.lit(_assignment(names)), F.lit(1)))
+    """How many values `mask_sql` masks."""
+    _, value, _, values = _sensitive_parts(sql, names)
+    lists = F.transform(F.zip_with(value, values, lambda v, w: F.concat(v, w)), lambda v: F.size(F.regexp_extract_all(v, F.lit(f"(?s){_VALUE}"), F.lit(0))))
+    return F.aggregate(lists, F.lit(0), lambda n, k: n + k)
 
 
 def mask_sql(sql: Column, names=K.SENSITIVE_NAMES) -> Column:
-    """Replace the quoted values assigned to sensitive names; the rest of the text stays as it is."""
-    pattern = _assignment(names)
-    heads = F.regexp_extract_all(sql, F.lit(pattern), F.lit(1))
-    values = F.transform(F.regexp_extract_all(sql, F.lit(pattern), F.lit(2)), mask_value)
-    quoted = F.zip_with(heads, values, lambda h, v: F.concat(h, F.lit("'"), v, F.lit("'")))
-    return interleave(F.split(sql, pattern), quoted)
+    """Mask the constants that sensitive names are set to, compared with or looked for among; the rest of the text stays as it is."""
+    heads = F.zip_with(*[_sensitive_parts(sql, names)[g] for g in (0, 2)], lambda a, b: F.concat(a, b))
+    values = F.zip_with(*[_sensitive_parts(sql, names)[g] for g in (1, 3)], lambda a, b: F.concat(a, b))
+    return interleave(F.split(sql, _sensitive(names)), F.zip_with(heads, F.transform(values, _masked_values), lambda h, v: F.concat(h, v)))
 
 
 def interleave(pieces: Column, fillers: Column) -> Column:
@@ -142,31 +157,27 @@ def interleave(pieces: Column, fillers: Column) -> Column:
     )
 
 
+# One parameter of a log line: `null`, a value with its type in brackets, or a bare rest; ", " stands between two.
+_PARAMETER = r"(?s)\G(?:, )?(?:(null)(?=, |\s*$)|(.*?)\(([A-Z]\w*+(?:\[\])?|[a-z]+\[\])\)(?=, |\s*$)|([^,\s][^,]*?)(?=, |\s*$))"
+
+
 def parameter_list(text: Column) -> Column:
-    """`1(Long), done(String)` -> SQL literals in order."""
-    item = r"(?i)\s*(null|.+?\([^()]*\))\s*(?:,|$)"
-    tail = F.trim(F.regexp_replace(text, item, ""))
-    raw = F.concat(
-        F.transform(F.regexp_extract_all(text, F.lit(item), F.lit(1)), lambda p: F.trim(p)),
-        F.when(tail == "", F.array().cast("array<string>")).otherwise(F.array(tail)),
-    )
-    typed = r"^(.+)\(([^()]*)\)$"
+    """`1(Long), done(String), null` -> SQL literals in order; values of text and time types are quoted."""
+    def group(n):
+        return F.regexp_extract_all(F.trim(text), F.lit(_PARAMETER), F.lit(n))
+
+    found = F.arrays_zip(group(2).alias("value"), group(3).alias("type"), group(4).alias("bare"))
 
     def literal(p):
-        value = F.trim(F.regexp_extract(p, typed, 1))
-        kind = F.lower(F.regexp_extract(p, typed, 2))
+        value = F.trim(p["value"])
+        quoted = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
         return (
-            F.when(F.lower(p) == "null", "null")
-            .when(~p.rlike(typed), p)
+            F.when(p["type"] == "", F.when(p["bare"] == "", "null").otherwise(p["bare"]))
             .when(F.lower(value) == "null", "null")
-            .when(
-                kind.rlike(any_of(K.QUOTED_TYPES)),
-                F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'")),
-            )
-            .otherwise(value)
+            .when(F.lower(p["type"]).rlike(any_of(K.QUOTED_TYPES)), quoted).otherwise(value)
         )
 
-    return F.transform(raw, literal)
+    return F.transform(found, literal)
 
 
 def bind_sql(template: Column, parameters: Column) -> Column:
@@ -207,73 +218,6 @@ def refusal(statement_class_: Column) -> Column:
     )
 
 
-def table_refs(sql: Column) -> Column:
-    """(table, alias) of the physical tables after FROM and JOIN, without quoting, schema and CTE names."""
-    code = F.replace(F.regexp_replace(bare_code(F.coalesce(sql, F.lit(""))), _FUNCTION_FROM, "$1($2,"), F.lit("`"), F.lit(""))
-    item = r"(?i)^\s*(?:\w+\s*\.\s*)*(\w+)(?:\s+(?:as\s+)?(\w+))?\s*$"
-
-    def of(text):
-        lists = F.regexp_extract_all(text, F.lit(_FROM_LIST), F.lit(1))
-        return F.transform(F.flatten(F.transform(lists, lambda l: F.split(l, ","))), lambda i: F.named_struct(
-            F.lit("table"), F.regexp_extract(i, item, 1), F.lit("alias"), F.regexp_extract(i, item, 2)
-        ))
-
-    def without_ctes(text):
-        names = F.regexp_extract_all(text, F.lit(_CTE), F.lit(1))
-        return let(names, lambda ctes: F.filter(of(text), lambda r: ~F.array_contains(ctes, r["table"])))
-
-    return F.array_distinct(let(code, lambda text: F.when(text.rlike(r"(?i)\bwith\b"), without_ctes(text)).otherwise(of(text))))
-
-
-def table_names(sql: Column) -> Column:
-    """Physical tables of a statement, each once."""
-    return F.array_distinct(F.transform(table_refs(sql), lambda r: r["table"]))
-
-
-_OPERAND = r"(?:(\w++)\s*+\.\s*+)?(\w++)"
-_USED_LEFT = rf"(?i)\b{_OPERAND}\s*+(?:<=>|=|<>|!=|<=|>=|<|>|\b(?:not\s+)?(?:in|like|between)\b|\bis\b)"
-_USED_RIGHT = r"(?i)(?:=|<>|!=|<=|>=|<|>)\s*+(?:(\w++)\s*+\.\s*+)?([a-z_]\w*+)(?!\s*\()"
-_ORDER_LIST = r"(?i)\border\s+by\s+((?:\w+\s*\.\s*)?[a-z_]\w*\b(?!\s*\()(?:\s+(?:asc|desc)\b)?(?:\s*,\s*(?:\w+\s*\.\s*)?[a-z_]\w*\b(?!\s*\()(?:\s+(?:asc|desc)\b)?)*)"
-
-
-def used_columns(sql: Column) -> Column:
-    """(qualifier, column) compared in WHERE and ON clauses or sorted by; the qualifier may be empty."""
-    item = r"^\s*(?:(\w+)\s*\.\s*)?(\w+)"
-
-    def pairs(code, pattern):
-        return F.transform(F.regexp_extract_all(code, F.lit(pattern), F.lit(0)), lambda m: F.named_struct(
-            F.lit("qualifier"), F.regexp_extract(m, pattern, 1), F.lit("column"), F.regexp_extract(m, pattern, 2)
-        ))
-
-    def of(code):
-        lists = F.regexp_extract_all(code, F.lit(_ORDER_LIST), F.lit(1))
-        sorted_by = F.transform(F.flatten(F.transform(lists, lambda l: F.split(l, ","))), lambda i: F.named_struct(
-            F.lit("qualifier"), F.regexp_extract(i, item, 1), F.lit("column"), F.regexp_extract(i, item, 2)
-        ))
-        return F.concat(pairs(code, _USED_LEFT), pairs(code, _USED_RIGHT), sorted_by)
-
-    code = F.replace(bare_code(F.coalesce(sql, F.lit("")), "?"), F.lit("`"), F.lit(""))
-    return F.array_distinct(F.filter(
-        let(code, of), lambda u: u["column"].rlike("^[A-Za-z_]") & ~F.lower(u["column"]).isin("not", "null")
-    ))
-
-
-_LITERAL_TEST = r"\b(?:(\w++)\s*+\.\s*+)?([A-Za-z_]\w*+)\s*+(?:=|<>|!=|<=|>=|<|>)\s*('[^']*'|-?\d+(?:\.\d+)?\b)"
-
-
-def literal_tests(sql: Column) -> Column:
-    """(qualifier, column, literal) of comparisons with a constant."""
-
-    def of(code):
-        tests = F.regexp_extract_all(code, F.lit(_LITERAL_TEST), F.lit(0))
-        return F.transform(tests, lambda t: F.named_struct(
-            F.lit("qualifier"), F.regexp_extract(t, _LITERAL_TEST, 1), F.lit("column"), F.regexp_extract(t, _LITERAL_TEST, 2),
-            F.lit("literal"), F.regexp_extract(t, _LITERAL_TEST, 3),
-        ))
-
-    return let(F.replace(without_comments(sql), F.lit("`"), F.lit("")), of)
-
-
 def unnest(rows, array: str, name: str, *others):
     """`others` and one row per element of `array`.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as X
+from tidewatch.operators.statements import with_parts
 
 _TABLE = ["instance_id", "table_name"]
 
@@ -35,10 +36,7 @@ def index_coverage(statements: DataFrame, index_columns: DataFrame, *, key="stat
 
     A column without qualifier counts for every table of its statement.
     """
-    # the text is analysed once per statement, below the explode
-    analysed = statements.select(
-        key, "instance_id", X.table_refs(F.col("sql_text")).alias("refs"), X.used_columns(F.col("sql_text")).alias("used")
-    )
+    analysed = with_parts(statements, key, "instance_id").select(key, "instance_id", "parts.refs", "parts.used")
     per_table = X.unnest(analysed, "refs", "ref", key, "instance_id", "used").select(
         key, "instance_id", F.col("ref.table").alias("table_name"),
         F.transform(
@@ -62,9 +60,7 @@ _NUMBER_TYPE = r"(?i)^\s*(?:(?:tiny|small|medium|big)?int|integer|decimal|numeri
 
 def type_mismatch(statements: DataFrame, columns: DataFrame, *, key="statement_id") -> DataFrame:
     """Comparisons whose constant is of another kind than the column: text with number, or number with text."""
-    analysed = statements.select(
-        key, "instance_id", X.table_refs(F.col("sql_text")).alias("refs"), X.literal_tests(F.col("sql_text")).alias("tests")
-    )
+    analysed = with_parts(statements, key, "instance_id").select(key, "instance_id", "parts.refs", "parts.tests")
     tests = X.unnest(analysed, "tests", "test", key, "instance_id", "refs").select(key, "instance_id", "refs", "test.*")
     tests = X.unnest(tests, "refs", "ref", key, "instance_id", "qualifier", "column", "literal")
     tests = tests.filter(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import constants as K
 from tidewatch.functions import text as X
+from tidewatch.functions.structure import statement_parts
 from tidewatch.operators.ordered import following, number_chunk
 
 
@@ -42,11 +43,15 @@ def mask_statements(statements: DataFrame, *, names=K.SENSITIVE_NAMES) -> DataFr
 def bind_parameters(log_lines: DataFrame, *, thread="thread", order="line_no", line="line") -> DataFrame:
     """Bound statements of an application log: a `Preparing:` line and the next such line of its thread, if that one
     holds `Parameters:`. `order` is a number that grows with the log."""
-    prepared, given = r"(?im)Preparing:\s*(.+)$", r"(?im)Parameters:\s*(.*)$"
+
+    def after(mark: str) -> Column:
+        """What follows a mark up to the end of the line; NULL without the mark."""
+        at = F.locate(mark.lower(), F.lower(line))
+        rest = F.substring_index(F.substring(F.col(line), at + len(mark), F.length(line)), "\n", 1)
+        return F.when(at > 0, F.trim(rest))
+
     marks = log_lines.select(
-        thread, order,
-        F.when(F.col(line).rlike(prepared), F.trim(F.regexp_extract(line, prepared, 1))).alias("template"),
-        F.when(F.col(line).rlike(given), F.trim(F.regexp_extract(line, given, 1))).alias("parameters"),
+        thread, order, F.when(after("Preparing:") != "", after("Preparing:")).alias("template"), after("Parameters:").alias("parameters")
     ).filter(F.col("template").isNotNull() | F.col("parameters").isNotNull())
     paired = following(
         marks, keys=[thread], order=[order], chunk=number_chunk(order, 65_536), columns=["template", "parameters"],
@@ -65,18 +70,31 @@ def classify_statements(statements: DataFrame) -> DataFrame:
     )
 
 
+def with_parts(statements: DataFrame, *columns: str) -> DataFrame:
+    """`columns` of the statements that have a text, and `parts` (see `functions.structure`). Each distinct text is analysed once.
+
+    Texts are grouped with their copies combined on the map side; statements meet the result on their text, and a text that a large share of the
+    statements has is split by adaptive execution.
+    """
+    # counting keeps the optimizer from merging the grouping into another one
+    texts = statements.filter(F.col("sql_text").isNotNull()).groupBy("sql_text").agg(F.count(F.lit(1)).alias("_copies"))
+    parts = texts.select("sql_text", statement_parts("sql_text").alias("parts"))
+    return statements.select(*columns, "sql_text").join(parts, "sql_text").select(*columns, "parts")
+
+
 def referenced_tables(statements: DataFrame, *, key="statement_id") -> DataFrame:
     """One row per statement and table."""
-    named = statements.select(key, X.table_names(F.col("sql_text")).alias("_tables"))
+    named = with_parts(statements, key).select(key, F.array_distinct(F.col("parts.refs.table")).alias("_tables"))
     return X.unnest(named, "_tables", "table_name", key)
 
 
 def audit_rows(statements: DataFrame) -> DataFrame:
     """Audit columns of analysed statements: length, masked or not, tables, duration, status."""
-    return statements.select(
+    tables = F.array_distinct(F.col("_parts.refs.table"))
+    return statements.withColumn("_parts", statement_parts("sql_text")).select(
         "task_id", "session_id", "instance_id", F.length("sql_text").alias("sql_len"),
         (X.sensitive_count(F.col("sql_text")) > 0).alias("masked"),
-        F.concat(F.lit("["), F.array_join(X.table_names(F.col("sql_text")), ", "), F.lit("]")).alias("tables"),
+        F.concat(F.lit("["), F.array_join(tables, ", "), F.lit("]")).alias("tables"),
         "duration_ms", "status",
     )
 

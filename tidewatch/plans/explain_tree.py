@@ -1,12 +1,14 @@
 """Execution plans stored as JSON text.
 
-Plan trees nest without a fixed depth, which column expressions cannot walk, so one Arrow-batched function turns
-each document into a flat array of table accesses. Everything after it is ordinary column work.
+Plan trees nest without a fixed depth, which column expressions cannot walk, and a VARIANT sorts the fields of an object, which loses the order of
+the steps; so one Arrow-batched function turns each document into a flat array of table accesses. Everything after it is
+ordinary column work.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,20 +30,34 @@ _ARROW = pa.list_(pa.struct([
 ]))
 
 
-def _number(value, kind, missing=None):
+def _number(value) -> float | None:
+    """A finite number, also one written as text; None for everything else."""
+    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+        return None
     try:
-        return kind(float(value))
-    except (TypeError, ValueError, OverflowError):
-        return missing
+        number = float(value)
+    except (ValueError, OverflowError):
+        return None
+    return number if math.isfinite(number) else None
+
+
+def _rows(value) -> int | None:
+    number = _number(value)
+    return int(number) if number is not None and abs(number) < 2.0**63 else None
+
+
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None
 
 
 def table_accesses(document: str | None) -> list[dict] | None:
-    """All nodes with a table name, in document order; None for text that is not JSON."""
+    """All nodes with a table name, in document order; None for text that is not JSON. Fields of another type than they should have are
+    NULL, as are numbers that are not finite or too large."""
     if document is None:
         return None
     try:
         root = json.loads(document)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     found, todo = [], [("$", root)]
     while todo:
@@ -52,10 +68,10 @@ def table_accesses(document: str | None) -> list[dict] | None:
             if isinstance(node.get("table_name"), str):
                 found.append({
                     "step": len(found) + 1, "path": path, "table_name": node["table_name"],
-                    "access_type": node.get("access_type"), "key": node.get("key"),
+                    "access_type": _text(node.get("access_type")), "key": _text(node.get("key")),
                     "key_is_null": "key" in node and node["key"] is None,
-                    "rows": _number(node.get("rows_examined_per_scan"), int),
-                    "filtered": _number(node.get("filtered"), float), "extra": node.get("Extra"),
+                    "rows": _rows(node.get("rows_examined_per_scan")),
+                    "filtered": _number(node.get("filtered")), "extra": _text(node.get("Extra")),
                 })
             todo.extend((f"{path}.{k}", v) for k, v in reversed(node.items()) if isinstance(v, (dict, list)))
     return found

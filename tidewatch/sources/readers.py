@@ -27,7 +27,8 @@ def slow_log_blocks(lines: DataFrame) -> DataFrame:
     text = F.array_join(F.filter(F.slice(body, F.lit(2), F.size(body)), lambda l: ~l.startswith("#")), "\n")
     header = F.regexp_extract(text, _HEADER, 0)
     statement = F.regexp_replace(text, _HEADER, "")
-    used = F.regexp_extract_all(header, F.lit(r"(?m)^(?:use|USE)\s+`?([^\n;`]+?)`?\s*;"), F.lit(1))
+    is_report = F.contains("value", F.lit("# Query_time:"))  # other blocks, such as what a server writes at its start, hold no statement
+    used = F.regexp_extract_all(F.when(is_report, header).otherwise(text), F.lit(r"(?m)^(?:use|USE)\s+`?([^\n;`]+?)`?\s*;"), F.lit(1))
     start = F.regexp_extract("value", r"^(?:# Time:)? ?(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)", 1)
 
     def metric(name, pattern):
@@ -36,7 +37,7 @@ def slow_log_blocks(lines: DataFrame) -> DataFrame:
     return lines.select(
         "file_path", F.col("file_id" if "file_id" in lines.columns else "file_path").alias("file_id"), "file_block_start",
         F.monotonically_increasing_id().alias("block_no"),
-        blank_to_null(start).try_cast("timestamp").alias("captured_at"), F.contains("value", F.lit("# Query_time:")).alias("is_report"),
+        blank_to_null(start).try_cast("timestamp").alias("captured_at"), is_report.alias("is_report"),
         F.coalesce(blank_to_null(F.regexp_extract("value", r"(?m)^# Query_time: (\d+\.?\d*)", 1)).cast("double"), F.lit(0.0)).alias("query_time_sec"),
         F.coalesce(metric("Lock_time", r"\d+\.?\d*").cast("double"), F.lit(0.0)).alias("lock_time_sec"),
         F.coalesce(metric("Rows_sent", r"\d+").cast("bigint"), F.lit(0)).alias("rows_sent"),
