@@ -8,8 +8,7 @@ from tidewatch.catalog.common import captured, events_as_of, orders_as_of
 from tidewatch.catalog.registry import query
 from tidewatch.operators import cooldown, folds, knowledge, metadata, reports, rules, tasks
 from tidewatch.plans import explain_tree
-from tidewatch.session import shared_folder
-from tidewatch.sources import readers, sinks
+from tidewatch.sources import readers
 
 # --- rules ---
 
@@ -188,13 +187,15 @@ def _(v):
 
 
 @query("agg_upsert_diagnosis", """with all_rows as (
-  select task_id, instance_id, status, report, error_message, duration_ms, updated_at, created_at, 0 as kind, cast(0 as bigint) as seq from diagnosis_record
-  union all select task_id, instance_id, status, report, error_message, duration_ms, updated_at, created_at, 1, seq from diagnosis_changes),
-ranked as (
-  select *, row_number() over (partition by task_id order by kind, case when kind = 1 then updated_at end, seq) as up,
-    row_number() over (partition by task_id order by kind desc, case when kind = 1 then updated_at end desc, seq desc) as down from all_rows)
-select f.task_id, f.instance_id, f.created_at, l.status, l.report, l.error_message, l.duration_ms, l.updated_at
-from ranked f join ranked l on f.task_id = l.task_id and f.up = 1 and l.down = 1""")
+  select task_id, instance_id, status, report, error_message, duration_ms, updated_at, created_at,
+    {'kind': 0, 'at': timestamp '1900-01-01', 'seq': cast(0 as bigint)} as o from diagnosis_record
+  union all select task_id, instance_id, status, report, error_message, duration_ms, updated_at, created_at, {'kind': 1, 'at': updated_at, 'seq': seq} from diagnosis_changes),
+folded as (
+  select task_id, arg_min({'instance_id': instance_id, 'created_at': created_at}, o) as f,
+    arg_max({'status': status, 'report': report, 'error_message': error_message, 'duration_ms': duration_ms, 'updated_at': updated_at}, o) as l
+  from all_rows group by task_id)
+select task_id, f.instance_id as instance_id, f.created_at as created_at, l.status as status, l.report as report, l.error_message as error_message,
+  l.duration_ms as duration_ms, l.updated_at as updated_at from folded""")
 def _(v):
     return folds.agg_upsert_diagnosis(v.diagnosis_record, v.diagnosis_changes)
 
@@ -274,7 +275,7 @@ select metric, item, cast(value as bigint) as value from (
   union all select 'diagnoses', '', count(*) from diagnosis_record union all select 'pending', '', count(*) from diagnosis_record where status = 'RUNNING'
   union all select 'source', source, count(*) from f group by source union all select 'top', fingerprint, occurrence_count from frequent)""")
 def _(v):
-    folded = sinks.sink_captured(folds.agg_upsert_captured(None, captured(v)), path=shared_folder(v.spark, "captured"), version=0)
+    folded = folds.agg_upsert_captured(None, captured(v))
     return reports.dash_stats(folded, v.diagnosis_record, as_of=F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
 
 

@@ -7,7 +7,7 @@ from string import Template
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.catalog.views import DUCK_VIEWS, TABLES, VIEWS
+from tidewatch.catalog.views import DUCK_EACH, DUCK_VIEWS, SPARK_EACH, TABLES, VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +25,7 @@ class Inputs:
         if name not in VIEWS:
             raise AttributeError(name)
         files = {t: f"parquet.`{self.folder}/{t}.parquet`" for t in TABLES}
-        return self.spark.sql(Template(VIEWS[name]).substitute(files))
+        return self.spark.sql(Template(VIEWS[name]).substitute(files | SPARK_EACH))
 
 
 def _dependencies(text: str, seen: dict[str, str]) -> None:
@@ -35,7 +35,7 @@ def _dependencies(text: str, seen: dict[str, str]) -> None:
         if name in words and name not in seen:
             sql = known[name]
             _dependencies(sql, seen)
-            seen[name] = Template(sql).substitute({t: t for t in TABLES}) if name in VIEWS else sql
+            seen[name] = Template(sql).substitute({t: t for t in TABLES} | DUCK_EACH) if name in VIEWS else sql
 
 
 def oracle_text(body: str) -> str:

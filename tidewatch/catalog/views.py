@@ -1,6 +1,7 @@
 """Statement telemetry derived from the given tables.
 
-The same text runs in Spark SQL and in DuckDB; `$table` stands for a given table. Every view uses its whole table.
+The same text runs in Spark SQL and in DuckDB; `$table` stands for a given table, `${each}values${as_}name(column)` for one row per value.
+Every view uses its whole table.
 DUCK_VIEWS are the parts of check queries that need DuckDB's own functions.
 """
 
@@ -9,6 +10,9 @@ TABLES = (
     "pages", "benchmark", "labels", "conversations",
 )
 
+SPARK_EACH = {"each": ", lateral explode(array(", "as_": ")) as "}
+DUCK_EACH = {"each": ", (select unnest([", "as_": "])) as "}
+
 VIEWS = {
     "stmt_events": """
 select event_id, ts as captured_at, concat('inst-', cast(user_id % 5 as string)) as instance_id,
@@ -30,8 +34,11 @@ select event_id, ts as captured_at, concat('inst-', cast(user_id % 5 as string))
   case when event_id % 4 = 0 then concat('report ', cast(event_id as string))
        when event_id % 4 = 1 then 'N/A' end as diagnosis_report, k
 from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from $events) e""",
+    # inst-4 belongs to no project
     "dim_instance": """
-select * from (values ('inst-0', 'proj-a'), ('inst-1', 'proj-a'), ('inst-2', 'proj-b'), ('inst-3', 'proj-b')) t(instance_id, project_code)""",
+select concat('inst-', cast(n_nationkey + case when n_nationkey < 4 then 0 else 1 end as string)) as instance_id,
+  case when n_nationkey % 4 < 2 then 'proj-a' else 'proj-b' end as project_code
+from $nation""",
     "http_json": """
 select event_id, ts, concat('{"sql":"', case when event_id % 40 = 3 then '  ' else concat('SELECT ', cast(event_id % 7 as string), ' FROM t') end,
   '","durationMs":', cast(cast(floor(value * 100) as int) as string), ',"rowsExamined":', cast(user_id * 1000 as string),
@@ -131,12 +138,14 @@ select p_partkey as plan_id, case p_partkey % 5 when 0 then 'SELECT * FROM t JOI
 from $part""",
     "index_columns": """
 select concat('inst-', cast(s_suppkey % 5 as string)) as instance_id, concat('t', cast(s_suppkey as string)) as table_name,
-  i.index_name, case when s_suppkey % 4 = 0 and i.column_name = 'a' and i.index_name = 'idx_a' then 'z' else i.column_name end as column_name,
-  i.seq_in_index, cast(s_suppkey * 10 as bigint) as cardinality
-from $supplier cross join (values ('PRIMARY', 'id', 1), ('idx_a', 'a', 1), ('idx_ab', 'a', 1), ('idx_ab', 'b', 2), ('idx_c', 'c', 1)) i(index_name, column_name, seq_in_index)""",
+  case i.no when 0 then 'PRIMARY' when 1 then 'idx_a' when 4 then 'idx_c' else 'idx_ab' end as index_name,
+  case i.no when 0 then 'id' when 1 then case when s_suppkey % 4 = 0 then 'z' else 'a' end when 2 then 'a' when 3 then 'b' else 'c' end as column_name,
+  case i.no when 3 then 2 else 1 end as seq_in_index, cast(s_suppkey * 10 as bigint) as cardinality
+from $supplier${each}0, 1, 2, 3, 4${as_}i(no)""",
     "column_types": """
-select concat('inst-', cast(s_suppkey % 5 as string)) as instance_id, concat('t', cast(s_suppkey as string)) as table_name, c.column_name, c.data_type
-from $supplier cross join (values ('id', 'bigint'), ('a', 'varchar(20)'), ('b', 'int'), ('c', 'text'), ('d', 'decimal(10,2)')) c(column_name, data_type)""",
+select concat('inst-', cast(s_suppkey % 5 as string)) as instance_id, concat('t', cast(s_suppkey as string)) as table_name, c.column_name,
+  case c.column_name when 'id' then 'bigint' when 'a' then 'varchar(20)' when 'b' then 'int' when 'c' then 'text' else 'decimal(10,2)' end as data_type
+from $supplier${each}'id', 'a', 'b', 'c', 'd'${as_}c(column_name)""",
     "table_sizes": """
 select concat('inst-', cast(l_suppkey % 5 as string)) as instance_id, concat('t', cast(l_suppkey as string)) as table_name, count(*) as table_rows
 from $lineitem group by l_suppkey""",
@@ -167,7 +176,7 @@ select o_orderkey * 2 + p.part as line_no, concat('worker-', cast(o_custkey % 20
   case when p.part = 0 then concat('==>  Preparing: SELECT * FROM orders WHERE o_orderkey = ? AND status = ? AND d > ?', case when o_orderkey % 5 = 0 then ' AND z = ?' else '' end)
   when o_orderkey % 10 = 1 then '<==      Total: 1'
   else concat('==> Parameters: ', cast(o_orderkey as string), '(Long), ', o_orderstatus, '(String), ', case when o_orderkey % 3 = 0 then 'null' else '2024-01-01 00:00:00(Timestamp)' end) end as line
-from $orders cross join (values (0), (1)) p(part)""",
+from $orders${each}0, 1${as_}p(part)""",
     "trx_snapshot": """
 select l_orderkey * 10 + l_linenumber as trx_id, case when l_returnflag = 'R' then 'LOCK WAIT' else 'RUNNING' end as trx_state,
   l_shipdate as trx_started, l_shipdate + interval 1 second * cast(l_quantity as int) as snapshot_at
@@ -175,7 +184,7 @@ from $lineitem""",
     "status_counters": """
 select concat('inst-', cast(s_suppkey as string)) as instance_id, c.variable_name,
   case c.variable_name when 'Innodb_buffer_pool_reads' then s_suppkey * 7 else (s_suppkey % 10) * 1000 end as value
-from $supplier cross join (values ('Innodb_buffer_pool_reads'), ('Innodb_buffer_pool_read_requests'), (' Max_Connections '), ('uptime')) c(variable_name)""",
+from $supplier${each}'Innodb_buffer_pool_reads', 'Innodb_buffer_pool_read_requests', ' Max_Connections ', 'uptime'${as_}c(variable_name)""",
     "process_list": """
 select c_custkey as id, concat('inst-', cast(c_nationkey % 5 as string)) as instance_id,
   case c_mktsegment when 'BUILDING' then 'Sleep' when 'MACHINERY' then null else 'Query' end as command
