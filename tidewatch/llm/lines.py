@@ -124,7 +124,9 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars
     hot = F.broadcast(firsts.where(F.col("n") > total / HOT_SHARE + 1).select("h1", "h2", F.col("first").alias("only")))
     place = F.struct("doc_id", "doc", "line_no")
     once = lines.join(hot, ["h1", "h2"], "left").where(F.col("only").isNull() | (F.col("only") == place))
-    rows = once.select("h1", F.posexplode(_keys(F.col("line"), F.length("line"), edits)).alias("place", "key")).where("key is not null")
+    # An array of its own, and the outer form: the plain one is computed without sharing `length` between the keys, at twice the time.
+    keyed = once.withColumn("len", F.length("line")).select("h1", _keys(F.col("line"), F.col("len"), edits).alias("keys"))
+    rows = keyed.select("h1", F.posexplode_outer("keys").alias("place", "key")).where("key is not null")
     packed = F.shiftleft(F.shiftright("h1", 1), 1).bitwiseOR(F.when(F.col("place") <= edits, F.lit(1)).otherwise(F.lit(0)).cast("long"))
     index = rows.select("key", packed.alias("packed")).selectExpr(
         "key", "packed",
@@ -178,7 +180,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 def repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, doc, line_no) of every line that repeats an earlier one, equal or near; see `line_dedup`."""
-    lines = lines_of(docs, min_chars).select("doc_id", "doc", "line_no", "h1", "h2")
+    lines = settled(lines_of(docs, min_chars).select("doc_id", "doc", "line_no", "h1", "h2"), "line-places")
     place = F.struct("doc_id", "doc", "line_no")
     firsts = settled(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "lines")
     pairs = settled(near_lines(docs, firsts, edits, min_chars), "near-lines")
