@@ -107,6 +107,29 @@ def _(v):
     return rules.join_rules_with_plan(v.planned_statements, plans).select("plan_id", "rule_id")
 
 
+def _supplier_rules(v):
+    """One rule per supplier: its table, for some also a text that must not be there, or a pattern."""
+    def condition(key, value):
+        return F.struct(F.lit(key).alias("key"), value.alias("value"))
+
+    no = F.col("s_suppkey")
+    needed = F.array_compact(F.array(
+        condition("sql_contains", F.concat(F.lit("from t"), no.cast("string"), F.lit(" x"))),
+        F.when(no % 3 == 0, condition("sql_not_contains", F.lit("x.a = '1'"))), F.when(no % 4 == 0, condition("sql_pattern", F.lit(r"x\.a = \d"))),
+    ))
+    return v.supplier.select(
+        no.cast("int").alias("rule_no"), F.concat(F.lit("S"), no.cast("string")).alias("rule_id"), F.lit("c").alias("category"),
+        F.col("s_name").alias("title"), F.lit("s").alias("suggestion"), needed.alias("conditions"))
+
+
+@query("join_rule_rows", """with s as (select *, upper(sql_text) as u from table_statements)
+select s.statement_id, cast(r.s_suppkey as int) as rule_no, 'S' || r.s_suppkey as rule_id, r.s_name as title
+from s join supplier r on contains(u, 'FROM T' || r.s_suppkey || ' X') and (r.s_suppkey % 3 <> 0 or not contains(u, concat('X.A = ', chr(39), '1', chr(39))))
+  and (r.s_suppkey % 4 <> 0 or regexp_matches(u, 'X[.]A = [0-9]'))""")
+def _(v):
+    return rules.join_rules(v.table_statements, _supplier_rules(v)).select("statement_id", "rule_no", "rule_id", "title")
+
+
 @query("compare_plans", _PLAN_ROWS + """,
 after as (select plan_id, 1 as step, table_name, rows // 10 as rows from nodes)
 select coalesce(b.plan_id, a.plan_id) as plan_id, coalesce(b.step, a.step) as step, b.access_type as before_access_type, b.rows as before_rows,

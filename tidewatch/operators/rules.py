@@ -1,7 +1,7 @@
 """Match statements, and optionally their plans, with a rule set.
 
-A rule set is configuration: (id, category, title, conditions, suggestion), all conditions must hold. It is turned into
-one array expression per statement, so matching is a projection without a join or shuffle.
+A small rule set is configuration: (id, category, title, conditions, suggestion), all conditions must hold. It is turned into
+one array expression per statement, so matching is a projection without a join or shuffle. Rule sets of any size are tables (`rule_rows`).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import constants as K
 from tidewatch.functions.text import preview, severity, strip_comments, unnest
+from tidewatch.operators.rule_rows import join_rule_rows
 
 _COMPARISONS = (
     (">=", lambda a, b: a >= b), ("<=", lambda a, b: a <= b), (">", lambda a, b: a > b), ("<", lambda a, b: a < b),
@@ -92,12 +93,16 @@ def _per_rule(rows: DataFrame, columns) -> DataFrame:
 
 
 def join_rules(statements: DataFrame, rules=K.RULES) -> DataFrame:
-    """One row per statement and matching rule, without plans."""
+    """One row per statement and matching rule, without plans. `rules` may be a table of any size (see `rule_rows`)."""
+    if isinstance(rules, DataFrame):
+        return join_rule_rows(statements, rules)
     return _per_rule(with_rules(statements, rules), statements.columns)
 
 
 def join_rules_with_plan(statements: DataFrame, plan_accesses: DataFrame, rules=K.RULES, *, key="plan_id") -> DataFrame:
     """The same with the statement's plan; `plan_accesses` has one row per plan with the array `accesses`."""
+    if isinstance(rules, DataFrame):
+        return join_rule_rows(statements, rules, plan_accesses, key=key)
     both = statements.join(plan_accesses.select(key, "accesses"), key, "left")
     return _per_rule(with_rules(both, rules, accesses="accesses"), statements.columns)
 
