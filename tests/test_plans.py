@@ -50,6 +50,27 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "ballast" not in plan and "TakeOrderedAndProject" in plan
 
 
+def test_seek_pages_are_the_pages_and_skip_what_is_older(spark, tmp_path):
+    path = str(tmp_path / "captured")
+    spark.sql("""select id event_id, 'x' sql_text, case when id % 50 <> 7 then timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id / 3 as int), 0) end
+                 captured_at from range(600)""").sortWithinPartitions("captured_at").write.parquet(path)
+    rows = spark.read.parquet(path)
+    want = [r["event_id"] for r in rows.orderBy(F.desc_nulls_last("captured_at"), F.desc("event_id")).collect()]
+    got, after = [], None
+    while True:
+        page = search.search_captured(rows, size=70, after=after) if after else search.page_after(rows, ts="captured_at", tie="event_id", size=70)
+        found = page.collect()
+        got += [r["event_id"] for r in found]
+        if len(found) < 70:
+            break
+        after = (found[-1]["captured_at"], found[-1]["event_id"])
+    assert got == want
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = plan_of(search.page_after(rows, ts="captured_at", tie="event_id", after=("2024-01-01 03:00:00", 500), size=20))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThan(captured_at,2024-01-01T02:00" in plan and "LessThanOrEqual(captured_at,2024-01-01T03:00" in plan and "TakeOrdered" in plan
+
+
 def test_round_cap_limits_before_the_shuffle(spark):
     events = spark.range(100).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("instance_id"), (F.col("id") % 2).alias("round"), F.col("id").alias("captured_at"))
     plan = plan_of(tasks.round_cap(events)[0])

@@ -14,9 +14,12 @@ from tidewatch.sources import readers, sinks
 # --- sources ---
 
 
-def write_slow_log(v, folder: str | None = None, until=None) -> str:
+def slow_log(v) -> str:
+    return v.prepared("slow-log", lambda folder: write_slow_log(v, folder))
+
+
+def write_slow_log(v, folder: str, until=None) -> str:
     """Slow-log files, one per instance and day, written by Spark from the statement events; with `until`, as they are at that moment."""
-    folder = folder or shared_folder(v.spark, "slow-log")
     events = v.stmt_events if until is None else v.stmt_events.where(F.col("captured_at") < until)
     block = F.concat(
         F.lit("# Time: "), F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z\n# User@Host: app[app] @ host\n"),
@@ -47,9 +50,9 @@ select {columns} from sticky {where}"""
     columns="""captured_at, coalesce(used, carried) as database_name,
   replace(sql_text, ' WHERE ', chr(10) || 'WHERE ') || ';' as sql_text, round(query_time_sec, 5) as query_time_sec,
   round(lock_time_sec, 5) as lock_time_sec, rows_examined, rows_sent, 'slow_log_file' as source""",
-    where="where round(query_time_sec, 6) >= 0.5"))
+    where="where round(query_time_sec, 6) >= 0.5"), prepare=slow_log)
 def _(v):
-    events, _ = readers.src_slow_log(v.spark, write_slow_log(v), instance_id=None)
+    events, _ = readers.src_slow_log(v.spark, slow_log(v), instance_id=None)
     return events.select(
         "captured_at", "database_name", "sql_text", F.round("query_time_sec", 5).alias("query_time_sec"),
         F.round("lock_time_sec", 5).alias("lock_time_sec"), "rows_examined", "rows_sent", "source",
@@ -57,9 +60,9 @@ def _(v):
 
 
 @query("win_sticky_db", _LOG_ORACLE.format(
-    columns="captured_at, used as used_db, carried as sticky_db, rows_examined", where=""))
+    columns="captured_at, used as used_db, carried as sticky_db, rows_examined", where=""), prepare=slow_log)
 def _(v):
-    lines = v.spark.read.option("lineSep", readers.BLOCK_START).text(write_slow_log(v))
+    lines = v.spark.read.option("lineSep", readers.BLOCK_START).text(slow_log(v))
     blocks = readers.win_sticky_db(readers.slow_log_blocks(readers.with_file_position(lines)))
     return blocks.select("captured_at", "used_db", "sticky_db", "rows_examined")
 
@@ -375,6 +378,14 @@ def _(v):
     return search.page_of(captured(v), order=[F.desc("captured_at"), F.desc("event_id")], page=3, size=50).select("event_id", "captured_at")
 
 
+@query("page_seek", "select event_id, captured_at from captured order by captured_at desc, event_id desc limit 50 offset 100")
+def _(v):
+    order = [F.desc("captured_at"), F.desc("event_id")]
+    last = search.page_of(captured(v), order=order, page=100, size=1).first()
+    found = search.page_after(captured(v), ts="captured_at", tie="event_id", after=(last["captured_at"], last["event_id"]), size=50)
+    return found.select("event_id", "captured_at")
+
+
 @query("union_sources", """select event_id, source, sql_text, query_time_sec, trace_id from (
   select event_id, 'http_endpoint' as source, body->>'$.sql' as sql_text, cast(body->>'$.durationMs' as double) / 1000 as query_time_sec, null as trace_id from http_json
   union all select event_id, 'http_capture', body->>'$.sqlText', cast(body->>'$.queryTimeSec' as double), body->>'$.traceId' from http_json_v2

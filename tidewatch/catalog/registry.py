@@ -8,9 +8,13 @@ from string import Template
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.catalog.views import DUCK_EACH, DUCK_VIEWS, SPARK_EACH, TABLES, VIEWS
+from tidewatch.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Sets up the input files of a query ahead of it, so that they are not part of its time.
+PREPARE: dict[str, Callable[[SparkSession, str], object]] = {}
+_PREPARED: dict[tuple[str, str, str], str] = {}
 
 
 class Inputs:
@@ -28,6 +32,16 @@ class Inputs:
         return self.spark.sql(Template(VIEWS[name]).substitute(files | SPARK_EACH))
 
 
+    def prepared(self, name: str, write: Callable[[str], object]) -> str:
+        """A folder that `write(folder)` fills once per session and data folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _PREPARED:
+            path = shared_folder(self.spark, name)
+            write(path)
+            _PREPARED[key] = path
+        return _PREPARED[key]
+
+
 def _dependencies(text: str, seen: dict[str, str]) -> None:
     known = {**VIEWS, **DUCK_VIEWS}
     words = set(text.replace("(", " ").replace(")", " ").replace(",", " ").split())
@@ -49,13 +63,16 @@ def oracle_text(body: str) -> str:
     return ("with recursive " + ",\n".join(ctes) + "\n" if ctes else "") + body.strip()
 
 
-def query(name: str, oracle: str | None = None):
-    """Register a function of `Inputs`. An oracle that starts with `with` has its final select at the start of a line."""
+def query(name: str, oracle: str | None = None, prepare: Callable[[Inputs], object] | None = None):
+    """Register a function of `Inputs`. An oracle that starts with `with` has its final select at the start of a line; `prepare` sets up
+    files the query asks `Inputs.prepared` for."""
 
     def register(build: Callable[[Inputs], DataFrame]):
         QUERIES[name] = lambda spark, folder: build(Inputs(spark, folder))
         if oracle is not None:
             ORACLES[name] = oracle_text(oracle)
+        if prepare is not None:
+            PREPARE[name] = lambda spark, folder: prepare(Inputs(spark, folder))
         return build
 
     return register

@@ -11,11 +11,14 @@ from tidewatch.session import shared_folder
 from tidewatch.streaming import jobs
 
 
-def _stream_of(frame, purpose):
+def _stream_of(v, frame, purpose):
     """Write a frame as files and read them as a stream."""
-    spark, folder = frame.sparkSession, shared_folder(frame.sparkSession, purpose)
-    frame.write.parquet(folder)
-    return spark.readStream.schema(frame.schema).parquet(folder)
+    folder = v.prepared(purpose, lambda path: frame.write.parquet(path))
+    return v.spark.readStream.schema(frame.schema).parquet(folder)
+
+
+def _statements(v):
+    return _stream_of(v, v.stmt_events, "statement-events")
 
 
 def _outputs(spark, name):
@@ -63,7 +66,7 @@ def _(v):
 @query("stream_cooldown", _CHAIN.format(where="true", period="30 minute"))
 def _(v):
     paths = _outputs(v.spark, "stream-cooldown")
-    events = _stream_of(captured(v), "captured-events")
+    events = _stream_of(v, captured(v), "captured-events")
     jobs.stream_cooldown(events, out=paths["out"], state=paths["state"], checkpoint=paths["checkpoint"]).awaitTermination()
     return v.spark.read.parquet(paths["out"]).select("event_id", "fingerprint", "captured_at")
 
@@ -71,7 +74,7 @@ def _(v):
 @query("stream_alerts", _CHAIN.format(where="severity = 'P0'", period="24 hour").replace("select k.event_id, k.fingerprint, k.captured_at", f"select k.event_id, k.fingerprint, k.captured_at, {ALERT}{NEW} as alert"))
 def _(v):
     paths = _outputs(v.spark, "stream-alerts")
-    events = _stream_of(v.stmt_events, "statement-events")
+    events = _statements(v)
     jobs.stream_alerts(events, out=paths["out"], state=paths["state"], checkpoint=paths["checkpoint"]).awaitTermination()
     return v.spark.read.parquet(paths["out"]).select("event_id", "fingerprint", "captured_at", "alert")
 
@@ -79,7 +82,7 @@ def _(v):
 @query("stream_upsert", FOLD.format(source="captured"))
 def _(v):
     paths = _outputs(v.spark, "stream-upsert")
-    jobs.stream_upsert(_stream_of(captured(v), "captured-events"), path=paths["snapshot"], checkpoint=paths["checkpoint"]).awaitTermination()
+    jobs.stream_upsert(_stream_of(v, captured(v), "captured-events"), path=paths["snapshot"], checkpoint=paths["checkpoint"]).awaitTermination()
     return fold_columns(jobs.read_captured(v.spark, paths["snapshot"]))
 
 
@@ -113,7 +116,7 @@ def _reports(v):
 def _run_capture(v, name):
     paths = _outputs(v.spark, name)
     jobs.stream_capture(
-        _stream_of(v.stmt_events, "statement-events"), v.dim_instance, out=paths["out"], state=paths["state"],
+        _statements(v), v.dim_instance, out=paths["out"], state=paths["state"],
         snapshot=paths["snapshot"], checkpoint=paths["checkpoint"], plan_keys=_plan_keys(v), reports=lambda: _reports(v),
     ).awaitTermination()
     return paths
@@ -123,7 +126,7 @@ def _run_capture(v, name):
 {_CACHE},
 {_ACCEPTED}
 select md5(a.fingerprint || ':' || cast(a.event_id as varchar)) as task_id, a.fingerprint, coalesce(a.project_code, '') as project_code, {CONTEXT} as enriched_prompt
-from accepted a left join texts t on a.event_id = t.event_id where a.cached_report is null""")
+from accepted a left join texts t on a.event_id = t.event_id where a.cached_report is null""", prepare=_statements)
 def _(v):
     out = _run_capture(v, "stream-capture")["out"]
     return v.spark.read.parquet(out).select("task_id", "fingerprint", "project_code", "enriched_prompt")

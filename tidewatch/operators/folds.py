@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.ordered import time_chunk
 
-_CHUNK_SECONDS = 3600
+_CHUNK_SECONDS = 600
 
 
 _STATE_BATCH = -1
@@ -21,11 +21,11 @@ def _order(batch: int, at: Column, tie: Column) -> Column:
 
 
 def capture_partials(events: DataFrame, *, on_duplicate="fold", tie="event_id", batch=0) -> DataFrame:
-    """Partial folds of `events`: one row per fingerprint and hour, which `merge_partials` and `compact_partials` combine.
+    """Partial folds of `events`: one row per fingerprint and ten minutes, which `merge_partials` and `compact_partials` combine.
 
     Times are averaged pairwise in order, m <- (m + v) / 2, so event i of n weighs 2^-(n-i+1) and the first one twice
-    that. The sum is associative: each hour is summed on its own and shifted later by the number of events after
-    it, so a hot fingerprint is spread over its hours and batches can be folded apart.
+    that. The sum is associative: each chunk is summed on its own and shifted later by the number of events after
+    it, so a hot fingerprint is spread over its chunks and batches can be folded apart.
     """
     rows = events.select(
         "fingerprint", *_FIRST, "rows_examined", *_LATEST,

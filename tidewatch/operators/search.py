@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,10 @@ def match_captured(captured: DataFrame, *, project=None, instance=None, database
     return captured.filter(_all(wanted))
 
 
-def search_captured(captured: DataFrame, *, page=1, size=20, tie="event_id", **filters) -> DataFrame:
-    """One page of matching statements, newest first."""
+def search_captured(captured: DataFrame, *, page=1, size=20, tie="event_id", after: tuple | None = None, **filters) -> DataFrame:
+    """One page of matching statements, newest first: the page of that number, or the one behind the row `after` (see `page_after`)."""
+    if after is not None:
+        return page_after(match_captured(captured, **filters), ts="captured_at", tie=tie, after=after, size=size)
     return page_of(match_captured(captured, **filters), order=[F.desc("captured_at"), F.desc(tie)], page=page, size=size)
 
 
@@ -67,9 +70,11 @@ def match_history(diagnoses: DataFrame, *, project=None, instance=None, start=No
     return diagnoses.filter(_all(wanted))
 
 
-def search_history(diagnoses: DataFrame, *, page=1, size=20, **filters) -> DataFrame:
-    """One page of matching tasks, newest first."""
+def search_history(diagnoses: DataFrame, *, page=1, size=20, after: tuple | None = None, **filters) -> DataFrame:
+    """One page of matching tasks, newest first: the page of that number, or the one behind the row `after` (see `page_after`)."""
     found = match_history(diagnoses, **filters)
+    if after is not None:
+        return page_after(found, ts="created_at", tie="task_id", after=after, size=size)
     return page_of(found, order=[F.desc("created_at"), F.desc("task_id")], page=page, size=size)
 
 
@@ -82,6 +87,31 @@ def page_of(rows: DataFrame, *, order, page=1, size=20) -> DataFrame:
     return rows.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, *, ts: str, tie: str, after: tuple | None = None, size=20, window="1 hour") -> DataFrame:
+    """The `size` rows that follow the row `after` = (time, id), the last one of the page before, newest first; rows without a time come last.
+
+    Unlike an offset, this reads only what lies around the page: rows of a stretch of time that ends at `after` are looked at, and the
+    stretch grows eightfold until it holds a page. Both its ends are plain comparisons that reach the scan, so that files and row groups
+    sorted by time (as `sinks` writes them) are skipped. The ten-thousandth page costs what the second one does.
+    """
+    order = [F.desc_nulls_last(ts), F.desc(tie)]
+    if after is None:
+        return rows.orderBy(*order).limit(size)
+    at, last = after
+    if at is None:
+        return rows.filter(F.col(ts).isNull() & (F.col(tie) < F.lit(last))).orderBy(*order).limit(size)
+    kind = rows.schema[ts].dataType
+    end = pd.Timestamp(at)
+    behind = (F.col(ts) <= F.lit(str(end)).cast(kind)) & ((F.col(ts) < F.lit(str(end)).cast(kind)) | (F.col(tie) < F.lit(last)))
+    reach = pd.Timedelta(window)
+    while reach < pd.Timedelta(days=36_500):
+        found = rows.filter((F.col(ts) > F.lit(str(end - reach)).cast(kind)) & behind).orderBy(*order).limit(size)
+        if found.count() == size:
+            return found
+        reach *= 8
+    return rows.filter(behind | F.col(ts).isNull()).orderBy(*order).limit(size)
+
+
 def recent_n(captured: DataFrame, *, n=10, instance=None, project=None, tie="event_id") -> DataFrame:
     found = match_captured(captured, instance=instance, project=project)
     return found.orderBy(F.desc("captured_at"), F.desc(tie)).limit(n)

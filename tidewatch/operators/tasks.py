@@ -67,15 +67,15 @@ def join_report_cache(events: DataFrame, plan_keys: DataFrame, cache: DataFrame,
         .groupBy("fingerprint", "plan_key", F.col("created_at").cast(kind).alias("_at")).agg(F.max("report").alias("report"))
         .select("fingerprint", "plan_key", "_at", F.lit(0).alias("_kind"), F.struct(F.col("_at").alias("at"), "report").alias("_report"))
     )
-    line = keyed.unionByName(reports, allowMissingColumns=True)
+    # What can have no report is dealt out evenly instead of standing on one time line.
+    eligible = F.col("plan_key").isNotNull() & F.coalesce(F.col("severity") != "P0", F.lit(False))
+    keyed = keyed.withColumn("_slot", F.when(eligible, F.lit(-1)).otherwise(F.pmod(F.xxhash64(tie), F.lit(4096))))
+    line = keyed.unionByName(reports.withColumn("_slot", F.lit(-1).cast("bigint")), allowMissingColumns=True)
     seen = carry(
-        line, keys=["fingerprint", "plan_key"], order=["_at", "_kind", tie], chunk=time_chunk("_at", 86_400),
+        line, keys=["fingerprint", "plan_key", "_slot"], order=["_at", "_kind", tie], chunk=time_chunk("_at"),
         value=F.col("_report"), out="_latest",
     ).filter(F.col("_kind") == 1)
-    fresh = (
-        (F.col("captured_at") < F.timestamp_add("DAY", F.lit(ttl_days), F.col("_latest.at")))
-        & (F.col("severity") != "P0") & F.col("plan_key").isNotNull()
-    )
+    fresh = (F.col("captured_at") < F.timestamp_add("DAY", F.lit(ttl_days), F.col("_latest.at"))) & (F.col("_slot") == -1)
     return seen.withColumn("cached_report", F.when(fresh, F.col("_latest.report"))).select(
         *events.columns, "plan_key", "cached_report"
     )
