@@ -115,6 +115,50 @@ def test_top_k(spark, shape):
     assert topk.top_k(table.limit(0), table).count() == 0
 
 
+def clustered(rng, n=4000, dims=16, groups=20):
+    centres = rng.normal(0, 400, (groups, dims))
+    return (centres[rng.integers(0, groups, n)] + rng.normal(0, 8, (n, dims))).astype(int)
+
+
+def test_the_threshold_leaves_most_rows_unscored_where_there_are_few_dimensions(spark):
+    rng = np.random.default_rng(8)
+    vectors = clustered(rng, dims=3)
+    lists = topk.Lists(np.arange(4000), vectors)
+    asked = range(0, 4000, 100)
+    for q in asked:
+        ids, score = lists.best(q, vectors[q], 10)
+        whole = vectors @ vectors[q]
+        want = [i for i in np.lexsort((np.arange(4000), -whole)) if i != q][:10]
+        assert ids.tolist() == want and score.tolist() == whole[want].tolist()
+    assert lists.scored < 0.5 * 4000 * len(asked)
+    before = lists.scored
+    for q in asked:  # with the k-th best known from elsewhere even less is read, and a floor above all reads nothing
+        floor = int(np.sort(vectors @ vectors[q])[-11])
+        lists.best(q, vectors[q], 10, floor)
+    assert lists.scored - before <= before
+    before = lists.scored
+    assert not len(lists.best(0, vectors[0], 10, 1 << 60)[0]) and lists.scored == before
+
+
+def test_blocks_out_of_reach_are_not_sent(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors = clustered(rng, 3000)
+    rows = spark.createDataFrame([(i, [int(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, v array<long>")
+    pairs = {}
+
+    def spy(frame, purpose):
+        out = common.settled(frame, purpose)
+        pairs[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(topk, "settled", spy)
+    found = topk.top_k(rows.where("vec_id % 50 = 0"), rows, k=5, block_rows=100, query_rows=10).collect()
+    whole = vectors @ vectors.T
+    want = {(q, r + 1, int(i)) for q in range(0, 3000, 50) for r, i in enumerate([i for i in np.lexsort((np.arange(3000), -whole[q])) if i != q][:5])}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found} == want
+    assert pairs["block-pairs"] < 0.5 * 30 * 6
+
+
 # --- 3: mixing ---
 
 
