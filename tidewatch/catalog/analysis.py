@@ -8,7 +8,8 @@ from tidewatch.catalog.common import captured, events_as_of, orders_as_of
 from tidewatch.catalog.registry import query
 from tidewatch.operators import cooldown, folds, knowledge, metadata, reports, rules, tasks
 from tidewatch.plans import explain_tree
-from tidewatch.sources import readers
+from tidewatch.session import shared_folder
+from tidewatch.sources import readers, sinks
 
 # --- rules ---
 
@@ -55,6 +56,14 @@ def _(v):
     return rules.build_context(v.stmt_events).select("event_id", "context")
 
 
+@query("sink_tasks", f"""{RULES_SQL}
+select md5(e.fingerprint || ':' || cast(e.event_id as varchar)) as task_id, '' as session_id, e.instance_id, coalesce(e.project_code, '') as project_code,
+  {CONTEXT} as enriched_prompt, e.fingerprint, e.source, e.captured_at as created_at from captured e left join texts t on e.event_id = t.event_id""")
+def _(v):
+    made = tasks.new_tasks(rules.build_context(captured(v)))
+    return sinks.sink_tasks(made, path=shared_folder(v.spark, "tasks"), version=0)
+
+
 _MARK = "case severity when 'P0' then '🔴' when 'P1' then '🟡' else '🟢' end"
 
 
@@ -79,9 +88,11 @@ steps as (
   union all select plan_id, 1, 'd', 'ALL', null, true, null, 100.0, null from nodes where plan_id % 3 = 2)"""
 
 
-@query("plan_tables", _PLAN_ROWS + "\nselect * from steps")
+@query("plan_tables", _PLAN_ROWS + """
+select *, '$.query_block.' || case plan_id % 3 when 0 then 'nested_loop[' || (step - 1) || '].table' when 1 then 'ordering_operation.grouping_operation.table'
+  else 'table' || case when step = 2 then '.materialized_from_subquery.query_block.table' else '' end end as path from steps""")
 def _(v):
-    return explain_tree.plan_tables(v.plans).drop("path")
+    return explain_tree.plan_tables(v.plans)
 
 
 @query("plan_key", _PLAN_ROWS + """

@@ -7,7 +7,6 @@ from tidewatch.catalog.common import captured, orders_as_of
 from tidewatch.catalog.registry import query
 from tidewatch.catalog.views import NORMAL, SEVERITY
 from tidewatch.operators import filters, folds, search, statements, tasks
-from tidewatch.operators.rules import build_context
 from tidewatch.session import shared_folder
 from tidewatch.sources import readers, sinks
 
@@ -110,6 +109,12 @@ def _(v):
     return readers.src_slow_log_rows(v.log_rows)
 
 
+@query("src_slow_log_rows_rejects", """select event_id, 'no readable time' as reject_reason from log_rows where try_cast(start_time as timestamp) is null""")
+def _(v):
+    _, rejects = readers.split_rejects(readers.src_slow_log_rows(v.log_rows))
+    return rejects.select("event_id", "reject_reason")
+
+
 @query("src_manual", """select event_id, captured_at, 'manual' as source, 'user-input' as source_detail, instance_id, project_code, sql_text,
   cast(null as double) as query_time_sec, cast(null as double) as lock_time_sec, cast(null as bigint) as rows_examined,
   cast(null as bigint) as rows_sent from stmt_events""")
@@ -173,13 +178,6 @@ def _(v):
     return sinks.sink_diagnosis(v.diagnosis_record, path=shared_folder(v.spark, "diagnosis"), version=0)
 
 
-@query("sink_tasks", """select md5(fingerprint || ':' || cast(event_id as varchar)) as task_id, '' as session_id, instance_id,
-  coalesce(project_code, '') as project_code, fingerprint, source, captured_at as created_at from captured""")
-def _(v):
-    made = tasks.new_tasks(build_context(captured(v)))
-    return sinks.sink_tasks(made, path=shared_folder(v.spark, "tasks"), version=0).drop("enriched_prompt")
-
-
 @query("sink_audit", """select 'a-' || statement_id as task_id, 's' as session_id, 'inst-1' as instance_id, length(sql_text) as sql_len,
   true as masked, '[users]' as tables, statement_id as duration_ms, 'COMPLETED' as status from literal_statements""")
 def _(v):
@@ -435,9 +433,11 @@ def _(v):
 
 @query("classify_statements", """select statement_id, case statement_id % 8 when 0 then 'select' when 1 then 'multi' when 3 then 'empty'
   when 4 then 'select' when 6 then 'select' when 7 then 'select' else 'other' end as statement_class,
-  statement_id % 8 in (0, 4, 6, 7) as is_safe from mixed_statements""")
+  statement_id % 8 in (0, 4, 6, 7) as is_safe, case statement_id % 8 when 1 then '安全拦截：禁止执行多条拼接的 SQL 语句' when 3 then '安全拦截：SQL 不能为空'
+    when 2 then '安全拦截：系统仅支持 SELECT 查询语句的分析，禁止包含 DML/DDL 等写操作' when 5 then '安全拦截：系统仅支持 SELECT 查询语句的分析，禁止包含 DML/DDL 等写操作' end as refusal
+from mixed_statements""")
 def _(v):
-    return statements.classify_statements(v.mixed_statements).select("statement_id", "statement_class", "is_safe")
+    return statements.classify_statements(v.mixed_statements).select("statement_id", "statement_class", "is_safe", "refusal")
 
 
 @query("referenced_tables", """select statement_id, unnest(case statement_id % 8 when 0 then ['t' || statement_id] when 1 then ['t' || statement_id]

@@ -144,9 +144,9 @@ def _by_grade(grade: Column, values: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])[grade]
 
 
-def alert_text(events: DataFrame, *, content: Column | None = None) -> DataFrame:
-    """Add the alert line: the statement is cut to 100 characters, the content to 300. The content says by default that
-    the statement is new; a report may be given instead."""
+def alert_text(events: DataFrame, *, content: Column | None = None, statement_cut=100, content_cut=300) -> DataFrame:
+    """Add the alert line with the statement and the content, both cut. The content says by default that the statement is new; a
+    report may be given instead."""
     seconds = F.coalesce("query_time_sec", F.lit(0.0))
     rows = F.coalesce("rows_examined", F.lit(0).cast("bigint"))
     grade = severity(seconds, rows)
@@ -156,5 +156,5 @@ def alert_text(events: DataFrame, *, content: Column | None = None) -> DataFrame
     return events.withColumn("alert", F.concat(
         mark, F.lit(f" {K.ALERT_TITLE}\n库: "), F.coalesce("database_name", F.lit("unknown")),
         F.format_string("\n耗时: %.1fs | 扫描: %d行\nSQL: ", seconds, rows),
-        preview(F.col("sql_text"), 100), F.lit("\n\n"), preview(body, 300),
+        preview(F.col("sql_text"), statement_cut), F.lit("\n\n"), preview(body, content_cut),
     ))

@@ -121,11 +121,11 @@ def top_frequent(captured: DataFrame, *, n=5, project=None) -> DataFrame:
     return match_captured(captured, project=project).orderBy(F.desc("occurrence_count"), "fingerprint").limit(n)
 
 
-def prj_history_summary(diagnoses: DataFrame) -> DataFrame:
-    """List view of tasks: the cleaned text where there is one, cut to 100 characters."""
+def prj_history_summary(diagnoses: DataFrame, *, cut=100) -> DataFrame:
+    """List view of tasks: the cleaned text where there is one, cut to `cut` characters."""
     return diagnoses.select(
         "task_id", "project_code", "instance_id",
-        X.preview(F.coalesce("clean_sql", "original_sql"), 100).alias("sql_preview"),
+        X.preview(F.coalesce("clean_sql", "original_sql"), cut).alias("sql_preview"),
         "original_sql", "clean_sql", "status", "source", "fingerprint", "duration_ms", "tool_call_count", "created_at",
     )
 

@@ -244,9 +244,9 @@ def retry_tasks(diagnoses: DataFrame, *, attempt=1) -> DataFrame:
 
 # --- traces ---
 
-def task_metrics(trace: DataFrame) -> DataFrame:
-    """Calls, errors and elapsed time per task; a trace row has task_id, step, kind, detail and happened_at."""
-    error = F.when(F.col("kind") == "tool_error", F.substring("detail", 1, 200))
+def task_metrics(trace: DataFrame, *, cut=200) -> DataFrame:
+    """Calls, errors and elapsed time per task; a trace row has task_id, step, kind, detail and happened_at. The last error is cut to `cut` characters."""
+    error = F.when(F.col("kind") == "tool_error", F.substring("detail", 1, cut))
     return trace.groupBy("task_id").agg(
         F.count_if(F.col("kind") == "llm_start").alias("llm_calls"),
         F.count_if(F.col("kind") == "tool_start").alias("tool_calls"),
@@ -256,10 +256,10 @@ def task_metrics(trace: DataFrame) -> DataFrame:
     )
 
 
-def task_errors(trace: DataFrame) -> DataFrame:
-    """One row per tool error, cut to 200 characters."""
+def task_errors(trace: DataFrame, *, cut=200) -> DataFrame:
+    """One row per tool error, cut to `cut` characters."""
     return trace.filter(F.col("kind") == "tool_error").select(
-        "task_id", "step", F.substring("detail", 1, 200).alias("error")
+        "task_id", "step", F.substring("detail", 1, cut).alias("error")
     )
 
 
@@ -289,11 +289,11 @@ def budget_guard(trace: DataFrame, *, budget: int) -> DataFrame:
     )
 
 
-def progress_steps(trace: DataFrame, *, labels=None) -> DataFrame:
-    """Steps numbered from one per task, with readable tool names and details cut to 200 characters."""
+def progress_steps(trace: DataFrame, *, labels=None, cut=200) -> DataFrame:
+    """Steps numbered from one per task, with readable tool names and details cut to `cut` characters."""
     names = F.create_map(*[F.lit(x) for x in chain.from_iterable((labels or K.TOOL_LABELS).items())])
     steps = position(trace, keys=["task_id"], order=["step"], chunk=number_chunk("step"), out="_no")
     return steps.select(
         "task_id", F.col("_no").alias("step_no"), F.coalesce(names[F.col("tool")], "tool").alias("tool"), "status",
-        F.substring(F.coalesce("detail", F.lit("")), 1, 200).alias("detail"), "happened_at",
+        F.substring(F.coalesce("detail", F.lit("")), 1, cut).alias("detail"), "happened_at",
     )

@@ -233,6 +233,16 @@ def src_slow_log_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+def split_rejects(events: DataFrame, *, need_time=True) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of any source: a row without a readable time or without a statement is set aside, whole and with the reason."""
+    no_text = F.col("sql_text").isNull() | F.col("sql_text").rlike(r"^\s*$")
+    reason = F.when(no_text, "no statement")
+    if need_time:
+        reason = F.when(F.col("captured_at").isNull(), "no readable time").otherwise(reason)
+    judged = events.withColumn("reject_reason", reason)
+    return judged.filter(F.col("reject_reason").isNull()).drop("reject_reason"), judged.filter(F.col("reject_reason").isNotNull())
+
+
 def src_manual(statements: DataFrame) -> DataFrame:
     """Statements entered by hand: no metrics."""
     none = {"query_time_sec": "double", "lock_time_sec": "double", "rows_examined": "bigint", "rows_sent": "bigint"}
