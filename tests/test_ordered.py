@@ -167,6 +167,28 @@ def test_upsert_equals_sequential_fold(spark, mode):
         assert r["query_time_sec"] == pytest.approx(w["q"], rel=1e-12) and r["lock_time_sec"] == pytest.approx(w["l"], rel=1e-12)
 
 
+@pytest.mark.parametrize("chunk_rows", [1, 40, 10**6])
+def test_balanced_chunks_fold_alike(spark, chunk_rows):
+    rows = [r[:13] + (START + timedelta(seconds=r[0] % 3000, microseconds=r[0]),) + (False,) for r in fold_rows(4, 900)]
+    events = spark.createDataFrame(rows, EVENT)
+    partials = folds.capture_partials(events, chunk_rows=chunk_rows)
+    found, want = {r["fingerprint"]: r for r in folds.merge_partials(partials).collect()}, sequential_fold(rows, "fold")
+    for key, w in want.items():
+        assert found[key]["occurrence_count"] == w["n"] and found[key]["query_time_sec"] == pytest.approx(w["q"], rel=1e-12)
+
+
+def test_a_burst_within_an_hour_is_many_chunks(spark):
+    rows = spark.sql("""select id, if(id % 5 = 0, 'rare' || id, 'hot') k, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id / 10) at from range(20000)
+                        union all select -1, 'hot', null""")
+    chunks = ordered.with_balanced_chunks(rows, keys=["k"], ts="at", target=500, out="chunk").groupBy("k", "chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).orderBy("chunk").collect()
+    hot = [r for r in chunks if r["k"] == "hot"]
+    assert len(hot) >= 30 and max(r["n"] for r in hot) <= 500 + 80 and sum(r["n"] for r in chunks) == 20_001
+    assert all(a["high"] < b["low"] for a, b in zip(hot, hot[1:])) and {r["chunk"] for r in chunks if r["k"] != "hot"} == {0}
+    plan = ordered.with_balanced_chunks(rows, keys=["k"], ts="at", target=500, out="chunk")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_count") >= 1
+
+
 TRACE = "task_id string, step bigint, tool string, args string, total_tokens bigint"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordered import time_chunk
+from tidewatch.operators.ordered import time_chunk, with_balanced_chunks
 
 _CHUNK_SECONDS = 600
 
@@ -20,17 +20,21 @@ def _order(batch: int, at: Column, tie: Column) -> Column:
     return F.struct(F.lit(batch).alias("batch"), at.alias("at"), tie.alias("tie"))
 
 
-def capture_partials(events: DataFrame, *, on_duplicate="fold", tie="event_id", batch=0) -> DataFrame:
-    """Partial folds of `events`: one row per fingerprint and ten minutes, which `merge_partials` and `compact_partials` combine.
+def capture_partials(events: DataFrame, *, on_duplicate="fold", tie="event_id", batch=0, chunk_rows: int | None = None) -> DataFrame:
+    """Partial folds of `events`: one row per fingerprint and ten minutes, which `merge_partials` and `compact_partials` combine. With
+    `chunk_rows` chunks have about that many rows instead, so that a burst within ten minutes is spread too; stored events are read twice then.
 
     Times are averaged pairwise in order, m <- (m + v) / 2, so event i of n weighs 2^-(n-i+1) and the first one twice
     that. The sum is associative: each chunk is summed on its own and shifted later by the number of events after
     it, so a hot fingerprint is spread over its chunks and batches can be folded apart.
     """
+    chunk = time_chunk("captured_at", _CHUNK_SECONDS)
+    if chunk_rows is not None:
+        events, chunk = with_balanced_chunks(events, keys=["fingerprint"], ts="captured_at", target=chunk_rows, out="_chunk"), F.col("_chunk")
     rows = events.select(
         "fingerprint", *_FIRST, "rows_examined", *_LATEST,
         _order(batch, F.col("captured_at"), F.col(tie)).alias("_order"),
-        time_chunk("captured_at", _CHUNK_SECONDS).alias("_chunk"),
+        chunk.alias("_chunk"),
         (F.coalesce("duplicate", F.lit(False)) if "duplicate" in events.columns else F.lit(False)).alias("_dup"),
     )
     if on_duplicate == "skip":

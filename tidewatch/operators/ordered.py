@@ -25,6 +25,23 @@ def number_chunk(column: str, width: int = 4096) -> Column:
     return F.floor(F.col(column) / F.lit(width))
 
 
+def with_balanced_chunks(rows: DataFrame, *, keys, ts: str, target: int, out: str, seconds: int = 10) -> DataFrame:
+    """Add chunk numbers that grow with time within a key, of about `target` rows each, whatever the key's rows per hour.
+
+    Rows are counted per key and stretch of `seconds`, combined on the map side; a key with more than `target` rows is cut where its running
+    count passes multiples of `target`, and the cuts, one row per stretch of such a key, are joined to the rows. Other keys are one chunk. No chunk holds more
+    than `target` rows and one stretch. The rows are read twice, so they should be stored or persisted.
+    """
+    stretch = F.coalesce(F.floor(micros(F.col(ts)) / F.lit(seconds * 1_000_000)), F.lit(-(2**62)).cast("bigint"))
+    marked = rows.withColumn("_key", F.struct(*keys)).withColumn("_stretch", stretch)
+    counts = marked.groupBy("_key", "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    large = counts.groupBy("_key").agg(F.sum("_n").alias("_total")).filter(F.col("_total") > target).select("_key")
+    before = Window.partitionBy("_key").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = counts.join(large, "_key").select(
+        "_key", "_stretch", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(target)).alias(out))
+    return marked.join(cuts, ["_key", "_stretch"], "left").withColumn(out, F.coalesce(out, F.lit(0).cast("bigint"))).drop("_key", "_stretch")
+
+
 def _chunked(rows: DataFrame, keys, chunk: Column) -> DataFrame:
     # a struct is never NULL itself, so keys that are NULL meet in an ordinary equality join
     # rows without an order value sort first and get a chunk of their own

@@ -24,6 +24,9 @@ from tidewatch.sources import readers, sinks
 from tidewatch.sources.tail import tail_blocks
 
 
+CHUNK_ROWS = 200_000
+
+
 def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -207,7 +210,9 @@ def stream_upsert(events: DataFrame, *, path: str, checkpoint: str) -> Streaming
     does not grow with the history; `read_captured` gives the snapshot."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        sinks.write_version(capture_partials(batch, batch=batch_id), f"{path}/partials", batch_id)
+        batch = batch.persist()  # counted first, then folded in chunks of even size
+        sinks.write_version(capture_partials(batch, batch=batch_id, chunk_rows=CHUNK_ROWS), f"{path}/partials", batch_id)
+        batch.unpersist()
 
     return _start(events, work, checkpoint)
 
@@ -268,7 +273,7 @@ def capture_batch(graded: DataFrame, batch_id: int, *, out: str, state: str, sna
     graded = graded.withColumn("diagnosis_report", F.coalesce("cached_report", "diagnosis_report")).persist()
     chain = dict(keys=["fingerprint"], ts="captured_at", tie="event_id")
     accepted = cooldown_batch(graded, batch_id, state=state, period=period, **chain)
-    sinks.write_version(capture_partials(graded, batch=batch_id), f"{snapshot}/partials", batch_id)
+    sinks.write_version(capture_partials(graded, batch=batch_id, chunk_rows=CHUNK_ROWS), f"{snapshot}/partials", batch_id)
     if alerts:
         suppressed = graded.filter(F.col("cached_report").isNotNull()).join(accepted.select("event_id"), "event_id", "left_anti")
         told = graded.filter(F.col("severity") == "P0").unionByName(suppressed.select(graded.columns))
