@@ -593,9 +593,30 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
 
 
 def test_pipeline_keeps_what_its_stages_should(spark):
-    out = {r["doc_id"] for r in corpus_pipeline.run(spark, FOLDER).collect()}
-    docs = common.table(spark, FOLDER, "documents")
-    assert out and out <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+    docs, marks, bench = (common.table(spark, FOLDER, n) for n in ("documents", "labels", "benchmark"))
+    stages = {}
+    rows = docs
+    for name, stage in corpus_pipeline.STAGES:
+        rows = common.settled(stage(spark, rows, FOLDER), f"test-{name}")
+        stages[name] = {r["doc_id"]: r for r in rows.collect()}
+    ids = lambda found: set(found)
+    whole = {r["doc_id"] for r in docs.collect()}
+    # toxicity: what the operator predicts goes, and nothing else
+    assert whole - ids(stages["toxicity"]) == {r["doc_id"] for r in toxicity.toxicity(docs, marks).where("predicted = 1").collect()}
+    # line dedup: all documents stay, no line comes twice
+    assert ids(stages["line_dedup"]) == ids(stages["toxicity"])
+    kept = spark.createDataFrame([r for r in stages["line_dedup"].values()], docs.schema)
+    assert lines.line_dedup(kept).where("n_repeats > 0").count() == 0
+    # near dedup: the one of each component that stays is its smallest
+    classes = {r["doc_id"]: r["component_id"] for r in simhash.simhash(kept, words=3, radius=3).collect()}
+    assert ids(stages["simhash_near_dedup"]) == set(classes.values())
+    # decontamination: what holds an item goes, and nothing else
+    held = kept.where(F.col("doc_id").isin(*ids(stages["simhash_near_dedup"])))
+    assert ids(stages["simhash_near_dedup"]) - ids(stages["decontamination"]) == {r["doc_id"] for r in decontaminate.leaks(held, bench).collect()}
+    # mixing: the operator's selection
+    clean = held.where(F.col("doc_id").isin(*ids(stages["decontamination"])))
+    assert ids(stages["mixing"]) == {r["doc_id"] for r in mixing.mixed_documents(clean).where("selected").collect()}
+    assert stages["mixing"] and {r["doc_id"] for r in corpus_pipeline.run(spark, FOLDER).collect()} == ids(stages["mixing"])
 
 
 def test_all_queries_and_the_pipeline_are_registered():
