@@ -3,7 +3,7 @@
 Candidates are packed into blocks of similar vectors; a block is stored with a list per dimension, sorted by value, and with the range of each dimension. A
 query reads all lists of a block in parallel, from the top where its own component is positive and from the bottom where it is negative.
 What is seen for the first time is scored in full; the search stops when the threshold (the score of an imaginary vector made of the values the
-lists have come to) is below the k-th best score, because nothing unseen can score more than the threshold. Depth doubles from one look to the
+lists have come to) is below the k-th best score, because nothing unseen can score more than the threshold. Depth grows fourfold from one look to the
 next; a block of which more than half has been seen is scored to its end, each row once.
 
 The k-th best score a search starts from is that of the block nearest to its query block. With it, blocks whose first threshold (the best values of
@@ -130,7 +130,7 @@ class Lists:
         up, down = used[query[used] > 0], used[query[used] < 0]
         ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
         seen = np.zeros(n, dtype=bool)
-        come, depth = 0, min(n, max(1, 2 * k // max(1, len(used)) + 1))
+        come, depth = 0, min(n, max(2 * k, n // 8) // max(1, len(used)) + 1)
         threshold = int(self.values[up, -1] @ query[up] + self.values[down, 0] @ query[down]) if n else NONE
         while threshold >= floor:
             fresh = np.zeros(n, dtype=bool)
@@ -156,7 +156,7 @@ class Lists:
             threshold = int(self.values[up, n - depth] @ query[up] + self.values[down, depth - 1] @ query[down])
             if len(ids) == k and threshold < score[-1]:
                 break
-            come, depth = depth, min(n, 2 * depth)
+            come, depth = depth, min(n, 4 * depth)
         return ids, score
 
     @staticmethod
