@@ -122,16 +122,17 @@ def accepted_times(events: DataFrame, *, keys, ts: str, tie: str, period: str, t
     firsts = settled(
         events.select(key_text(keys).alias("_part"), micros(F.col(ts)).alias("_us"), F.col(tie).alias("_tie"))
         .filter(F.col("_us").isNotNull()).groupBy("_part", "_us").agg(F.min("_tie").alias("_tie")), "chain-times")
+    schema = T.StructType([firsts.schema["_part"], firsts.schema["_us"], firsts.schema["_tie"]])
+
+    def walked(rows: DataFrame) -> DataFrame:
+        return rows.repartition("_part").sortWithinPartitions("_part", "_us").mapInPandas(_walk(step), schema)
+
     large = firsts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_start")).where(F.col("_n") > task_rows)
+    if firsts.count() <= task_rows or large.isEmpty():
+        return walked(firsts)
     large = settled(large.drop("_n"), "chain-keys")  # at most one key per `task_rows` rows
-    schema = T.StructType([firsts.schema["_part"], firsts.schema["_us"], firsts.schema["_tie"]])
-    some = not large.isEmpty()
-    small = firsts.join(large, "_part", "left_anti") if some else firsts
-    walked = small.repartition("_part").sortWithinPartitions("_part", "_us").mapInPandas(_walk(step), schema)
-    if not some:
-        return walked
     chained = long_chains(firsts.join(large, "_part"), step)
-    return walked.unionByName(chained.join(firsts, ["_part", "_us"]).select("_part", "_us", "_tie"))
+    return walked(firsts.join(large, "_part", "left_anti")).unionByName(chained.join(firsts, ["_part", "_us"]).select("_part", "_us", "_tie"))
 
 
 def _keyed(events: DataFrame, keys, ts: str, tie: str) -> DataFrame:
