@@ -64,3 +64,18 @@ def test_ten_thousand_rules_are_no_plan_of_ten_thousand_branches(spark):
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 60_000
     got = {(r["plan_id"], r["rule_no"]) for r in found.collect()}
     assert got == {(i, i * 7 % 20000) for i in range(3000) if i * 7 % 20000 < 10_000}
+
+
+def test_rules_meet_words_where_the_statements_are(spark):
+    """Fragments with inner words, without any, short and long, of equal conditions, NULL numbers and NULL values."""
+    values = ["from t1 x", "from t12 x", "from t1 x", "t12", "1 x where", "id", " t1 ", "elect `a", "ORDER BY RAND()", None, "ß y", "t1 x wherever"]
+    rows = [(i if i != 1 else None, f"R{i}", "c", "t", "s", [("sql_contains", v)]) for i, v in enumerate(values)]
+    data = spark.createDataFrame(rows, rule_rows.RULES)
+    texts = ["SELECT a FROM t1 x WHERE id = 1", "select `a` from t12 x", "select a from t12 x order by rand()", "SELECT STRASSE t1 y", "aß y t1", None, "from t1 x", "from t1 xy /* from t12 x */"]
+    statements = spark.createDataFrame(list(enumerate(texts)), "plan_id bigint, sql_text string")
+    upper = [" ".join((t or "").split("/*")[0].split()).upper() for t in texts]
+    want = sorted((i, f"R{j}") for i, t in enumerate(upper) for j, v in enumerate(values) if (v or "").upper() in t)
+    found = rules.join_rules(statements, data)
+    assert sorted((r["plan_id"], r["rule_id"]) for r in found.collect()) == want
+    only = rules.join_rules(statements, data.where("length(conditions[0].value) > 3"))
+    assert "hashpartitioning" not in only._jdf.queryExecution().executedPlan().toString()

@@ -1,10 +1,12 @@
 """Rules as rows, for rule sets of any size.
 
 A rule is a row of RULES; all its conditions must hold. Thousands of rules as expressions would be a plan of thousands of branches, and every
-statement would be compared with all of them. Here each rule that requires a fragment of text is indexed under one substring of three characters
-of it, the one that the fewest statement texts have; texts meet the index on their substrings in an equality join, and only the rules met
-there are checked, with their conditions as data. Rules that require no fragment (patterns, plans, absence of a text) are checked for every text, as one
-array; they are expected to be few.
+statement would be compared with all of them. Here each set of conditions that requires a fragment of text is indexed under one key of it:
+a word that stands inside the fragment with other characters on both sides, so that a text with the fragment has it as a whole word; where a fragment has
+none, a substring of eight characters, or of three if it is shorter. Of several keys it is the one that the fewest statements have. Statements
+meet the index on their own words (and substrings, if a key is one) in an equality join, in which they carry their text along, and only the rules met
+there are checked, with their conditions as data. Rules that require no fragment (patterns, plans, absence of a text) are checked for every statement,
+as one array; they are expected to be few.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from pyspark.sql import functions as F
 
 from tidewatch import constants as K
 from tidewatch.functions.text import strip_comments, unnest
+from tidewatch.session import settled
 
 RULES = "rule_no int, rule_id string, category string, title string, suggestion string, conditions array<struct<key: string, value: string>>"
-_GRAM = 3
+_GRAMS = (8, 3)  # lengths of substrings that are keys, longest first
 _SHOWN = ("rule_no", "rule_id", "category", "title", "suggestion")
 _TEXT_KEYS = ("sql_contains", "sql_not_contains", "sql_pattern")
 _SIGN = r"^\s*(>=|<=|>|<|)\s*(.*?)\s*$"
@@ -70,46 +73,67 @@ def _is_text(c: Column) -> Column:
     return c["key"].isin(*_TEXT_KEYS)
 
 
-def _grams(text: Column) -> Column:
-    spots = F.sequence(F.lit(1), F.length(text) - (_GRAM - 1))
-    return F.when(F.length(text) >= _GRAM, F.array_distinct(F.transform(spots, lambda i: F.substring(text, i, F.lit(_GRAM)))))
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of `size` characters; the sign in front tells them from words."""
+    spots = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    found = F.transform(spots, lambda i: F.concat(F.lit(":"), F.substring(text, i, F.lit(size))))
+    return F.when(F.length(text) >= size, F.array_distinct(found))
+
+
+def _fragment_keys(fragment: Column) -> Column:
+    inside = F.array_distinct(F.regexp_extract_all(fragment, F.lit(r"(?<=\W)\w+(?=\W)"), F.lit(0)))
+    return F.when(F.size(inside) > 0, inside).otherwise(F.coalesce(*[_grams(fragment, n) for n in _GRAMS]))
+
+
+def _text_keys(text: Column, sizes) -> Column:
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0)))
+    none = F.array().cast("array<string>")
+    return F.concat(words, *[F.coalesce(_grams(text, n), none) for n in sizes]) if sizes else words
 
 
 def text_matches(statements: DataFrame, rules: DataFrame) -> DataFrame:
-    """_text and the columns of RULES: the rules whose conditions on the text hold, for each distinct text of the statements; a NULL text
-    is an empty one."""
+    """The columns of the statements and those of RULES with `_` in front: one row per statement and rule whose conditions on the text hold; a
+    NULL text is an empty one."""
     spark = rules.sparkSession
-    # counting keeps the optimizer from merging the grouping into another one
-    distinct = statements.groupBy(F.coalesce("sql_text", F.lit("")).alias("_text")).agg(F.count(F.lit(1)).alias("_copies"))
-    texts = distinct.select("_text", F.xxhash64("_text").alias("_id"), F.upper(strip_comments(F.col("_text"))).alias("_upper"))
     rules = rules.withColumn("conditions", F.coalesce("conditions", F.array().cast("array<struct<key: string, value: string>>")))
-    fragments = unnest(rules, "conditions", "c", "rule_no").filter((F.col("c.key") == "sql_contains") & (F.length("c.value") >= _GRAM))
-    wanted = unnest(fragments.select("rule_no", _grams(F.upper("c.value")).alias("_all")), "_all", "_gram", "rule_no").distinct()
-    held = unnest(texts.select("_id", _grams(F.col("_upper")).alias("_all")), "_all", "_gram", "_id")
-    sizes = held.join(wanted.select("_gram").distinct(), "_gram").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = wanted.join(sizes, "_gram", "left").groupBy("rule_no").agg(
-        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least"))
-    index = rarest.filter(F.col("_least.n") > 0).select("rule_no", F.col("_least.gram").alias("_gram"))
-    met = held.join(index, "_gram").select("_id", "rule_no")
-    checked = met.join(texts, "_id").join(rules.select(*_SHOWN, "conditions"), "rule_no")
-    found = checked.filter(F.forall("conditions", lambda c: _text_holds(F.col("_upper"), c))).select("_text", *_SHOWN, "conditions")
+    rules = rules.withColumn("_set", F.to_json("conditions"))  # rules with equal conditions share a key
+    named = rules.select("_set", *[F.col(n).alias(f"_{n}") for n in _SHOWN])
+    sets = rules.groupBy("_set").agg(F.first("conditions").alias("conditions"))
+    fragments = unnest(sets, "conditions", "c", "_set").filter((F.col("c.key") == "sql_contains") & (F.length("c.value") >= min(_GRAMS)))
+    # Written, so that their measured size decides whether they go to every task: the statements then need no shuffle.
+    keys = settled(
+        unnest(fragments.select("_set", _fragment_keys(F.upper("c.value")).alias("_all")), "_all", "_key", "_set").distinct(), "rule-keys")
+    gram = F.when(F.substring("_key", 1, 1) == ":", F.length("_key") - 1)
+    sizes = sorted(r[0] for r in keys.select(gram.alias("n")).distinct().collect() if r[0])
+    texts = statements.withColumn("_upper", F.upper(strip_comments(F.col("sql_text"))))
+    held = unnest(texts.withColumn("_keys", _text_keys(F.col("_upper"), sizes)), "_keys", "_key", *statements.columns, "_upper")
+    # Only where there is a choice the statements are counted.
+    several = keys.groupBy("_set").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    open_ = keys.join(several, "_set", "left_semi").select("_key").distinct()
+    counts = held.select("_key").join(open_, "_key").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = keys.join(counts, "_key", "left").groupBy("_set").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("key"))).alias("_least"))
+    index = settled(rarest.join(sets, "_set").select(F.col("_least.key").alias("_key"), F.col("conditions").alias("_conditions")), "rule-index")
+    met = held.join(index, "_key").filter(F.forall("_conditions", lambda c: _text_holds(F.col("_upper"), c)))
+    columns = [*statements.columns, *[f"_{n}" for n in _SHOWN], "_conditions"]
+    found = met.withColumn("_set", F.to_json("_conditions")).join(settled(named, "rules"), "_set").select(*columns)
     # What has no fragment is configuration of a few rows and travels as one literal.
-    others = [r.asDict(recursive=True) for r in rules.join(wanted.select("rule_no").distinct(), "rule_no", "left_anti").orderBy("rule_no").collect()]
+    others = [r.asDict(recursive=True) for r in rules.join(keys, "_set", "left_anti").drop("_set").orderBy("rule_no").collect()]
     if others:
         literal = F.from_json(F.lit(json.dumps(others)), f"array<{spark.createDataFrame([], RULES).schema.simpleString()}>")
         holds = F.filter(literal, lambda r: F.forall(r["conditions"], lambda c: _text_holds(F.col("_upper"), c)))
-        plain = unnest(texts.select("_text", holds.alias("_rules")), "_rules", "r", "_text")
-        found = found.unionByName(plain.select("_text", "r.*"))
+        plain = unnest(texts.withColumn("_rules", holds), "_rules", "_r", *statements.columns)
+        found = found.unionByName(plain.select(*statements.columns, *[F.col(f"_r.{n}").alias(f"_{n}") for n in (*_SHOWN, "conditions")]))
     return found
 
 
 def join_rule_rows(statements: DataFrame, rules: DataFrame, plan_accesses: DataFrame | None = None, *, key="plan_id") -> DataFrame:
     """One row per statement and matching rule. With `plan_accesses` (one row per plan with the array `accesses`) plan conditions hold if
     one table access meets all of them; without it rules with such conditions match nothing."""
-    both = statements.withColumn("_text", F.coalesce("sql_text", F.lit("")))
+    both = statements
     if plan_accesses is not None:
         both = both.join(plan_accesses.select(key, F.col("accesses").alias("_accesses")), key, "left")
-    met = both.join(text_matches(statements, rules).select("_text", *[F.col(n).alias(f"_{n}") for n in (*_SHOWN, "conditions")]), "_text")
+    met = text_matches(both, rules)
     on_plan = F.filter("_conditions", lambda c: ~_is_text(c))
     if plan_accesses is None:
         kept = met.filter(F.size(on_plan) == 0)
