@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import structure as S
 from tidewatch.functions import text as X
-from tidewatch.operators import metadata, statements
+from tidewatch.operators import knowledge, metadata, statements
 from tidewatch.sources import readers
 
 
@@ -161,3 +161,38 @@ def test_index_coverage_uses_aliases(spark):
     idx = spark.createDataFrame([("i", "orders", "uid"), ("i", "users", "id")], "instance_id string, table_name string, column_name string")
     got = {r["table_name"]: (r["indexed_columns"], r["missing_columns"]) for r in metadata.index_coverage(stmts, idx).collect()}
     assert got == {"orders": ("uid", "state"), "users": ("id", "mail")}
+
+
+def test_texts_of_one_shape_have_their_own_digits():
+    one = "WITH r1 AS (SELECT 1) SELECT * FROM r{}, t{} x, `a%{}` WHERE x.k = -{}.5 AND c{} IN ('\\{}') AND d = '{}' ORDER BY k{}"
+    texts = [one.format(*n) for n in ([1] * 8, range(8), range(100, 108), [1, 2, 1, 2, 1, 2, 1, 2], [7, 7, 7, 0, 0, 10, 10, 7])] + [None, "", "9 a9 = 99"]
+    walked = [(S.table_refs(t), S.used_columns(t), S.literal_tests(t)) for t in map(S.tokens, (t or "" for t in texts))]
+    got = [tuple([tuple(r.values()) for r in row[p]] for p in ("refs", "used", "tests")) for row in S.parts_array(texts).to_pylist()]
+    assert got == walked
+
+
+def test_audits_leave_statements_where_they_are(spark):
+    stmts = spark.createDataFrame([(1, "i", "SELECT * FROM orders2 o WHERE o.state = 1")], "statement_id bigint, instance_id string, sql_text string")
+    columns = spark.createDataFrame([("i", "orders2", "state", "text")], "instance_id string, table_name string, column_name string, data_type string")
+    coverage, mismatch = metadata.index_coverage(stmts, columns.drop("data_type")), metadata.type_mismatch(stmts, F.broadcast(columns))
+    for found in (coverage, mismatch):
+        assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in coverage.collect()] == [(1, "i", "orders2", "state", "")] and mismatch.count() == 1
+
+
+def test_masks_search_a_text_once(spark):
+    texts = ["phone = '13812345678' and \x01 pwd in ('a', 12) or email='ab@c.d'", None, "", "Mail LIKE 'x' -- \x01"]
+    found = statements.mask_statements(spark.createDataFrame(list(enumerate(texts)), "id int, sql_text string"))
+    assert [tuple(r)[2:] for r in found.orderBy("id").collect()] == [
+        ("phone = '138****5678' and \x01 pwd in ('***', ***) or email='ab***@c.d'", 4, True), (None, None, None), ("", 0, False), ("Mail LIKE '***' -- \x01", 1, True)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("social_security") <= 6
+
+
+def test_manual_contexts_are_made_once_per_text(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["SELECT a FROM t WHERE pwd = 'x'"] * 3 + [None])], "event_id bigint, sql_text string")
+    documents = spark.createDataFrame([(1, "t", "c", "军规", "t", True)], "id bigint, title string, content string, category string, tags string, enabled boolean")
+    found = knowledge.build_manual_context(rows, documents)
+    got = [r["context"] for r in found.orderBy("event_id").collect()]
+    assert got[0] == got[1] == got[2] and "pwd = '***'" in got[0] and "**规则1**" in got[0] and got[3] is None
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("social_security")
