@@ -33,11 +33,10 @@ def fn_strip_comments(statements: DataFrame) -> DataFrame:
 
 def mask_statements(statements: DataFrame, *, names=K.SENSITIVE_NAMES) -> DataFrame:
     """Add the masked text, the number of masked values and a flag."""
-    count = X.sensitive_count(F.col("sql_text"), names)
-    return statements.withColumns({
-        "masked_sql": X.mask_sql(F.col("sql_text"), names),
-        "masked_count": count, "masked": count > 0,
-    })
+    sql = F.col("sql_text")
+    masked = X.let(X.masked_parts(sql, names), lambda parts: F.struct(X.masked_text(sql, parts, names).alias("sql"), X.masked_count(parts).alias("n")))
+    rows = statements.withColumn("_masked", masked)
+    return rows.withColumns({"masked_sql": F.col("_masked.sql"), "masked_count": F.col("_masked.n"), "masked": F.col("_masked.n") > 0}).drop("_masked")
 
 
 def bind_parameters(log_lines: DataFrame, *, thread="thread", order="line_no", line="line") -> DataFrame:
