@@ -111,12 +111,16 @@ def join_knowledge(statements: DataFrame, documents: DataFrame, *, most: int | N
 
 
 def build_manual_context(statements: DataFrame, documents: DataFrame) -> DataFrame:
-    """Add the diagnosis context of statements entered by hand, with sensitive values masked."""
-    rich = join_knowledge(statements, documents)
-    return rich.withColumn("context", F.concat(
+    """Add the diagnosis context of statements entered by hand, with sensitive values masked.
+
+    The context depends on the text alone, so each distinct text is searched, masked and put together once.
+    """
+    texts = statements.groupBy("sql_text").agg(F.count(F.lit(1)).alias("_copies")).select("sql_text")
+    contexts = join_knowledge(texts, documents).select("sql_text", F.concat(
         F.when(F.col("knowledge") != "", F.concat("knowledge", F.lit("\n\n"))).otherwise(""),
         F.lit(K.STATEMENT_HEADER), mask_sql(F.col("sql_text")), F.lit("\n\n" + K.MANUAL_INSTRUCTION),
-    )).drop("knowledge", "documents_found")
+    ).alias("context"))
+    return statements.join(contexts, "sql_text", "left")
 
 
 def list_documents(documents: DataFrame, *, category=None, tag=None) -> DataFrame:
