@@ -61,9 +61,10 @@ def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
     """Ascending end offsets of tokens over the same bytes -> for every token of either side the token of b its group ends with."""
     n = len(ends_a)
     starts_a, starts_b = np.concatenate([[0], ends_a[:-1]]), np.concatenate([[0], ends_b[:-1]])
-    # The last token of the other side that starts before this one ends.
-    to_b = np.searchsorted(starts_b, ends_a, "left") - 1
-    to_a = np.searchsorted(starts_a, ends_b, "left") - 1
+    # The last token of the other side that starts before this one ends; starts are counted by byte, which is cheaper than a search for each end.
+    size = int(max(ends_a[-1], ends_b[-1])) + 2
+    to_b = np.bincount(starts_b + 1, minlength=size).cumsum()[ends_a] - 1
+    to_a = np.bincount(starts_a + 1, minlength=size).cumsum()[ends_b] - 1
     own = np.arange(n, n + len(ends_b))
     successor = np.concatenate([n + to_b, np.where(ends_a[to_a] > ends_b, to_a, own)])
     while True:
@@ -96,12 +97,24 @@ def alignment_of(text: str, a: np.ndarray, b: np.ndarray, bpe, pieces) -> tuple[
     return last_a, last_b, marked
 
 
+_written: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def written_ids(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begins, lengths) of all ids below `size` as written in groups, at id * 4 + what follows; built once in a process."""
+    if size not in _written:
+        names = [f"{i}{mark}" for i in range(size) for mark in (",", "|", ";", "")]
+        lengths = np.fromiter(map(len, names), np.int64, len(names))
+        _written[size] = (np.frombuffer("".join(names).encode(), np.uint8), np.cumsum(lengths) - lengths, lengths)
+    return _written[size]
+
+
 def alignment_rows(vocabulary: bytes, model: bytes, digest: bool):
     """Function from arrays of texts to arrays of RESULT."""
 
     def rows(parts):
         bpe, pieces = model_of(vocabulary), pieces_of(model)
-        names = [f"{i}{mark}" for i in range(max(len(bpe.bytes_of), len(pieces.bytes_of))) for mark in (",", "|", ";", "")]
+        flat, begins, lengths = written_ids(max(len(bpe.bytes_of), len(pieces.bytes_of)))
         none = np.zeros(0, np.int32)
         for texts in parts:
             for some in chunks(texts):
@@ -117,8 +130,8 @@ def alignment_rows(vocabulary: bytes, model: bytes, digest: bool):
                         continue
                     last_a, last_b, marked = found
                     counts.append((len(a), len(b)))
-                    written = "".join(map(names.__getitem__, marked.tolist()))
-                    groups.append(hashlib.sha256(written.encode()).hexdigest() if digest else written)
+                    written = gathered(flat, begins[marked], lengths[marked]).tobytes()
+                    groups.append(hashlib.sha256(written).hexdigest() if digest else written.decode())
                     link_a.append(a[last_a].astype(np.int32))
                     link_b.append(b[last_b].astype(np.int32))
                 n = np.array(counts, np.int32).reshape(-1, 2)
