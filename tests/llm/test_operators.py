@@ -3,7 +3,7 @@
 import gzip
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -431,6 +431,73 @@ def test_passages_shared_by_documents(spark):
         assert len(a) >= 50 and len(x & y) / len(x | y) >= 0.8
 
 
+def alike(a, b):
+    """Whether any two stretches of at least 46 shingles have a Jaccard similarity of at least 0.8, by trying all of them."""
+    bits = {}
+    sides = []
+    for words in (a, b):
+        shingles = [1 << bits.setdefault(tuple(words[i : i + 5]), len(bits)) for i in range(len(words) - 4)]
+        stretches = []
+        for i in range(len(shingles)):
+            held = 0
+            for j in range(i, len(shingles)):
+                held |= shingles[j]
+                if j - i + 1 >= 46:
+                    stretches.append(held)
+        sides.append(stretches)
+    return any((x & y).bit_count() * 5 >= (x | y).bit_count() * 4 for x in sides[0] for y in sides[1])
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(words))
+        words[at : at + rng.randrange(3)] = sample_words(rng, rng.randrange(3))
+    return words
+
+
+def test_stretches_alike_by_brute_force():
+    rng = random.Random(12)
+    outcomes = Counter()
+    for _ in range(150):
+        base = sample_words(rng, rng.randrange(50, 66))
+        x, y = (sample_words(rng, 3) + edited(rng, base, rng.randrange(3)) + sample_words(rng, 3) for _ in range(2))
+        s, t = (passages.shingles(" ".join(w)) for w in (x, y))
+        here = {v: i for i, v in enumerate(t.tolist())}
+        places = [(0, i, i, i, here[v], here[v], here[v]) for i, v in enumerate(s.tolist()) if v in here]
+        want, found = alike(x, y), passages.verified(s, t, np.array(places)) if places else []
+        assert found or not want
+        for first, last, rep_first, rep_last, similarity in found:
+            here, there = set(s[first : last + 1].tolist()), set(t[rep_first : rep_last + 1].tolist())
+            assert last - first >= 45 and len(here & there) / len(here | there) == similarity >= 0.8
+        outcomes[want] += 1
+    assert min(outcomes[True], outcomes[False]) > 20
+
+
+def test_no_link_of_passages_is_left_out(spark):
+    rng = random.Random(13)
+    docs = []
+    for _ in range(24):
+        base = sample_words(rng, rng.randrange(50, 60))
+        if rng.random() < 0.7:  # a smaller document that shares all places of the passage but no passage
+            cuts = [base[:25], base[25:], base[12:38]]
+            docs.append([w for c in cuts for w in c + sample_words(rng, 8)])
+        for _ in range(rng.randrange(2, 5)):
+            docs.append(sample_words(rng, 4) + edited(rng, base, rng.randrange(3)) + sample_words(rng, 4))
+    rows = [(d, " ".join(w)) for d, w in enumerate(docs)]
+    rows += [(len(docs) + i, t) for i, (_, t) in enumerate(rows[:20])]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    words = [t.split() for _, t in rows]
+    group = components_of(range(len(rows)), [(r["doc_id"], r["rep_doc_id"]) for r in found])
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(set(words[a]) & set(words[b])) > 20 and alike(words[a], words[b])]
+    assert len(links) > 20 and [x for x in links if group[x[0]] != group[x[1]]] == []
+    for r in found:
+        a = words[r["doc_id"]][r["first_word"] : r["last_word"] + 1]
+        b = words[r["rep_doc_id"]][r["rep_first_word"] : r["rep_last_word"] + 1]
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        assert r["rep_doc_id"] < r["doc_id"] and len(a) >= 50 and len(x & y) / len(x | y) == r["similarity"] >= 0.8
+
+
 # --- 9: decontamination ---
 
 
