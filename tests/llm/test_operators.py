@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -474,6 +475,89 @@ def test_stretches_alike_by_brute_force():
     assert min(outcomes[True], outcomes[False]) > 20
 
 
+def test_bands_by_brute_force():
+    rng = np.random.default_rng(14)
+    for kinds in (3, 12, 60, 10_000):
+        x, y = (rng.integers(0, kinds, 90).astype(np.uint64) for _ in range(2))
+        x[30:60] = y[25:55]
+        there = passages.Places(y)
+        ranks = np.searchsorted(there.sorted, x)
+        at = np.flatnonzero(np.isin(x, y))
+        for diagonal in (-40, 0, 5, 7, 60):
+            low, high = diagonal - passages.SLACK, diagonal + passages.SLACK
+            shared = [(i, i - j) for i in range(90) for j in range(90) if x[i] == y[j]]
+            inside = [p for p in shared if low <= p[1] <= high]
+            points = passages._shared(at, ranks[at], there, low, high)
+            assert sorted(zip(*(c.tolist() for c in points))) == sorted(inside)
+            assert passages._shared(at, ranks[at], there, low, high, len(inside) - 1) is None
+            band = passages.Band(*passages._shared(at, ranks[at], there, -90, 90), diagonal)
+            match = np.isin(np.arange(90), [i for i, _ in inside])
+            for position in np.flatnonzero(match).tolist():
+                for cost in (2, 4, 8, 50):
+                    gain = np.where(match, 1, -cost)
+                    want = position - int(np.cumsum(gain[position::-1]).argmax()), position + int(np.cumsum(gain[position:]).argmax())
+                    assert band.widest(position, cost) == want
+            equal = {i for i, d in inside if d == diagonal}
+            for position in equal:
+                begin, end = position, position + 1
+                while begin - 1 in equal:
+                    begin -= 1
+                while end in equal:
+                    end += 1
+                assert band.run(position) == (begin, end)
+
+
+def test_passages_of_long_texts_are_judged_by_what_is_shared():
+    import time
+
+    rng = random.Random(15)
+    lines = [sample_words(rng, 30) for _ in range(250)]
+    texts = []
+    for _ in range(2):
+        words = []
+        for line in lines:
+            words += line + sample_words(rng, 100 + rng.randrange(60))
+        texts.append(passages.shingles(" ".join(words)))
+    x, y = texts
+    here = {v: i for i, v in enumerate(y.tolist())}
+    places = np.array([(v, i, i, i, here[u], here[u], here[u]) for i, (v, u) in enumerate(zip(x.view(np.int64).tolist(), x.tolist())) if u in here])
+    start = time.process_time()
+    assert passages.verified(x, y, places) == [] and len(places) > 6000
+    took = time.process_time() - start
+    n = min(len(x), len(y))
+    start = time.process_time()
+    for _ in range(25 * len(lines)):  # the whole texts along 25 diagonals for every line
+        np.flatnonzero(x[:n] == y[:n])
+    assert took < 15 * (time.process_time() - start)
+
+
+def test_windows_and_runs_of_many_texts_are_those_of_each():
+    rng = random.Random(16)
+    texts = [" ".join(sample_words(rng, rng.randrange(120))) for _ in range(40)]
+    texts += ["", " \n", "x " * 90, "a b c " * 40, "x " * 45 + " ".join(sample_words(rng, 60)) + " x" * 50, "\u00c4 \u4e2d " * 60]
+    rows = pd.DataFrame({"doc_id": range(len(texts)), "version": 7, "text": texts})
+    together = pd.concat(passages._windows(iter([rows])))
+    alone = pd.concat(w for k in range(len(texts)) for w in passages._windows(iter([rows[k : k + 1]])))
+    assert together.to_numpy().tolist() == alone.to_numpy().tolist() and len(together) > 100
+    asked = [(d, g[["l", "c", "r"]].assign(open=g["c"] % 2 == 0).to_dict("records")) for d, g in together.groupby("doc")]
+    given = pd.DataFrame([({"doc": d, "version": 7}, texts[d], 3, w) for d, w in asked], columns=["doc", "text", "same", "windows"])
+    found = {tuple(r) for r in pd.concat(passages._runs(iter([given]))).itertuples(index=False)}
+    want = set()
+    for d, windows in asked:
+        s = passages.shingles(texts[d])
+        of = {k: w for w in windows for k in range(max(w["l"], w["c"] - passages.GRAMS + 1), min(w["c"], w["r"] - passages.GRAMS + 1) + 1)}
+        places = defaultdict(list)
+        for k in sorted(of):
+            size = passages.RUN if len(set(s[k : k + passages.RUN].tolist())) >= passages.VARIED else passages.LONG
+            if k + size <= len(s):
+                places[int(passages._joined(s[k : k + size], size).view(np.int64)[0])].append(k)
+        for run, at in places.items():
+            for chain in np.split(np.array(at), np.flatnonzero(np.diff(at) >= passages.RUN) + 1):
+                for w in (of[int(chain[0])], of[int(chain[-1])]):
+                    want.add((run, 3, d, 7, w["l"], w["c"], w["r"], any(of[k]["open"] for k in chain.tolist())))
+    assert found == want
+
+
 def test_no_link_of_passages_is_left_out(spark):
     rng = random.Random(13)
     docs = []
