@@ -558,6 +558,43 @@ def test_windows_and_runs_of_many_texts_are_those_of_each():
     assert found == want
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for k in range(files.size()) if "shuffle_" in (f := files.apply(k).getName()) and f.endswith(".data")}
+
+
+def test_passages_keep_no_shuffled_rows(spark):
+    import time
+
+    rng = random.Random(17)
+    shared = sample_words(rng, 60)
+    docs = [(d, " ".join(sample_words(rng, 40) + (shared if d % 2 else []))) for d in range(20)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    before, setting = shuffle_files(spark), spark.conf.get(common.CLEANUP)
+    found = passages.repeated_passages(rows)
+    for _ in range(50):  # executors are told to remove them
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common.CLEANUP) == setting
+    assert {r["doc_id"] for r in found.collect()} == set(range(3, 20, 2))
+
+
+def test_a_text_goes_to_a_cell_of_pairs_once(spark):
+    name = lambda d: (d, 7)
+    each = [(name(a), name(b), [a, b]) for a in range(150) for b in range(a)] + [(name(d), name(1000), [0, d]) for d in range(2000, 2600)]
+    place = "struct<doc: bigint, version: int>"
+    pairs = spark.createDataFrame(each, f"doc {place}, rep {place}, places array<bigint>")
+    rows = passages._cells(pairs).collect()
+    assert sorted((tuple(r["doc"]), tuple(r["rep"]), r["places"]) for r in rows) == sorted(each)
+    cells = defaultdict(lambda: (set(), set()))
+    for r in rows:
+        for side, k in zip(cells[r["cell"]], ("doc", "rep")):
+            side.add(r[k])
+    assert sum(len(a | b) for a, b in cells.values()) < len(each) / 4
+    assert max(len(side) for both in cells.values() for side in both) <= 2 * passages.BLOCK
+
+
 def test_no_link_of_passages_is_left_out(spark):
     rng = random.Random(13)
     docs = []
