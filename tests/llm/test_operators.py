@@ -558,6 +558,32 @@ def test_windows_and_runs_of_many_texts_are_those_of_each():
     assert found == want
 
 
+def test_stretches_remembered_are_those_judged(monkeypatch):
+    class Forgets(dict):
+        def __contains__(self, name):
+            return False
+
+    rng = random.Random(18)
+    made, memo, judged = passages.chained, {}, []
+    monkeypatch.setattr(passages, "chained", lambda *given: judged.append(1) or made(*given))
+    calls, outcomes = Counter(), Counter()
+    for k in range(16):
+        base = sample_words(rng, rng.choice((30, 43, 60)))
+        texts = [sample_words(rng, rng.randrange(4)) + (edited(rng, base, rng.randrange(3)) * 30)[: 180 + 40 * k] for _ in range(2)]
+        x, y = (passages.shingles(" ".join(t)) for t in texts)
+        places = [(0, i, i, i, j, j, j) for i in range(0, len(x), 9) for j in range(len(y)) if x[i] == y[j]]
+        if not places:
+            continue
+        both = []
+        for how, known in (("remembered", memo), ("judged", Forgets())):
+            judged.clear()
+            both.append(passages.verified(x, y, np.array(places), known))
+            calls[how] += len(judged)
+        assert both[0] == both[1]
+        outcomes[bool(both[0])] += 1
+    assert min(outcomes[True], outcomes[False]) > 3 and calls["remembered"] < calls["judged"] / 2
+
+
 def shuffle_files(spark):
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
     return {f for k in range(files.size()) if "shuffle_" in (f := files.apply(k).getName()) and f.endswith(".data")}
